@@ -1,5 +1,5 @@
 """The registered queries, each next to the SQL that must give the same rows."""
 
-from catalog import documents, search
+from catalog import documents, events, search
 
-GROUPS = (documents, search)
+GROUPS = (documents, search, events)

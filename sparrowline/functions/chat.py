@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sparrowline.functions import jsonval
+from sparrowline.functions.binding import let
 from sparrowline.functions.text import WORD_SPACE, strip
 
 # Event names, include-list names and messages of the protocol.
@@ -34,24 +35,33 @@ def filled(text: Column) -> Column:
 def chunk_text(chunk: Column, depth: int = MESSAGE_DEPTH) -> Column:
     """Text carried by a model chunk: a string, or an object's ``content``,
     ``text`` or nested ``message``, whichever is first to hold something."""
-    candidates = [filled(jsonval.string_or_null(chunk))]
-    for name in ("content", "text"):
-        value = jsonval.field(chunk, f"$.{name}")
-        candidates.append(F.when(jsonval.is_truthy(value), jsonval.as_text(value)))
-    if depth > 0:
-        candidates.append(filled(chunk_text(jsonval.field(chunk, "$.message"), depth - 1)))
-    return F.coalesce(*candidates, F.lit(""))
+
+    def text(chunk: Column) -> Column:
+        candidates = [filled(jsonval.string_or_null(chunk))]
+        for name in ("content", "text"):
+            candidates.append(let(jsonval.field(chunk, f"$.{name}"), truthy_text))
+        if depth > 0:
+            candidates.append(filled(chunk_text(jsonval.field(chunk, "$.message"), depth - 1)))
+        return F.when(chunk.isNotNull(), F.coalesce(*candidates))
+
+    def truthy_text(value: Column) -> Column:
+        return F.when(jsonval.is_truthy(value), jsonval.as_text(value))
+
+    return F.coalesce(let(chunk, text), F.lit(""))
 
 
 def token_text(data: Column) -> Column:
     """Token of a stream event's ``data``: its chunk's text, else its ``token``,
     given as a string or as an object with ``text``, ``content`` or ``value``."""
-    token = jsonval.field(data, "$.token")
-    inner = [filled(jsonval.string_or_null(jsonval.field(token, f"$.{name}"))) for name in ("text", "content", "value")]
+
+    def own_text(token: Column) -> Column:
+        names = ("text", "content", "value")
+        inner = [filled(jsonval.string_or_null(jsonval.field(token, f"$.{name}"))) for name in names]
+        return F.when(token.isNotNull(), F.coalesce(jsonval.string_or_null(token), *inner))
+
     return F.coalesce(
         filled(chunk_text(jsonval.field(data, "$.chunk"))),
-        jsonval.string_or_null(token),
-        *inner,
+        let(jsonval.field(data, "$.token"), own_text),
         F.lit(""),
     )
 
@@ -114,10 +124,8 @@ def data_json(line: Column, data: Column) -> Column:
 
 def summary(line: Column, data: Column) -> Column:
     """A string as it is, null as the empty string, else compact JSON."""
-    text = data_json(line, data)
-    return F.when(jsonval.is_string(data), F.try_variant_get(data, "$", "string")).otherwise(
-        F.when(text == "null", F.lit("")).otherwise(text)
-    )
+    other = let(data_json(line, data), lambda text: F.when(text == "null", F.lit("")).otherwise(text))
+    return F.when(jsonval.is_string(data), F.try_variant_get(data, "$", "string")).otherwise(other)
 
 
 def event_name(value: Column) -> Column:

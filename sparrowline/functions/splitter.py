@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Places to cut, best first. After the last one, any character.
 SEPARATORS = ("\n\n", "\n", " ")
@@ -63,7 +64,7 @@ def split_recursive(size: int, overlap: int) -> Callable[[Column], Column]:
     if not 0 <= overlap < size:
         raise ValueError("need 0 <= overlap < size")
 
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf(T.ArrayType(T.StringType()))
     def split(texts: pd.Series) -> pd.Series:
         return texts.map(lambda text: split_text(text, size, overlap), na_action="ignore")
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparrowline.functions import chat, jsonval
+from sparrowline.functions.binding import with_computed
 from sparrowline.operators.ordered import concat_ordered, fold_ordered
 
 REQUEST = "request_id"
@@ -21,18 +22,17 @@ SEQ = "seq"
 def parse_event_lines(lines: DataFrame, line: str = "line") -> DataFrame:
     """Add ``payload``; lines that are not exactly one JSON value, or are null,
     are skipped."""
-    return lines.withColumn("payload", jsonval.parse_strict(F.col(line))).filter(
-        F.col("payload").isNotNull() & ~F.is_variant_null("payload")
+    kept = F.filter(
+        F.array(jsonval.parse_strict(F.col(line))), lambda value: value.isNotNull() & ~F.is_variant_null(value)
     )
+    return lines.select("*", F.explode(kept).alias("payload"))
 
 
 def normalise_events(lines: DataFrame, line: str = "line") -> DataFrame:
     """Add ``payload`` and ``name``; only JSON objects are events."""
     # A line that does not start as an object is dropped before it is parsed.
-    return (
-        parse_event_lines(lines.filter(F.col(line).rlike(r"\A\s*\{")), line)
-        .withColumn("name", chat.event_name(F.col("payload")))
-    )
+    objects = parse_event_lines(lines.filter(F.col(line).rlike(r"\A\s*\{")), line)
+    return with_computed(objects, name=chat.event_name(F.col("payload")))
 
 
 def add_include(events: DataFrame, requests: DataFrame, key: str = REQUEST) -> DataFrame:
@@ -53,7 +53,7 @@ def filter_events(events: DataFrame) -> DataFrame:
 
 def extract_tokens(events: DataFrame) -> DataFrame:
     """Add ``token``: the text carried by the event's data."""
-    return events.withColumn("token", chat.token_text(jsonval.field(F.col("payload"), "$.data")))
+    return with_computed(events, token=chat.token_text(jsonval.field(F.col("payload"), "$.data")))
 
 
 def drop_empty_tokens(tokens: DataFrame, token: str = "token") -> DataFrame:
@@ -72,9 +72,10 @@ def serialize_events(events: DataFrame, line: str = "line") -> DataFrame:
     events lose their empty entries. The filter on names comes first, so only
     admitted events reach the pruning step.
     """
-    kept = extract_tokens(filter_events(normalise_events(events, line)))
     streams = F.coalesce(F.col("name").isin(*chat.STREAM_EVENTS), F.lit(False))
-    kept = kept.withColumn("_stream", streams).filter(~F.col("_stream") | (F.length("token") > 0))
+    kept = filter_events(normalise_events(events, line)).withColumn("_stream", streams)
+    data = jsonval.field(F.when(F.col("_stream"), F.col("payload")), "$.data")
+    kept = with_computed(kept, token=chat.token_text(data)).filter(~F.col("_stream") | (F.length("token") > 0))
     pruned = jsonval.prune(F.when(~F.col("_stream"), F.col(line)))
     return kept.withColumn(
         line,
@@ -91,7 +92,7 @@ def token_stream(lines: DataFrame, line: str = "line") -> DataFrame:
     """The plain tokens of a line stream: non-empty string data of token events."""
     events = normalise_events(lines, line).filter(F.col("name") == chat.TOKEN)
     data = jsonval.string_or_null(jsonval.field(F.col("payload"), "$.data"))
-    return drop_empty_tokens(events.withColumn("token", data)).drop("payload", "name")
+    return drop_empty_tokens(with_computed(events, token=data)).drop("payload", "name")
 
 
 def concat_tokens(tokens: DataFrame, keys: Sequence[str] = (REQUEST,), order: str = SEQ, token: str = "token") -> DataFrame:

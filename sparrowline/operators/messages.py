@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparrowline.functions import chat, jsonval
+from sparrowline.functions.binding import let, with_computed
 from sparrowline.functions.text import CLIENT_SPACE, strip
 from sparrowline.operators.events import parse_event_lines
 from sparrowline.operators.ordered import concat_ordered, fold_ordered, running_total
@@ -49,16 +50,18 @@ def read_client_events(lines: DataFrame, line: str = "line") -> DataFrame:
     objects count as events without name and data. Token events without text
     stay, with a null token. ``data`` is JSON text.
     """
-    parsed = parse_event_lines(lines, line).withColumn("_name", chat.event_name(F.col("payload")))
-    data = jsonval.field(F.col("payload"), "$.data")
-    is_token = F.coalesce(F.col("_name") == chat.TOKEN, F.lit(False))
-    return (
-        parsed.withColumn("name", F.coalesce("_name", F.lit(chat.UNNAMED_EVENT)))
-        .withColumn("data", chat.data_json(F.col(line), data))
-        .withColumn("summary", chat.summary(F.col(line), data))
-        .withColumn("token", F.when(is_token, chat.filled(jsonval.string_or_null(data))))
-        .drop("payload", "_name")
+    named = with_computed(
+        parse_event_lines(lines, line),
+        name=F.coalesce(chat.event_name(F.col("payload")), F.lit(chat.UNNAMED_EVENT)),
+        _data=jsonval.field(F.col("payload"), "$.data"),
     )
+    data = F.col("_data")
+    return with_computed(
+        named,
+        data=chat.data_json(F.col(line), data),
+        summary=chat.summary(F.col(line), data),
+        token=F.when(~other_event(), chat.filled(jsonval.string_or_null(data))),
+    ).drop("payload", "_data")
 
 
 def other_event(name: str = "name") -> Column:
@@ -154,12 +157,11 @@ def history_load(histories: DataFrame, base: int, session: str = SESSION, histor
     events that are no list become an empty one.
     """
     items = F.try_variant_get(jsonval.parse_strict(F.col(history)), "$", "array<variant>")
-    sound = ~F.exists("_items", lambda item: item.isNull() | F.is_variant_null(item))
-    placed = (
-        histories.select(session, items.alias("_items"))
-        .filter(F.col("_items").isNotNull() & sound)
-        .select(session, F.posexplode("_items").alias("pos", "_item"))
+    sound = let(
+        items,
+        lambda found: F.when(~F.exists(found, lambda item: item.isNull() | F.is_variant_null(item)), found),
     )
+    placed = histories.select(session, F.posexplode(sound).alias("pos", "_item"))
     item = F.col("_item")
     return placed.select(
         session,

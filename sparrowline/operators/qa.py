@@ -8,6 +8,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparrowline.functions.text import distinct_words, sentences
 
@@ -47,13 +48,13 @@ def from_model(
     ``(questions, chunks) -> answers`` and ``(questions, lists of partials) ->
     answers``, each over pandas series."""
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def map_step(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         answer, _ = load()
         for questions, chunks in batches:
             yield answer(questions, chunks)
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def reduce_step(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         _, fold = load()
         for questions, partials in batches:

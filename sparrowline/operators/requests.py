@@ -6,20 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparrowline.functions import chat, jsonval
+from sparrowline.functions.binding import with_computed
 from sparrowline.functions.text import REQUEST_SPACE, strip
 
 
 def validate_requests(requests: DataFrame, body: str = "body") -> DataFrame:
     """Add ``ok``, ``message`` and ``error``. A body is accepted when it is a JSON
     object whose ``message`` is a string with more than white space in it."""
-    payload = jsonval.parse_strict(F.col(body))
-    message = strip(jsonval.string_or_null(jsonval.field(F.col("_payload"), "$.message")), REQUEST_SPACE)
-    return (
-        requests.withColumn("_payload", payload)
-        .withColumn("message", chat.filled(message))
-        .drop("_payload")
-        .withColumn("ok", F.col("message").isNotNull())
-        .withColumn("error", F.when(~F.col("ok"), F.lit(chat.INVALID_REQUEST)))
+    text = jsonval.string_or_null(jsonval.field(jsonval.parse_strict(F.col(body)), "$.message"))
+    checked = with_computed(requests, message=chat.filled(strip(text, REQUEST_SPACE)))
+    return checked.withColumn("ok", F.col("message").isNotNull()).withColumn(
+        "error", F.when(~F.col("ok"), F.lit(chat.INVALID_REQUEST))
     )
 
 

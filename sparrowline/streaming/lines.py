@@ -9,7 +9,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 # The characters trimmed from a line by the stream client.
-_SPACE = "\t\n\v\f\r \xa0 " + "".join(map(chr, range(0x2000, 0x200B))) + "    　﻿"
+_SPACE = "".join(
+    map(
+        chr,
+        [*range(0x09, 0x0E), 0x20, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF],
+    )
+)
 
 _STATE = (
     "next_seq bigint, line_no bigint, remainder binary,"
