@@ -133,5 +133,5 @@ SQL_MODEL_EVENTS = f"""SELECT request_id, 0::INTEGER AS seq, {sql_wrap(START_FOR
     UNION ALL SELECT request_id, (len(words) + 2)::INTEGER, CASE role {_ODD} END FROM ({SQL_TURNS})"""
 
 SQL_CLIENT_LINES = f"""SELECT request_id AS session_id, seq,
-    {sql_choose("seq", [sql_wrap(form, "token") for form in CLIENT_FORMS])} AS line, seq::BIGINT * 10 AS at
+    {sql_choose("seq", [sql_wrap(form, "token") for form in CLIENT_FORMS])} AS line, seq::BIGINT * 10 AS "at"
     FROM ({SQL_TOKENS})"""

@@ -35,10 +35,10 @@ def normalise_events(lines: DataFrame, line: str = "line") -> DataFrame:
     return with_computed(objects, name=chat.event_name(F.col("payload")))
 
 
-def add_include(events: DataFrame, requests: DataFrame, key: str = REQUEST) -> DataFrame:
+def add_include(events: DataFrame, requests: DataFrame, key: str = REQUEST, how: str = "left") -> DataFrame:
     """Bring each request's include list to its events. A request with very
     many events is split by Spark's skew join."""
-    return events.join(requests.select(key, "include"), key, "left")
+    return events.join(requests.select(key, "include"), key, how)
 
 
 def filter_events(events: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from sparrowline.operators.events import (
     token_stream,
 )
 from sparrowline.operators.requests import parse_include, tag_route, validate_requests
+from sparrowline.session import materialise
 
 
 def accept_requests(bodies: DataFrame, route: str = "/chat") -> DataFrame:
@@ -32,8 +33,10 @@ def respond(requests: DataFrame, events: DataFrame, tokens: DataFrame, key: str
     ``events`` has ``(key, seq, line)``, ``tokens`` ``(key, seq, token)``.
     """
     asked = requests.filter("ok").select(key, "message", "include")
-    sent = serialize_events(add_include(events.join(asked.select(key), key, "left_semi"), asked, key))
-    return coerce_lines(event_fallback(sent.select(key, SEQ, "line"), asked, tokens, key)).drop("text")
+    included = add_include(events.select(key, SEQ, "line"), asked, key, how="inner")
+    # Used twice below: the lines to send, and the requests that have any.
+    sent = materialise(serialize_events(included).select(key, SEQ, "line"), "sent")
+    return coerce_lines(event_fallback(sent, asked, tokens, key)).drop("text")
 
 
 def respond_tokens(responses: DataFrame, key: str = REQUEST) -> DataFrame:
