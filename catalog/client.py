@@ -10,6 +10,7 @@ from catalog.chat_inputs import SQL_CLIENT_LINES, SQL_REQUESTS, SQL_TOKENS, SQL_
 from catalog.events import sql_envelope
 from catalog.tables import sql_strip, table
 from sparrowline.functions import chat
+from sparrowline.functions.binding import let
 from sparrowline.functions.text import CLIENT_SPACE
 from sparrowline.operators import events as event_ops
 from sparrowline.operators import messages as ops
@@ -24,10 +25,11 @@ HISTORY_BASE = 1_700_000_000_000
 def byte_chunks(df: DataFrame, key: str, text: str) -> DataFrame:
     """``(session_id, seq, data)``: texts cut every 37 bytes, also inside
     characters. The last chunk is marked."""
-    data = F.encode(F.col(text), "UTF-8")
-    count = F.ceil(F.octet_length(data) / CHUNK_BYTES).cast("int")
-    pieces = F.transform(
-        F.sequence(F.lit(0), count - 1), lambda i: F.substring(data, i * CHUNK_BYTES + 1, F.lit(CHUNK_BYTES))
+    count = F.ceil(F.octet_length(F.col(text)) / CHUNK_BYTES).cast("int")
+    starts = F.sequence(F.lit(0), count - 1)
+    pieces = let(
+        F.encode(F.col(text), "UTF-8"),
+        lambda data: F.transform(starts, lambda i: F.substring(data, i * CHUNK_BYTES + 1, F.lit(CHUNK_BYTES))),
     )
     cut = df.filter(F.length(text) > 0).select(
         F.col(key).alias("session_id"), (count - 1).alias("_last"), F.posexplode(pieces).alias("seq", "data")
