@@ -13,7 +13,7 @@ from sparrowline.functions.text import REQUEST_SPACE, WORD_SPACE
 from sparrowline.operators import events as ops
 from sparrowline.operators import requests as request_ops
 from sparrowline.plans import chat as plan
-from sparrowline.session import work_path
+from sparrowline.session import materialise, work_path
 from sparrowline.sources import ndjson
 
 # Request bodies: each role's and event type's way to wrap a text. Only the
@@ -174,6 +174,7 @@ def event_fallback(spark, sf_dir):
     lists leave nothing and the tokens take over."""
     streams = inputs.model_events(spark, sf_dir).filter(F.col("line").contains("_stream"))
     emitted = ops.serialize_events(with_include(spark, sf_dir, streams)).select("request_id", "seq", "line")
+    emitted = materialise(emitted, "emitted")
     answered = ops.event_fallback(emitted, inputs.requests(spark, sf_dir), inputs.tokens(spark, sf_dir))
     return answered.select("request_id", "ord", F.regexp_replace("text", r"\s+\z", "").alias("text"))
 

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sparrowline import prepare
 from sparrowline.functions.text import WORD_SPACE
+from sparrowline.session import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def sql_words(text: str) -> str:

@@ -50,9 +50,10 @@ def chunk_text(chunk: Column, depth: int = MESSAGE_DEPTH) -> Column:
     return F.coalesce(let(chunk, text), F.lit(""))
 
 
-def token_text(data: Column) -> Column:
-    """Token of a stream event's ``data``: its chunk's text, else its ``token``,
-    given as a string or as an object with ``text``, ``content`` or ``value``."""
+def token_text(event: Column, path: str = "$.data") -> Column:
+    """Token of a stream event's data, found at ``path``: its chunk's text, else
+    its ``token``, given as a string or as an object with ``text``, ``content``
+    or ``value``. Reads by path, as a sub-value is copied when it is taken out."""
 
     def own_text(token: Column) -> Column:
         names = ("text", "content", "value")
@@ -60,8 +61,8 @@ def token_text(data: Column) -> Column:
         return F.when(token.isNotNull(), F.coalesce(jsonval.string_or_null(token), *inner))
 
     return F.coalesce(
-        filled(chunk_text(jsonval.field(data, "$.chunk"))),
-        let(jsonval.field(data, "$.token"), own_text),
+        filled(chunk_text(jsonval.field(event, f"{path}.chunk"))),
+        let(jsonval.field(event, f"{path}.token"), own_text),
         F.lit(""),
     )
 
@@ -115,17 +116,15 @@ def to_event_line(text: Column) -> Column:
     )
 
 
-def data_json(line: Column, data: Column) -> Column:
-    """The event's data as compact JSON, ``null`` when absent. Objects and lists
-    are taken from the line, as VARIANT would sort their keys."""
-    nested = jsonval.is_object(data) | jsonval.is_array(data)
-    return F.coalesce(F.when(nested, F.get_json_object(line, "$.data")).otherwise(F.to_json(data)), F.lit("null"))
+def data_json(event: Column) -> Column:
+    """The event's data as compact JSON, ``null`` when absent; keys are sorted."""
+    return F.coalesce(F.to_json(jsonval.field(event, "$.data")), F.lit("null"))
 
 
-def summary(line: Column, data: Column) -> Column:
-    """A string as it is, null as the empty string, else compact JSON."""
-    other = let(data_json(line, data), lambda text: F.when(text == "null", F.lit("")).otherwise(text))
-    return F.when(jsonval.is_string(data), F.try_variant_get(data, "$", "string")).otherwise(other)
+def summary(data: Column, text: Column) -> Column:
+    """A string as it is, null as the empty string, else compact JSON. ``text``
+    is the data when it is a string."""
+    return F.coalesce(text, F.nullif(data, F.lit("null")), F.lit(""))
 
 
 def event_name(value: Column) -> Column:

@@ -53,7 +53,7 @@ def filter_events(events: DataFrame) -> DataFrame:
 
 def extract_tokens(events: DataFrame) -> DataFrame:
     """Add ``token``: the text carried by the event's data."""
-    return with_computed(events, token=chat.token_text(jsonval.field(F.col("payload"), "$.data")))
+    return with_computed(events, token=chat.token_text(F.col("payload")))
 
 
 def drop_empty_tokens(tokens: DataFrame, token: str = "token") -> DataFrame:
@@ -74,8 +74,8 @@ def serialize_events(events: DataFrame, line: str = "line") -> DataFrame:
     """
     streams = F.coalesce(F.col("name").isin(*chat.STREAM_EVENTS), F.lit(False))
     kept = filter_events(normalise_events(events, line)).withColumn("_stream", streams)
-    data = jsonval.field(F.when(F.col("_stream"), F.col("payload")), "$.data")
-    kept = with_computed(kept, token=chat.token_text(data)).filter(~F.col("_stream") | (F.length("token") > 0))
+    token = chat.token_text(F.when(F.col("_stream"), F.col("payload")))
+    kept = with_computed(kept, token=token).filter(~F.col("_stream") | (F.length("token") > 0))
     pruned = jsonval.prune(F.when(~F.col("_stream"), F.col(line)))
     return kept.withColumn(
         line,

@@ -53,15 +53,18 @@ def read_client_events(lines: DataFrame, line: str = "line") -> DataFrame:
     named = with_computed(
         parse_event_lines(lines, line),
         name=F.coalesce(chat.event_name(F.col("payload")), F.lit(chat.UNNAMED_EVENT)),
-        _data=jsonval.field(F.col("payload"), "$.data"),
+        _json=chat.data_json(F.col("payload")),
+    )
+    first = F.substring("_json", 1, 1)
+    # VARIANT sorts the keys of objects, so nested data is taken from the line.
+    nested = F.when(first.isin("{", "["), F.get_json_object(F.col(line), "$.data"))
+    string = F.when(first == '"', F.try_variant_get(F.col("payload"), "$.data", "string"))
+    read = with_computed(named, data=F.coalesce(nested, F.col("_json")), _text=string)
+    return (
+        read.withColumn("summary", chat.summary(F.col("data"), F.col("_text")))
+        .withColumn("token", F.when(~other_event(), chat.filled(F.col("_text"))))
+        .drop("payload", "_json", "_text")
     )
-    data = F.col("_data")
-    return with_computed(
-        named,
-        data=chat.data_json(F.col(line), data),
-        summary=chat.summary(F.col(line), data),
-        token=F.when(~other_event(), chat.filled(jsonval.string_or_null(data))),
-    ).drop("payload", "_data")
 
 
 def other_event(name: str = "name") -> Column:

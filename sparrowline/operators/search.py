@@ -58,6 +58,8 @@ def knn_topk(
         raise ValueError(f"unknown metric {metric!r}")
     keys = list(keys)
     queries = queries.select(F.col(query_id).alias("_q"), F.col(vector).alias("_v")).filter(F.col("_v").isNotNull())
+    # Keys only: the vectors need not be read, or made, to be counted.
+    keyed = index.select(*keys)
     index = index.select(*keys, F.col(vector).alias("_v")).filter(F.col("_v").isNotNull())
     schema = T.StructType(
         [T.StructField(query_id, queries.schema["_q"].dataType)]
@@ -68,7 +70,8 @@ def knn_topk(
     if small is not None:
         found = _scan(small, index, k, metric, keys, schema)
     else:
-        found = _blocks(queries, index, k, metric, keys, schema, block_rows)
+        blocks = max(1, math.ceil(keyed.count() / block_rows))
+        found = _blocks(queries, index, k, metric, keys, schema, blocks)
     best = Window.partitionBy(query_id).orderBy("distance", *keys)
     ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     restored = [F.col(key).cast(index.schema[key].dataType).alias(key) for key in keys]
@@ -108,16 +111,15 @@ def _scan(
 
 
 def _blocks(
-    queries: DataFrame, index: DataFrame, k: int, metric: str, keys: list[str], schema: T.StructType, block_rows: int
+    queries: DataFrame, index: DataFrame, k: int, metric: str, keys: list[str], schema: T.StructType, blocks: int
 ) -> DataFrame:
-    """Both sides by block: index rows are hashed into blocks of about
-    ``block_rows``, every block sees every query. Where blocks are fewer than
-    cores, queries are cut in shares as well. In a task a block is held in
-    memory, while the queries stream past it.
+    """Both sides by block: index rows are hashed into even blocks, every block
+    sees every query. Where blocks are fewer than cores, queries are cut in
+    shares as well. In a task a block is held in memory, while the queries
+    stream past it.
     """
     names = schema.names
     cores = index.sparkSession.sparkContext.defaultParallelism
-    blocks = max(1, math.ceil(index.count() / block_rows))
     shares = max(1, math.ceil(cores / blocks))
 
     def numbers(count: int) -> Column:
@@ -283,11 +285,12 @@ def rag_retrieve(
     size: a broadcast below Spark's own threshold, a shuffle join above it.
     """
     check_index_model(index, embedder)
-    asked = embed_texts(queries.select(query_id, text), embedder, text)
+    # Embedded once, though the search looks at the queries several times.
+    asked = materialise(embed_texts(queries.select(query_id, text), embedder, text), "questions")
     best = materialise(knn_topk(asked, index, k, metric, query_id, ("doc_id", "pos")), "topk")
     return (
         best.join(index.select("doc_id", "pos", "chunk"), ["doc_id", "pos"])
-        .join(queries.select(query_id, text), query_id)
+        .join(asked.select(query_id, text), query_id)
         .select(query_id, text, "rank", "doc_id", "pos", "distance", "chunk")
     )
 

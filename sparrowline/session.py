@@ -62,3 +62,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = work_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Rebalance a table scan that has fewer tasks than there are cores.
+
+    A few small files of text make a few long tasks. Large tables come in at
+    least as many splits as there are cores, and are left as they are.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

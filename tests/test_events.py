@@ -130,7 +130,7 @@ def test_chunk_text(spark, chunk, text):
     ],
 )
 def test_token_text(spark, data, token):
-    assert one(spark, chat.token_text(F.parse_json(F.col("d"))), d=data) == token
+    assert one(spark, chat.token_text(F.parse_json(F.concat(F.lit('{"data":'), "d", F.lit("}")))), d=data) == token
 
 
 @pytest.mark.parametrize(
