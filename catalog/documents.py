@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalog.tables import sql_words, table
+from catalog.tables import sql_strip, sql_words, table
 from sparrowline.functions.embedders import hashed
 from sparrowline.operators import documents as ops
 from sparrowline.operators.embedding import check_index_model, embed_texts, index_models
@@ -143,6 +143,37 @@ def sql_sparse(source: str, keys: str, text: str) -> str:
           GROUP BY {keys}, bucket)"""
 
 
+# The recursive splitter with 1000 and 100. Lines shorter than 1000 follow each
+# other in one run, a longer line is a run of words; without any newline the
+# text is one run of words. (The documents have no blank lines, and no words of
+# 1000 characters.) A run is packed step by step: from a first piece ``a``, up to
+# the last piece ``b`` that fits; the next chunk starts at the first piece from
+# which at most 100 characters are repeated and the following piece still fits.
+_SPLIT = f"""WITH RECURSIVE
+    lines AS (SELECT doc_id, i, CASE WHEN i > 1 THEN chr(10) ELSE '' END || parts[i] AS line, len(parts) AS n
+        FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i
+              FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents))),
+    marked AS (SELECT *, length(line) >= 1000 OR n = 1 AS long FROM lines WHERE line <> ''),
+    runs AS (SELECT *, sum(long::INTEGER) OVER (PARTITION BY doc_id ORDER BY i) * 2 - long::INTEGER AS run FROM marked),
+    units AS (SELECT doc_id, run, i, 0 AS j, line AS piece FROM runs WHERE NOT long
+        UNION ALL SELECT doc_id, run, i, j, CASE WHEN j > 1 THEN ' ' ELSE '' END || parts[j]
+        FROM (SELECT doc_id, run, i, parts, unnest(range(1, len(parts) + 1)) AS j
+              FROM (SELECT doc_id, run, i, string_split(line, ' ') AS parts FROM runs WHERE long))),
+    pieces AS (SELECT doc_id, run, piece, row_number() OVER w AS k, sum(length(piece)) OVER w AS stop,
+            sum(length(piece)) OVER w - length(piece) AS start
+        FROM units WHERE piece <> '' WINDOW w AS (PARTITION BY doc_id, run ORDER BY i, j)),
+    lists AS (SELECT doc_id, run, list(piece ORDER BY k) AS texts, list(start ORDER BY k) AS starts,
+            list(stop ORDER BY k) AS stops FROM pieces GROUP BY doc_id, run),
+    packed AS (SELECT doc_id, run, texts, starts, stops, 1::BIGINT AS a, len(list_filter(stops, lambda e: e <= 1000))::BIGINT AS b
+        FROM lists
+        UNION ALL SELECT doc_id, run, texts, starts, stops, a, len(list_filter(stops, lambda e: e <= starts[a] + 1000))
+        FROM (SELECT doc_id, run, texts, starts, stops,
+                     1 + len(list_filter(starts, lambda s: s < greatest(stops[b] - 100, stops[b + 1] - 1000))) AS a
+              FROM packed WHERE b < len(texts))),
+    joined AS (SELECT doc_id, run, a, {sql_strip("array_to_string(texts[a:b], '')")} AS chunk FROM packed),
+    placed AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY run, a) - 1)::INTEGER AS pos, chunk
+        FROM joined WHERE chunk <> '')"""
+
 ORACLES = {
     "scan_documents": """SELECT page_id, (i - 1)::BIGINT AS page, string_split(html, chr(12))[i] AS text
         FROM (SELECT page_id, html, unnest(range(1, len(string_split(html, chr(12))) + 1)) AS i FROM pages)""",
@@ -151,6 +182,9 @@ ORACLES = {
     "raw_text_roundtrip": SQL_DOCS,
     "chunk_fixed": SQL_CHUNKS,
     "chunk_overlap": sql_chunks(SQL_DOCS, 1000, 900),
+    "chunk_recursive": f"{_SPLIT} SELECT doc_id, pos, chunk FROM placed",
+    "index_open": f"""{_SPLIT} SELECT doc_id || ':' || pos AS chunk_id, doc_id, pos, chunk, {DIM}::INTEGER AS dim,
+        'hashed-{DIM}' AS model FROM placed""",
     "chunk_pages": sql_chunks(SQL_PAGE_DOCS),
     "wrap_chunks": f"SELECT doc_id, pos, chunk AS page_content FROM ({SQL_CHUNKS})",
     "split_tokens": f"""SELECT doc_id, (i - 1)::INTEGER AS pos, words[i] AS token

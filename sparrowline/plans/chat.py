@@ -32,9 +32,10 @@ def respond(requests: DataFrame, events: DataFrame, tokens: DataFrame, key: str
 
     ``events`` has ``(key, seq, line)``, ``tokens`` ``(key, seq, token)``.
     """
-    asked = requests.filter("ok").select(key, "message", "include")
+    # Both are needed several times: the requests for each part of an envelope,
+    # the lines to send also to tell which requests have any.
+    asked = materialise(requests.filter("ok").select(key, "message", "include"), "asked")
     included = add_include(events.select(key, SEQ, "line"), asked, key, how="inner")
-    # Used twice below: the lines to send, and the requests that have any.
     sent = materialise(serialize_events(included).select(key, SEQ, "line"), "sent")
     return coerce_lines(event_fallback(sent, asked, tokens, key)).drop("text")
 
