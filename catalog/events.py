@@ -9,7 +9,7 @@ from catalog import chat_inputs as inputs
 from catalog.chat_inputs import SQL_MODEL_EVENTS, SQL_REQUESTS, SQL_TOKENS, SQL_TURNS
 from catalog.tables import sql_strip, table
 from sparrowline.functions import chat, jsonval
-from sparrowline.functions.text import REQUEST_SPACE, WORD_SPACE
+from sparrowline.functions.text import REQUEST_SPACE, WORD_SPACE, char_class
 from sparrowline.operators import events as ops
 from sparrowline.operators import requests as request_ops
 from sparrowline.plans import chat as plan
@@ -243,6 +243,8 @@ def _sql_body(kind: str, text: str) -> str:
     return f"CASE {kind} {forms} END"
 
 
+_SPACE = char_class(WORD_SPACE)
+
 _BODIES = f"""SELECT request_id, {_sql_body("role", "CASE role WHEN 'assistant' THEN request_id ELSE to_json(text)::VARCHAR END")} AS body
     FROM ({SQL_TURNS})
     UNION ALL SELECT 'e' || event_id, {_sql_body("event_type", "value::VARCHAR")} FROM events"""
@@ -376,7 +378,7 @@ ORACLES = {
     "ensure_newline": f"""SELECT request_id, CASE WHEN ends_with(text, chr(10)) THEN text ELSE text || chr(10) END AS line
         FROM ({_RAW})""",
     "to_ndjson_line": f"""SELECT request_id, CASE
-            WHEN regexp_matches(text, '\\A[{WORD_SPACE}]*\\{{') AND regexp_matches(text, '\\}}[{WORD_SPACE}]*\\z') THEN text
+            WHEN regexp_matches(text, '\\A[{_SPACE}]*\\{{') AND regexp_matches(text, '\\}}[{_SPACE}]*\\z') THEN text
             ELSE json_object('event', '{chat.TOKEN}', 'data', rtrim(text, chr(10)))::VARCHAR || chr(10) END AS line
         FROM ({_RAW})""",
     "concat_tokens": _CONCAT,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sparrowline import prepare
-from sparrowline.functions.text import WORD_SPACE
+from sparrowline.functions.text import WORD_SPACE, char_class
 from sparrowline.session import spread
 
 
@@ -15,9 +15,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def sql_words(text: str) -> str:
     """DuckDB: array of the white-space separated words of ``text``."""
-    return f"list_filter(string_split_regex({text}, '[{WORD_SPACE}]+'), lambda w: w <> '')"
+    return f"list_filter(string_split_regex({text}, '[{char_class(WORD_SPACE)}]+'), lambda w: w <> '')"
 
 
 def sql_strip(text: str, space: str = WORD_SPACE) -> str:
     """DuckDB: ``text`` without outer white space."""
-    return rf"regexp_replace({text}, '^[{space}]+|[{space}]+\z', '', 'g')"
+    return rf"regexp_replace({text}, '^[{char_class(space)}]+|[{char_class(space)}]+\z', '', 'g')"

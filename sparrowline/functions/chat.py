@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sparrowline.functions import jsonval
 from sparrowline.functions.binding import let
-from sparrowline.functions.text import WORD_SPACE, strip
+from sparrowline.functions.text import strip
 
 # Event names, include-list names and messages of the protocol.
 TOKEN = "token"
@@ -110,7 +110,7 @@ def ensure_newline(line: Column) -> Column:
 def to_event_line(text: Column) -> Column:
     """Text that looks like an object passes as it is; anything else becomes a
     token event without its trailing newlines."""
-    object_like = text.rlike(rf"\A[{WORD_SPACE}]*\{{") & text.rlike(rf"\}}[{WORD_SPACE}]*\z")
+    object_like = let(strip(text), lambda bare: bare.startswith("{") & bare.endswith("}"))
     return F.when(object_like, ensure_newline(text)).otherwise(
         event_line(TOKEN, F.regexp_replace(text, r"\n+\z", ""))
     )

@@ -5,24 +5,48 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The character classes of the three white-space rules in use.
-# Word splitting and line coercion use the first, request trimming the second,
-# the stream client the third. The syntax is shared by Java regex and RE2.
-WORD_SPACE = r"\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-REQUEST_SPACE = r"\x09-\x0d\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-CLIENT_SPACE = r"\x09-\x0d\x20\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
+# The white-space characters of the three rules in use, as ranges
+# of code points. Word splitting and line coercion follow the first, request
+# trimming the second, the stream client the third.
+_WORD_RANGES = (
+    (0x09, 0x0D), (0x1C, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A),
+    (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000),
+)
+_REQUEST_RANGES = (
+    (0x09, 0x0D), (0x20, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A),
+    (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000),
+)
+_CLIENT_RANGES = (
+    (0x09, 0x0D), (0x20, 0x20), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A),
+    (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000), (0xFEFF, 0xFEFF),
+)
 
+
+def _characters(ranges: tuple[tuple[int, int], ...]) -> str:
+    return "".join(chr(code) for low, high in ranges for code in range(low, high + 1))
+
+
+def char_class(characters: str) -> str:
+    """Regex class, without brackets, in the syntax Java and RE2 share."""
+    return "".join(f"\\x{{{ord(character):x}}}" for character in characters)
+
+
+WORD_SPACE = _characters(_WORD_RANGES)
+REQUEST_SPACE = _characters(_REQUEST_RANGES)
+CLIENT_SPACE = _characters(_CLIENT_RANGES)
+
+_WORD_BREAK = "[" + "".join(f"\\x{{{low:x}}}-\\x{{{high:x}}}" for low, high in _WORD_RANGES) + "]+"
 SENTENCE = r"[^.!?\n]*[.!?\n]|[^.!?\n]+"
 
 
 def strip(text: Column, space: str = WORD_SPACE) -> Column:
-    """Remove leading and trailing characters of the class ``space``."""
-    return F.regexp_replace(text, rf"^[{space}]+|[{space}]+\z", "")
+    """Remove leading and trailing characters that are in ``space``."""
+    return F.btrim(text, F.lit(space))
 
 
 def words(text: Column) -> Column:
     """Array of the maximal runs of non-white-space characters."""
-    return F.filter(F.split(text, f"[{WORD_SPACE}]+"), lambda w: w != "")
+    return F.filter(F.split(text, _WORD_BREAK), lambda w: w != "")
 
 
 def distinct_words(text: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sparrowline.functions.splitter import split_recursive
 from sparrowline.functions.text import slices, words
-from sparrowline.operators.ordered import concat_ordered, running_total
+from sparrowline.operators.ordered import concat_in_blocks, concat_ordered, running_total_in_blocks
 
 CHUNK_SIZE = 1000
 CHUNK_OVERLAP = 100
@@ -66,10 +66,12 @@ def chunk_pages(
     # A newline stands between pages: every page but the first brings its own.
     first = F.col("_start") == 0
     sized = pages.select(key, page, body.alias("_body"), (F.length(body) + 1).cast("bigint").alias("_length"))
-    located = running_total(sized, [key], page, "_length", "_start")
+    located = running_total_in_blocks(sized, [key], page, "_length", "_start")
+    blocks = ("_block", "_block_base", "_block_total")
     placed = located.select(
         key,
         page,
+        *blocks,
         F.when(first, F.col("_body")).otherwise(F.concat(F.lit("\n"), F.col("_body"))).alias("_piece"),
         F.when(first, F.lit(0)).otherwise(F.col("_start") - 1).alias("_from"),
     )
@@ -78,12 +80,18 @@ def chunk_pages(
     head = F.substring(F.col("_piece"), F.lit(1), lead)
     tail = F.substring(F.col("_piece"), lead + 1, F.length("_piece"))
     parts = placed.select(
-        key, page, F.floor(F.col("_from") / size).alias("_first"), F.concat(F.array(head), slices(tail, size)).alias("_parts")
-    ).select(key, page, "_first", F.posexplode("_parts").alias("_n", "_part"))
-    parts = parts.filter(F.length("_part") > 0).select(
-        key, page, (F.col("_first") + F.col("_n")).cast("int").alias("pos"), "_part"
+        key,
+        page,
+        *blocks,
+        F.expr(f"_from div {size}").alias("_first"),
+        F.posexplode(F.concat(F.array(head), slices(tail, size))).alias("_n", "_part"),
     )
-    return concat_ordered(parts, [key, "pos"], page, "_part", "chunk")
+    parts = parts.filter(F.length("_part") > 0).withColumn("pos", (F.col("_first") + F.col("_n")).cast("int"))
+    # Numbers of the chunks that hold the first and the last character of a block;
+    # its text starts one before its base, with the newline.
+    first_chunk = F.expr(f"_block_base div {size}")
+    last_chunk = F.expr(f"(_block_base + _block_total - 2) div {size}")
+    return concat_in_blocks(parts, [key], "pos", page, "_part", "chunk", first_chunk, last_chunk)
 
 
 def wrap_chunks(chunks: DataFrame, chunk: str = "chunk") -> DataFrame:

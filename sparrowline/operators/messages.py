@@ -11,7 +11,7 @@ from sparrowline.functions import chat, jsonval
 from sparrowline.functions.binding import let, with_computed
 from sparrowline.functions.text import CLIENT_SPACE, strip
 from sparrowline.operators.events import parse_event_lines
-from sparrowline.operators.ordered import concat_ordered, fold_ordered, running_total
+from sparrowline.operators.ordered import concat_in_blocks, concat_ordered, fold_ordered, running_total_in_blocks
 
 SESSION = "session_id"
 SEQ = "seq"
@@ -23,23 +23,25 @@ def reassemble_lines(chunks: DataFrame, session: str = SESSION, seq: str = SEQ,
     Returns ``(session, line_no, line)``: trimmed, without empty lines. Bytes are
     joined before they are decoded, so a chunk may end inside a character; this
     goes by way of ISO-8859-1, which has one character per byte. A line's number
-    is the count of newlines before it. Lines that lie whole inside one chunk
-    are never shuffled for joining; only the chunks' ends are.
+    is the count of newlines before it. Chunks are shuffled once, by block; only
+    lines that cross from block to block are shuffled again.
     """
     parts = F.split(F.decode(F.col(data), "ISO-8859-1"), "\n", -1)
     cut = chunks.select(session, seq, parts.alias("_parts")).withColumn(
         "_breaks", (F.size("_parts") - 1).cast("bigint")
     )
-    placed = running_total(cut, [session], seq, "_breaks", "_base").select(
-        session, seq, "_breaks", "_base", F.posexplode("_parts").alias("_pos", "_part")
+    blocks = ("_block", "_block_base", "_block_total")
+    segments = (
+        running_total_in_blocks(cut, [session], seq, "_breaks", "_base")
+        .select(session, seq, *blocks, "_base", F.posexplode("_parts").alias("_pos", "_part"))
+        .withColumn("line_no", F.col("_base") + F.col("_pos"))
     )
-    segments = placed.withColumn("line_no", F.col("_base") + F.col("_pos"))
-    inner = (F.col("_pos") > 0) & (F.col("_pos") < F.col("_breaks"))
-    whole = segments.filter(inner).select(session, "line_no", "_part")
-    ends = concat_ordered(segments.filter(~inner), [session, "line_no"], seq, "_part", "_line")
-    lines = whole.withColumnRenamed("_part", "_line").unionByName(ends)
+    first = F.col("_block_base")
+    last = first + F.col("_block_total")
+    lines = concat_in_blocks(segments, [session], "line_no", seq, "_part", "_line", first, last)
     text = F.make_valid_utf8(F.encode(F.col("_line"), "ISO-8859-1").cast("string"))
-    return lines.select(session, "line_no", strip(text, CLIENT_SPACE).alias("line")).filter(F.length("line") > 0)
+    read = with_computed(lines, line=strip(text, CLIENT_SPACE)).select(session, "line_no", "line")
+    return read.filter(F.length("line") > 0)
 
 
 def read_client_events(lines: DataFrame, line: str = "line") -> DataFrame:

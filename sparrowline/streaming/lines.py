@@ -8,13 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-# The characters trimmed from a line by the stream client.
-_SPACE = "".join(
-    map(
-        chr,
-        [*range(0x09, 0x0E), 0x20, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF],
-    )
-)
+from sparrowline.functions.text import CLIENT_SPACE
 
 _STATE = (
     "next_seq bigint, line_no bigint, remainder binary,"
@@ -53,7 +47,7 @@ def stream_lines(chunks: DataFrame, session: str = "session_id") -> DataFrame:
                 if done:
                     rows.append((line_no, b"".join(open_line)))
                     break
-            texts = ((number, data.decode("utf-8", "replace").strip(_SPACE)) for number, data in rows)
+            texts = ((number, data.decode("utf-8", "replace").strip(CLIENT_SPACE)) for number, data in rows)
             lines = [(key[0], number, text) for number, text in texts if text]
             yield pd.DataFrame(lines, columns=[session, "line_no", "line"])
             if done:

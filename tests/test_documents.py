@@ -45,8 +45,11 @@ def test_pages_are_joined_in_order(spark):
     assert joined == {1: "a\n\nb", 2: "", 3: ""}
 
 
+@pytest.mark.parametrize("block", [2, 7, 16384])
 @pytest.mark.parametrize("size", [1, 3, 7, 1000])
-def test_chunks_of_pages_equal_chunks_of_documents(spark, size):
+def test_chunks_of_pages_equal_chunks_of_documents(spark, monkeypatch, size, block):
+    original = ops.running_total_in_blocks
+    monkeypatch.setattr(ops, "running_total_in_blocks", lambda *args: original(*args, block=block))
     rows = [(1, i, "x" * (i % 5) + "\U0001f600é"[: i % 3]) for i in range(40)]
     rows += [(2, 0, None), (3, 0, ""), (3, 1, ""), (3, 2, "q"), (4, 7, "abc"), (4, 100_000, "def")]
     pages = spark.createDataFrame(rows, "doc_id bigint, page bigint, text string")

@@ -164,3 +164,16 @@ def test_ordered_folds_over_blocks(skewed):
     rows = {r.k: r for r in folded.collect()}
     assert rows["hot"].vs == [i % 7 for i in range(2000)] and rows["hot"].end == 5997
     assert rows["cold"].vs == [1]
+
+
+def test_lines_over_many_blocks(spark, monkeypatch):
+    """Lines inside blocks, across two, and across many give the same rows."""
+    from sparrowline.operators import ordered
+
+    text = "".join(("é" * (i % 97) + "\n") if i % 11 else "long " * 60 for i in range(300))
+    data = text.encode()
+    expected = [(n, line.strip()) for n, line in enumerate(text.split("\n")) if line.strip()]
+    original = ordered.running_total_in_blocks
+    monkeypatch.setattr(ops, "running_total_in_blocks", lambda *args: original(*args, block=8))
+    rows = ops.reassemble_lines(chunked(spark, data, 5)).orderBy("line_no").collect()
+    assert [(r.line_no, r.line) for r in rows] == expected
