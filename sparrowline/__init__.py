@@ -7,6 +7,14 @@
 ``plans``      whole jobs: index build, retrieval, chat responses, chat client
 """
 
+import sys
+
+from pyspark import cloudpickle
+
 from sparrowline.session import prepare, work_path
 
 __all__ = ["prepare", "work_path"]
+
+# Functions that run in tasks travel with their code, so executors need not have
+# this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
