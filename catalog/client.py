@@ -16,6 +16,7 @@ from sparrowline.operators import events as event_ops
 from sparrowline.operators import messages as ops
 from sparrowline.operators.ordered import concat_ordered
 from sparrowline.plans import client as plan
+from sparrowline.session import materialise
 
 CHUNK_BYTES = 37
 GAP_MS = 3_600_000
@@ -42,7 +43,7 @@ def document_chunks(spark, sf_dir) -> DataFrame:
 
 
 def reassemble_lines(spark, sf_dir):
-    return ops.reassemble_lines(document_chunks(spark, sf_dir))
+    return ops.reassemble_lines(materialise(document_chunks(spark, sf_dir), "chunks"))
 
 
 def client_events(spark, sf_dir) -> DataFrame:
@@ -185,7 +186,8 @@ def response_bytes(spark, sf_dir) -> DataFrame:
 
 def chat_roundtrip(spark, sf_dir):
     """Tokens to event lines to bytes in chunks and back to messages."""
-    received = plan.receive_messages(response_bytes(spark, sf_dir), session_status(spark, sf_dir).replace("error", "done", "status"))
+    chunks = materialise(response_bytes(spark, sf_dir), "chunks")
+    received = plan.receive_messages(chunks, session_status(spark, sf_dir).replace("error", "done", "status"))
     return received.select("session_id", "role", "content", F.size("events").alias("events"), "timestamp")
 
 

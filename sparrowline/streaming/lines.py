@@ -49,7 +49,8 @@ def stream_lines(chunks: DataFrame, session: str = "session_id") -> DataFrame:
                     break
             texts = ((number, data.decode("utf-8", "replace").strip(CLIENT_SPACE)) for number, data in rows)
             lines = [(key[0], number, text) for number, text in texts if text]
-            yield pd.DataFrame(lines, columns=[session, "line_no", "line"])
+            if lines:
+                yield pd.DataFrame(lines, columns=[session, "line_no", "line"])
             if done:
                 break
         if done:
