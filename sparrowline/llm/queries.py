@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparrowline.llm import bpe, lines, mixing, quality, shingles
+from sparrowline.llm import bpe, lines, mixing, quality, shingles, suffixes
 from sparrowline.llm.shared import sha256, table
 from sparrowline.session import materialise
 
@@ -49,6 +49,24 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of unchanged texts are made in place: only their 32 bytes move."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cut = suffixes.changed_documents(docs, length=100)
+    cut = cut.select("_id", "_digest", "n_removed", "spans", sha256(F.col("kept")).alias("kept_sha256"))
+    text = suffixes.text_bytes("text")
+    rows = docs.select(
+        "doc_id", F.octet_length(text).cast("long").alias("n_bytes"), sha256(text).alias("_whole"), F.xxhash64(text).alias("_of")
+    )
+    return suffixes.with_changes(rows, cut).select(
+        "doc_id",
+        "n_bytes",
+        F.coalesce("n_removed", F.lit(0)).alias("n_removed"),
+        F.coalesce(F.size("spans") / 2, F.lit(0)).cast("long").alias("n_spans"),
+        F.coalesce("kept_sha256", "_whole").alias("kept_sha256"),
+    )
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_docs=LINE_DOCS)
     return cleaned.select("doc_id", "n_lines", "n_dropped", sha256(F.col("text")).alias("kept_sha256"))
@@ -62,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_bpe": op2_bpe,
     "op3_quality_rules": op3_quality_rules,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_line_dedup": op6_line_dedup,
     "op9_shingle_join": op9_shingle_join,
 }

@@ -15,6 +15,7 @@ pair of members of different classes is verified as well.
 
 from __future__ import annotations
 
+import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -71,7 +72,7 @@ class Fragments:
     """How documents of a size cut the order of shingles, for a threshold in percent.
 
     Sizes fall into levels. A document is cut as its own level says, and also as the
-    next one says if it is large enough to be similar to a document there.
+    one below says if it is small enough to be similar to a document there.
     """
 
     def __init__(self, percent: int):
@@ -81,15 +82,16 @@ class Fragments:
         step = max(1.5, 100 / percent)
         while self.starts[-1] < _LONGEST:
             self.starts.append(max(self.starts[-1] + 1, int(self.starts[-1] * step)))
-            most = 2 * (self.starts[-1] - 1)
+            top = self.starts[-1] - 1
+            most = top + max(top, top * 100 // percent)
             # |x ^ y| <= (1 - t) / (1 + t) * (|x| + |y|) for similar sets x, y.
             self.apart.append((100 - percent) * most // (100 + percent))
-            self.counts.append(self.apart[-1] * 11 // 10 + (2 if self.apart[-1] else 1))
+            self.counts.append(self.apart[-1] * 107 // 100 + (2 if self.apart[-1] else 1))
         assert len(self.counts) < 1 << int(_LEVEL_BITS)
 
     def levels(self, size: int) -> list[int]:
         own = bisect_right(self.starts, size) - 1
-        return [own, own + 1] if 100 * size >= self.percent * self.starts[own + 1] else [own]
+        return [own - 1, own] if own and self.percent * size <= 100 * (self.starts[own] - 1) else [own]
 
     def keys(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Keys of the fragments of a sorted set, and how many shingles each holds.
@@ -135,6 +137,17 @@ def profiles(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, _PROFILE)
 
 
+_PACKED = pa.schema([("doc", pa.int64()), ("packed", pa.binary())])
+_FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("overlap", pa.int64())])
+_HELD = pa.schema([("class", pa.int64()), ("value", pa.int64())])
+_MET = ("doc", "packed", "hub", "turn")
+_SHARE = 256
+_OUT = 1 << 17
+# A fragment with more pairs to verify than this many times its members is first
+# thinned out by what its members hold alone.
+_FEW = 8
+
+
 def agreements(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Stars of documents that agree on a fragment; ``size`` is the partial overlap."""
 
@@ -154,35 +167,70 @@ def agreements(docs: DataFrame, width: int, percent: int) -> DataFrame:
     return meet(texts.mapInArrow(run, SCHEMA))
 
 
-def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
-    """``doc``, ``values``: the sorted shingle hashes of each row of ``docs``."""
-    schema = pa.schema([("doc", pa.int64()), ("values", pa.list_(pa.int64()))])
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        packed = [zlib.compress(text.as_py() or b"", 1) for text in batch.column("text")]
+        yield batch_of(_PACKED, [batch.column("doc_id"), packed])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [np.unique(shingles(words(t.as_py()), width)).view(np.int64) for t in batch.column("text")]
-            lists = pa.ListArray.from_arrays(
-                pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate([*sets, np.zeros(0, np.int64)]))
-            )
-            yield batch_of(schema, [batch.column("doc_id"), lists])
 
-    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    return texts.mapInArrow(run, "doc long, values array<long>")
+def _texts_of(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """``doc``, ``packed``: the texts of the documents ``asked`` for, compressed before they move."""
+    asked = materialise(asked, "shingle-open")
+    packed = docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(_pack, "doc long, packed binary")
+    return materialise(packed.join(asked, "doc", "left_semi"), "shingle-texts")
+
 
+def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Of the pairs (a, b), those whose sets are similar: ``a``, ``b``, ``overlap``.
 
-def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Of the pairs (a, b), those whose sets are similar: ``a``, ``b``, ``overlap``."""
+    The documents to be compared with one b come together, b first, a few hundred to a
+    task: b goes to as many of these shares as it needs.
+    """
     pairs = materialise(pairs, "shingle-pairs")
     if pairs.isEmpty():
-        return pairs.withColumn("overlap", F.lit(0))
-    asked = materialise(pairs.select("a").union(pairs.select("b")).distinct(), "shingle-asked")
-    wanted = docs.join(asked.withColumnRenamed("a", "_asked"), F.col("doc_id") == F.col("_asked"), "left_semi")
-    sets = materialise(shingle_sets(wanted, width), "shingle-sets")
-    both = pairs.join(sets.toDF("a", "values_a"), "a").join(sets.toDF("b", "values_b"), "b")
-    # array_intersect keeps distinct values, and the sets hold each value once.
-    both = both.withColumn("overlap", F.size(F.array_intersect("values_a", "values_b")))
-    union = F.size("values_a") + F.size("values_b") - F.col("overlap")
-    return both.filter(100 * F.col("overlap") >= percent * union).select("a", "b", "overlap")
+        return pairs.withColumn("overlap", F.lit(0).cast("long"))
+    shares = F.ceil(F.count("*") / _SHARE).alias("shares")
+    shares = materialise(pairs.groupBy("b").agg(shares), "shingle-shares")
+    share = F.pmod(F.xxhash64("a"), F.col("shares")).alias("share")
+    asked = pairs.join(shares, "b").select(F.col("a").alias("doc"), F.col("b").alias("hub"), share, F.lit(1).alias("turn"))
+    hubs = asked.select(F.col("hub").alias("doc"), "hub", "share", F.lit(0).alias("turn")).distinct()
+    asked = materialise(asked.union(hubs), "shingle-asked")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub, of_hub = None, []
+        for batch in batches:
+            out = []
+            for doc, packed, this, turn in zip(*(batch.column(c).to_pylist() for c in _MET), strict=True):
+                values = np.unique(shingles(words(zlib.decompress(packed)), width))
+                if turn == 0:
+                    of_hub = [*of_hub, values] if hub == this else [values]
+                    hub = this
+                    continue
+                for other in of_hub if hub == this else ():
+                    overlap = len(values) + len(other) - len(np.union1d(values, other))
+                    if 100 * overlap >= percent * (len(values) + len(other) - overlap):
+                        out.append((doc, this, overlap))
+            if out:
+                yield batch_of(_FOUND, list(zip(*out, strict=True)))
+
+    met = texts.join(asked, "doc").repartition("hub", "share").sortWithinPartitions("hub", "share", "turn")
+    return met.select(*_MET).mapInArrow(run, "a long, b long, overlap long").distinct()
+
+
+def _alone(members: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """``class``, ``alone``: how many of its shingles no other of the members (class) holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingles(words(zlib.decompress(t.as_py())), width)) for t in batch.column("packed")]
+            docs = np.repeat(batch.column("doc").to_numpy(), [len(s) for s in sets])
+            values = np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)
+            for at in range(0, len(values), _OUT):
+                yield batch_of(_HELD, [pa.array(docs[at : at + _OUT]), pa.array(values[at : at + _OUT])])
+
+    held = texts.join(members, F.col("doc") == F.col("class"), "left_semi").mapInArrow(run, "class long, value long")
+    ends = held.groupBy("value").agg(F.min("class").alias("class"), F.max("class").alias("_last"))
+    return ends.filter(F.col("class") == F.col("_last")).groupBy("class").agg(F.count("*").alias("alone"))
 
 
 def _apart(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -206,8 +254,10 @@ def jaccard_links(docs: DataFrame, seen: DataFrame, *, width: int, percent: int)
     sums = sums.groupBy("doc", "leader_doc").agg(F.max("overlap").alias("overlap"))
     of_a = seen.select(F.col("doc_id").alias("doc"), F.col("class").alias("x"), F.col("n_shingles").alias("nx"))
     of_b = seen.select(F.col("doc_id").alias("leader_doc"), F.col("class").alias("y"), F.col("n_shingles").alias("ny"))
-    pairs = materialise(sums, "shingle-sums").join(of_a.distinct(), "doc").join(of_b.distinct(), "leader_doc")
-    pairs = pairs.filter("x <> y").filter(100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
+    met = materialise(sums, "shingle-sums").join(of_a.distinct(), "doc").join(of_b.distinct(), "leader_doc")
+    met = materialise(met.filter("x <> y"), "shingle-met")
+    texts = _texts_of(docs, met.select(F.col("x").alias("doc")).union(met.select("y")).distinct())
+    pairs = met.filter(100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
     enough = (100 + percent) * F.col("overlap") >= percent * (F.col("nx") + F.col("ny"))
     pairs = pairs.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     pairs = materialise(pairs.agg(F.max(enough).alias("sure")), "shingle-candidates")
@@ -215,38 +265,62 @@ def jaccard_links(docs: DataFrame, seen: DataFrame, *, width: int, percent: int)
     links = pairs.filter("sure").select("a", "b")
     classes = materialise(connected_components(links), "shingle-classes")
     open_pairs = _apart(pairs.filter("NOT sure").select("a", "b"), classes)
-    links = materialise(links.union(_verified(open_pairs, docs, width, percent).select("a", "b")), "shingle-links")
-    rest = _members_apart(stars, seen, materialise(connected_components(links), "shingle-classes"), percent)
-    rest = rest.join(pairs.select("a", "b"), ["a", "b"], "left_anti")
-    return links.union(_verified(rest, docs, width, percent).select("a", "b"))
+    links = materialise(links.union(_verified(open_pairs, texts, width, percent).select("a", "b")), "shingle-links")
+    members = _members_apart(stars, seen, materialise(connected_components(links), "shingle-classes"))
+    rest = _pairs_apart(members, texts, width, percent).join(pairs.select("a", "b"), ["a", "b"], "left_anti")
+    return links.union(_verified(rest, texts, width, percent).select("a", "b"))
 
 
-def _members_apart(stars: DataFrame, seen: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different classes that agree on a fragment whose members are not all in one component.
+def _members_apart(stars: DataFrame, seen: DataFrame, classes: DataFrame) -> DataFrame:
+    """Members of the fragments whose members are not all in one component of the links so far.
 
-    Members outside a fragment's largest component meet every member of another one;
-    a pair inside the largest is connected already.
+    ``key``, ``class``, ``n_shingles``, ``component``, and ``outside``: whether that is not
+    the largest component of the fragment.
     """
     component = F.coalesce("component", "class").alias("component")
     placed = seen.join(classes, F.col("class") == F.col("node"), "left")
-    placed = materialise(placed.select(F.col("doc_id").alias("doc"), "class", "n_shingles", component).distinct(), "shingle-placed")
+    placed = placed.select(F.col("doc_id").alias("doc"), "class", "n_shingles", component).distinct()
+    placed = materialise(placed, "shingle-placed")
     tied = stars.select("key", "doc", "leader_doc")
     leads = placed.select(F.col("doc").alias("leader_doc"), F.col("component").alias("_lead"))
     split = tied.join(placed.select("doc", "component"), "doc").join(leads, "leader_doc")
     split = materialise(split.filter("component <> _lead").select("key").distinct(), "shingle-split")
-    if split.isEmpty():
-        return placed.select(F.col("class").alias("a"), F.col("class").alias("b")).limit(0)
     held = materialise(tied.join(split, "key", "left_semi"), "shingle-held")
     held = held.select("key", "doc").union(held.select("key", "leader_doc")).distinct()
     held = held.join(placed, "doc").select("key", "class", "n_shingles", "component").distinct()
     held = materialise(held, "shingle-members")
     sizes = held.groupBy("key", "component").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("_largest"))
-    outside = held.join(materialise(largest, "shingle-largest"), "key").filter("component <> _largest")
-    outside = outside.select("key", F.col("class").alias("x"), F.col("n_shingles").alias("nx"), F.col("component").alias("cx"))
-    met = held.join(materialise(outside, "shingle-outside"), "key").filter("component <> cx")
-    met = met.filter(100 * F.least("n_shingles", "nx") >= percent * F.greatest("n_shingles", "nx"))
-    return met.select(F.least("class", "x").alias("a"), F.greatest("class", "x").alias("b")).distinct()
+    sizes = sizes.groupBy("key").agg(
+        F.max_by("component", F.struct("n", "component")).alias("_largest"),
+        (F.sum("n") - F.max("n")).alias("n_outside"),
+    )
+    held = held.join(materialise(sizes, "shingle-sizes"), "key")
+    return held.withColumn("outside", F.col("component") != F.col("_largest")).drop("_largest")
+
+
+def _pairs_apart(members: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of members of one fragment, but of different components, that may be similar.
+
+    A pair inside a fragment's largest component is connected already, so one of the
+    two is outside it. Where many are outside, members are dropped that cannot link with
+    any: of x's shingles those that x holds alone are in no intersection, so its overlap
+    with y is at most n_x - alone_x.
+    """
+    members = materialise(members, "shingle-apart")
+    many = members.filter(F.col("n_outside") > _FEW)
+    alone = _alone(materialise(many.select("class").distinct(), "shingle-many"), texts, width)
+    most = F.col("n_shingles") - F.coalesce("alone", F.lit(0))
+    many = many.join(materialise(alone, "shingle-alone"), "class", "left").withColumn("most", most)
+    many = many.filter(100 * F.col("most") >= percent * F.col("n_shingles"))
+    few = members.filter(F.col("n_outside") <= _FEW).withColumn("most", F.col("n_shingles"))
+    held = materialise(few.unionByName(many.drop("alone")), "shingle-possible")
+    outside = held.filter("outside").select(
+        "key", *[F.col(c).alias(f"_{c}") for c in ("class", "n_shingles", "component", "most")]
+    )
+    overlap = F.least("most", "_most", "n_shingles", "_n_shingles")
+    met = held.join(materialise(outside, "shingle-outside"), "key").filter("component <> _component")
+    met = met.filter(100 * overlap >= percent * (F.col("n_shingles") + F.col("_n_shingles") - overlap))
+    return met.select(F.least("class", "_class").alias("a"), F.greatest("class", "_class").alias("b")).distinct()
 
 
 def join_shingles(docs: DataFrame, *, text: str = "text", key: str = "doc_id", width: int = 5, percent: int = 80) -> DataFrame:
