@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparrowline.llm import bpe, lines, mixing, quality, shingles, suffixes
+from sparrowline.llm import bpe, lines, mixing, passages, quality, shingles, suffixes
 from sparrowline.llm.shared import sha256, table
 from sparrowline.session import materialise
 
@@ -72,6 +72,11 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_lines", "n_dropped", sha256(F.col("text")).alias("kept_sha256"))
 
 
+def op8_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per removed span of words; documents without one have no row."""
+    return passages.removed_spans(passages.repeated_passages(table(spark, sf_dir, "documents")))
+
+
 def op9_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingles.join_shingles(table(spark, sf_dir, "documents"), width=4, percent=85)
 
@@ -82,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_line_dedup": op6_line_dedup,
+    "op8_passage_dedup": op8_passage_dedup,
     "op9_shingle_join": op9_shingle_join,
 }
 

@@ -39,9 +39,9 @@ class LocalStars:
     def __init__(self):
         self.rows, self.held = [], 0
 
-    def add(self, keys: np.ndarray, doc: int, parts: np.ndarray | int, sizes: np.ndarray) -> None:
+    def add(self, keys: np.ndarray, docs: np.ndarray | int, parts: np.ndarray | int, sizes: np.ndarray) -> None:
         n = len(keys)
-        self.rows.append((keys, np.full(n, doc, np.int64), np.broadcast_to(np.int64(parts), n), sizes))
+        self.rows.append((keys, *(np.broadcast_to(np.asarray(c, np.int64), n) for c in (docs, parts)), sizes))
         self.held += n
 
     def full(self) -> bool:

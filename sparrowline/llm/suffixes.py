@@ -28,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparrowline.llm.links import mix
 from sparrowline.llm.shared import batch_of
-from sparrowline.llm.shingles import mix
 from sparrowline.session import materialise
 
 _GRAM = 50
