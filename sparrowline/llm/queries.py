@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparrowline.llm import bpe, lines, mixing, passages, quality, shingles, suffixes
+from sparrowline.llm import bpe, html, html_training, lines, mixing, passages, quality, shingles, suffixes, topk, urls
 from sparrowline.llm.shared import sha256, table
 from sparrowline.session import materialise
 
@@ -17,6 +17,13 @@ MIX_CYCLE = (5.0, 2.0, 1.0)
 MIX_EPOCHS = 3.0
 POLICY = quality.V2
 LINE_DOCS = 10
+RULES = (
+    urls.Rule("allow", "com", "/"),
+    urls.Rule("block", "example.com", "/en/"),
+    urls.Rule("allow", "www.example.com", "/en/"),
+    urls.Rule("block", "net", "/es/"),
+    urls.Rule("block", "net", "/fr/"),
+)
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,6 +56,12 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    trees = html_training.fit(pages)
+    return html.extract_pages(pages.select("page_id", "url", "html"), trees)
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of unchanged texts are made in place: only their 32 bytes move."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -72,6 +85,10 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_lines", "n_dropped", sha256(F.col("text")).alias("kept_sha256"))
 
 
+def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op8_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per removed span of words; documents without one have no row."""
     return passages.removed_spans(passages.repeated_passages(table(spark, sf_dir, "documents")))
@@ -81,14 +98,23 @@ def op9_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingles.join_shingles(table(spark, sf_dir, "documents"), width=4, percent=85)
 
 
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = urls.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    judged = urls.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), model, RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict", "block_score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_bpe": op2_bpe,
     "op3_quality_rules": op3_quality_rules,
+    "op4_html_text": op4_html_text,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_line_dedup": op6_line_dedup,
+    "op7_exact_topk": op7_exact_topk,
     "op8_passage_dedup": op8_passage_dedup,
     "op9_shingle_join": op9_shingle_join,
+    "op10_url_filter": op10_url_filter,
 }
 
 # Words, counted in SQL: the characters between them are space and \x09 to \x0D.
@@ -137,6 +163,17 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, count(*) AS n_lines, count(o.key) AS n_dropped,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE o.key IS NULL), '')) AS kept_sha256
         FROM keyed LEFT JOIN often o USING (key) GROUP BY doc_id""",
+    "op7_exact_topk": """
+        WITH whole AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+            FROM embeddings
+            WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
+            FROM whole q, whole c WHERE q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+        SELECT query_id, rank::INTEGER AS rank, vec_id, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+        WHERE rank <= 5""",
     "op9_shingle_join": r"""
         WITH RECURSIVE worded AS (
             SELECT doc_id, regexp_extract_all(

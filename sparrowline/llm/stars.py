@@ -18,17 +18,8 @@ from pyspark.sql import functions as F
 from sparrowline.llm.shared import batch_of
 
 # A key, one item that holds it, what the key stands for, and the item's leader.
-SCHEMA = "key long, doc long, part long, size int, leader_doc long, leader_part long"
-_ARROW = pa.schema(
-    [
-        ("key", pa.int64()),
-        ("doc", pa.int64()),
-        ("part", pa.int64()),
-        ("size", pa.int32()),
-        ("leader_doc", pa.int64()),
-        ("leader_part", pa.int64()),
-    ]
-)
+SCHEMA = "key long, doc long, part long, size long, leader_doc long, leader_part long, leader_size long"
+_ARROW = pa.schema([(column.split()[0], pa.int64()) for column in SCHEMA.split(", ")])
 _HELD = 1 << 21
 _OUT = 1 << 17
 
@@ -53,14 +44,13 @@ class LocalStars:
         keys, docs, parts, sizes = (np.concatenate(c) for c in zip(*self.rows, strict=True))
         self.rows, self.held = [], 0
         order = np.lexsort((parts, docs, keys))
-        keys, docs, parts, sizes = keys[order], docs[order], parts[order], sizes[order].astype(np.int32)
+        keys, docs, parts, sizes = keys[order], docs[order], parts[order], sizes[order].astype(np.int64)
         first = np.append(True, keys[1:] != keys[:-1])
         again = np.append(False, (keys[1:] == keys[:-1]) & (docs[1:] == docs[:-1]) & (parts[1:] == parts[:-1]))
         lead = np.flatnonzero(first)[np.cumsum(first) - 1]
-        lead_docs, lead_parts = docs[lead], parts[lead]
-        keys, docs, parts, sizes, first, lead_docs, lead_parts = (
-            column[~again] for column in (keys, docs, parts, sizes, first, lead_docs, lead_parts)
-        )
+        columns = (docs, parts, sizes)
+        leads = [column[lead][~again] for column in columns]
+        keys, docs, parts, sizes, first = (column[~again] for column in (keys, *columns, first))
         for at in range(0, len(keys), _OUT):
             cut = slice(at, at + _OUT)
             yield batch_of(
@@ -70,8 +60,7 @@ class LocalStars:
                     pa.array(docs[cut]),
                     pa.array(parts[cut]),
                     pa.array(sizes[cut]),
-                    pa.array(lead_docs[cut], mask=first[cut]),
-                    pa.array(lead_parts[cut], mask=first[cut]),
+                    *(pa.array(column[cut], mask=first[cut]) for column in leads),
                 ],
             )
 
@@ -80,23 +69,21 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Tie the leaders of one key, which come sorted, to the first; pass on the other rows."""
     last = None
     for batch in batches:
-        keys = batch.column(0).to_numpy()
-        docs, parts = batch.column(1).to_numpy(), batch.column(2).to_numpy()
         entry = batch.column(4).is_null().to_numpy(zero_copy_only=False)
         out = [batch.filter(pa.array(~entry))] if not entry.all() else []
         at = np.flatnonzero(entry)
         if len(at):
-            k, d, p = keys[at], docs[at], parts[at]
+            columns = [batch.column(i).to_numpy()[at] for i in range(4)]
             if last is not None:
-                k, d, p = np.append(last[0], k), np.append(last[1], d), np.append(last[2], p)
-            first = np.append(True, k[1:] != k[:-1])
+                columns = [np.append(a, b) for a, b in zip(last, columns, strict=True)]
+            key, doc, part, _ = columns
+            first = np.append(True, key[1:] != key[:-1])
             lead = np.flatnonzero(first)[np.cumsum(first) - 1]
-            last = k[lead[-1]], d[lead[-1]], p[lead[-1]]
-            skip = len(k) - len(at)
-            tied = np.flatnonzero(~first[skip:] & ((d != d[lead]) | (p != p[lead]))[skip:])
-            rows = batch.take(pa.array(at[tied]))
-            lead = lead[skip:][tied]
-            out.append(batch_of(_ARROW, [*rows.columns[:4], pa.array(d[lead]), pa.array(p[lead])]))
+            skip = len(key) - len(at)
+            tied = np.flatnonzero(~first[skip:] & ((doc != doc[lead]) | (part != part[lead]))[skip:])
+            rows, of = batch.take(pa.array(at[tied])), lead[skip:][tied]
+            out.append(batch_of(_ARROW, [*rows.columns[:4], *(pa.array(column[of]) for column in columns[1:])]))
+            last = [column[lead[-1:]] for column in columns]
         yield from (rows for rows in out if rows.num_rows)
 
 
