@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LONGEST = 24
 
-# Names that tell of pages to block; each counts like ``Model.weight`` words of blocked text.
+# Names that tell of pages to block; each counts like a hundredth of all words of blocked text.
 BLOCK_WORDS = (
     "adult", "ads", "adserver", "bets", "betting", "casino", "cheap", "escort", "farm", "free", "gambling",
     "jackpot", "lottery", "pills", "poker", "porn", "sex", "slots", "spam", "torrent", "track", "tracker",
@@ -65,23 +65,28 @@ def rule_for(host: Column, path: Column, rules: tuple[Rule, ...]) -> Column:
 
 @dataclass
 class Model:
-    """Word counts: of all text (``words``), and of labelled text by class."""
+    """Word counts: of all text (``words``), and of labelled text by class.
+
+    The words this module names count ``least`` times at least, so that names are split
+    at them.
+    """
 
     words: dict[str, int]
     blocked: dict[str, int]
     allowed: dict[str, int]
-    weight: int = 200
+    least: int = 200
     threshold: float = 3.0
     known: dict[str, tuple[str, ...]] = field(default_factory=dict)
 
     def __post_init__(self):
         self.words = {**self.words}
         for word in BLOCK_WORDS + PLAIN_WORDS:
-            self.words[word] = max(self.words.get(word, 0), self.weight)
+            self.words[word] = max(self.words.get(word, 0), self.least)
         self.total = sum(self.words.values()) or 1
         blocked = {**self.blocked}
+        telling = max(3, sum(blocked.values()) // 100)
         for word in BLOCK_WORDS:
-            blocked[word] = blocked.get(word, 0) + self.weight
+            blocked[word] = blocked.get(word, 0) + telling
         vocabulary = blocked.keys() | self.allowed.keys()
         n_blocked = sum(blocked.values()) + len(vocabulary)
         n_allowed = sum(self.allowed.values()) + len(vocabulary)
