@@ -86,9 +86,10 @@ def anchors(hashes: np.ndarray, wide: int) -> np.ndarray:
 
 
 def runs(data: bytes, length: int) -> tuple[np.ndarray, ...]:
-    """Runs of string starts that share an anchor: its hash, the run's, first start, count."""
+    """Runs of string starts that share an anchor: its hash, the run's, first start,
+    count, and how far the anchor lies behind the first start."""
     if len(data) < length:
-        return (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) * 2
+        return (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) * 3
     codes = np.frombuffer(data, np.uint8)
     grams = window_hashes(codes, _GRAM)
     place = anchors(grams, length - _GRAM + 1)
@@ -96,30 +97,31 @@ def runs(data: bytes, length: int) -> tuple[np.ndarray, ...]:
     counts = np.diff(np.append(starts, len(place)))
     # A run is as long as its count says, so its first and last string tell it whole.
     strings = window_hashes(codes, length)
-    return grams[place[starts]], mix(strings[starts] + mix(strings[starts + counts - 1]) + counts.astype(np.uint64)), starts, counts
+    run = mix(strings[starts] + mix(strings[starts + counts - 1]) + counts.astype(np.uint64))
+    return grams[place[starts]], run, starts, counts, place[starts] - starts
 
 
 # States of a run: gone (equal to an earlier one), open, open under a crowded anchor;
 # and, between tasks only, the mark of a crowded anchor.
 _GONE, _OPEN, _CROWDED, _MARK = 0, 1, 2, 3
-_ENTRY = "deal long, anchor long, run long, doc long, start long, count int, state int"
+_ENTRY = "deal long, anchor long, run long, doc long, start long, count int, lead int, state int"
 _ENTRY_ARROW = pa.schema(
-    [(n, pa.int64()) for n in ("deal", "anchor", "run", "doc", "start")] + [("count", pa.int32()), ("state", pa.int32())]
+    [(n, pa.int64()) for n in ("deal", "anchor", "run", "doc", "start")] + [(n, pa.int32()) for n in ("count", "lead", "state")]
 )
 
 
 def _rows(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    types = [np.int64] * 5 + [np.int32] * 2
+    types = [np.int64] * 5 + [np.int32] * 3
     for at in range(0, len(columns[0]), _OUT):
         cut = [c[at : at + _OUT] for c in columns]
         cut = [c.view(np.int64) if c.dtype == np.uint64 else c.astype(t) for c, t in zip(cut, types, strict=True)]
         yield batch_of(_ENTRY_ARROW, [pa.array(c) for c in cut])
 
 
-def _reduce_local(anchor, run, doc, start, count) -> Iterator[pa.RecordBatch]:
+def _reduce_local(anchor, run, doc, start, count, lead) -> Iterator[pa.RecordBatch]:
     """First runs of each kind, dealt by anchor; equal later ones are gone already."""
     order = np.lexsort((start, doc, run, anchor))
-    anchor, run, doc, start, count = (c[order] for c in (anchor, run, doc, start, count))
+    anchor, run, doc, start, count, lead = (c[order] for c in (anchor, run, doc, start, count, lead))
     new_anchor = np.append(True, anchor[1:] != anchor[:-1])
     first = new_anchor | np.append(True, run[1:] != run[:-1])
     group = np.cumsum(new_anchor) - 1
@@ -127,11 +129,11 @@ def _reduce_local(anchor, run, doc, start, count) -> Iterator[pa.RecordBatch]:
     crowded = kinds[group] >= _MANY
     state = np.where(first, np.where(crowded, _CROWDED, _OPEN), _GONE)
     deal = np.where(state == _OPEN, anchor, mix(anchor + mix(run + doc.astype(np.uint64) * (state == _GONE))))
-    yield from _rows([deal, anchor, run, doc, start, count, state])
+    yield from _rows([deal, anchor, run, doc, start, count, lead, state])
     marks = np.flatnonzero(new_anchor & crowded)
     if len(marks):
         zero = np.zeros(len(marks), np.int64)
-        yield from _rows([anchor[marks], anchor[marks], zero, zero, zero, zero, np.full(len(marks), _MARK)])
+        yield from _rows([anchor[marks], anchor[marks], *[zero] * 5, np.full(len(marks), _MARK)])
 
 
 def _entries(docs: DataFrame, length: int) -> DataFrame:
@@ -139,9 +141,9 @@ def _entries(docs: DataFrame, length: int) -> DataFrame:
         held, size = [], 0
         for batch in batches:
             for doc, text in zip(batch.column("doc").to_pylist(), batch.column("text"), strict=True):
-                anchor, run, start, count = runs(text.as_py(), length)
+                anchor, run, start, count, lead = runs(text.as_py(), length)
                 if len(start):
-                    held.append((anchor, run, np.full(len(start), doc, np.int64), start, count))
+                    held.append((anchor, run, np.full(len(start), doc, np.int64), start, count, lead))
                     size += len(start)
                 if size >= _HELD:
                     yield from _reduce_local(*(np.concatenate(c) for c in zip(*held, strict=True)))
@@ -154,7 +156,7 @@ def _entries(docs: DataFrame, length: int) -> DataFrame:
 
 def _settle(columns: list[np.ndarray]) -> list[np.ndarray]:
     """States of whole groups of one anchor, sorted by anchor, run, doc, start."""
-    deal, anchor, run, doc, start, count, state = columns
+    deal, anchor, run, doc, start, count, lead, state = columns
     live = (state == _OPEN) | (state == _CROWDED)
     new_anchor = np.append(True, anchor[1:] != anchor[:-1])
     group = np.cumsum(new_anchor) - 1
@@ -164,7 +166,7 @@ def _settle(columns: list[np.ndarray]) -> list[np.ndarray]:
     full = np.bincount(group, weights=state >= _CROWDED, minlength=group[-1] + 1) > 0
     out = state.copy()
     out[at] = np.where(first, np.where(full[group[at]], _CROWDED, np.where(kinds[group[at]] > 1, _OPEN, _MARK)), _GONE)
-    return [c[out != _MARK] for c in (deal, anchor, run, doc, start, count, out)]
+    return [c[out != _MARK] for c in (deal, anchor, run, doc, start, count, lead, out)]
 
 
 def _settle_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +191,7 @@ def repeated_runs(docs: DataFrame, length: int) -> DataFrame:
     that no task gets more than a few rows of one anchor from each other task.
     """
     dealt = _entries(docs, length).repartition("deal").sortWithinPartitions("anchor", "run", "doc", "start")
-    return dealt.mapInArrow(_settle_task, _ENTRY).select("doc", "start", "count", "state")
+    return dealt.mapInArrow(_settle_task, _ENTRY).select("doc", "start", "count", "lead", "state")
 
 
 def multikey_order(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -270,9 +272,7 @@ def _open_suffixes(texts: DataFrame, length: int) -> DataFrame:
                         crowded.append((doc, run["start"], run["count"], text))
                         size += run["count"]
                     elif run["state"] == _OPEN:
-                        grams = window_hashes(np.frombuffer(text[:length], np.uint8), _GRAM)
-                        at = int(anchors(grams, length - _GRAM + 1)[0])
-                        out.append((text[at : at + _GRAM], doc, run["start"], run["count"], text))
+                        out.append((text[run["lead"] : run["lead"] + _GRAM], doc, run["start"], run["count"], text))
             if out:
                 yield batch_of(_SUFFIX_ARROW, list(zip(*out, strict=True)))
             if size > _STRINGS:
@@ -383,11 +383,13 @@ def changed_documents(docs: DataFrame, *, text: str = "text", key: str = "doc_id
         raise ValueError(f"need a length over {_GRAM}")
     docs = _numbered(docs, key, text)
     found = materialise(repeated_runs(docs, length), "suffix-runs")
-    per_doc = found.groupBy("doc").agg(F.collect_list(F.struct("start", "count", "state")).alias("runs"))
+    per_doc = found.groupBy("doc").agg(F.collect_list(F.struct("start", "count", "lead", "state")).alias("runs"))
     packed = docs.select("doc", "_id", "_digest", "text")
     packed = packed.mapInArrow(_pack, "doc long, _id long, _digest long, packed binary")
     texts = materialise(packed.join(per_doc, "doc"), "suffix-texts")
-    copies = materialise(_sort_buckets(_open_suffixes(texts, length), length), "suffix-copies")
+    # Written first: the range partitioning reads its input twice, to sample splitters and to deal.
+    suffixes = materialise(_open_suffixes(texts, length), "suffix-open")
+    copies = materialise(_sort_buckets(suffixes, length), "suffix-copies")
     gone = found.filter(F.col("state") == _GONE).select("doc", "start", "count").unionByName(copies)
     spans = gone.groupBy("doc").agg(F.collect_list(F.struct("start", "count")).alias("spans"))
     cut = texts.drop("runs").join(spans, "doc")
