@@ -36,6 +36,9 @@ _CLOSED_BY = {
     "option": ({"option"}, {"select"}),
 }
 
+# Pages whose elements are scored in one go.
+_TOGETHER = 128
+
 _NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
 _ATTRIBUTE = re.compile(r"""[\s/]*([^\s/>=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
 _WORDS = re.compile(r"[a-z]+")
@@ -355,12 +358,21 @@ def text_of(page: Page, kept: np.ndarray) -> str:
     return "\n".join(lines)
 
 
+def extract_all(sources: list[str | None], trees: Trees) -> list[str]:
+    """Main text of each page; empty for null. All elements are scored together."""
+    pages = [Page(source or "") for source in sources]
+    rows = [features(page) for page in pages if page.tags]
+    scores = trees.score(np.concatenate(rows)) if rows else np.zeros(0)
+    out, at = [], 0
+    for page in pages:
+        score = scores[at : at + len(page.tags)]
+        out.append(text_of(page, decode(page, score)) if page.tags else "")
+        at += len(page.tags)
+    return out
+
+
 def extract(source: str | None, trees: Trees) -> str:
-    """Main text of one page; empty for null."""
-    page = Page(source or "")
-    if not page.tags:
-        return ""
-    return text_of(page, decode(page, trees.score(features(page))))
+    return extract_all([source], trees)[0]
 
 
 def main_text(source: Column, trees: Trees) -> Column:
@@ -368,7 +380,10 @@ def main_text(source: Column, trees: Trees) -> Column:
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for pages in batches:
-            yield pa.array([extract(page.as_py(), trees) for page in pages], pa.string())
+            texts = []
+            for at in range(0, len(pages), _TOGETHER):
+                texts += extract_all(pages.slice(at, _TOGETHER).to_pylist(), trees)
+            yield pa.array(texts, pa.string())
 
     return F.arrow_udf(run, "string")(source)
 
