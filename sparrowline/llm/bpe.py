@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 from collections.abc import Callable, Iterator
 from itertools import chain
 
@@ -23,8 +24,14 @@ from pyspark.sql import functions as F
 # Fixed value: the word pattern of byte-level BPE vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+# The same words in texts of ASCII characters alone, where the standard library's matcher will do.
+_SPACE = r" \t\n\v\f\r"
+_ASCII_PATTERN = (
+    rf"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^{_SPACE}A-Za-z0-9]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
+)
+
 _LONG_WORD = 64
-_CACHED_WORDS = 1 << 18
+_CACHED_WORDS = 1 << 19
 _PART = 500
 _CACHED_BYTES = 48
 _NONE = 1 << 60
@@ -40,6 +47,17 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+class _Known(dict):
+    """A dictionary that asks ``find`` for what it lacks."""
+
+    def __init__(self, find: Callable, values: dict | None = None):
+        super().__init__(values or {})
+        self.find = find
+
+    def __missing__(self, key):
+        return self.find(key)
+
+
 class Vocabulary:
     """Ids, merge ranks and added tokens of a tokenizer file's text."""
 
@@ -52,88 +70,87 @@ class Vocabulary:
         plain = lambda token: bytes(letters[c] for c in token)
         self.added = {t["content"]: t["id"] for t in parts["added_tokens"]}
         self.ids = {plain(token): i for token, i in model["vocab"].items() if token not in self.added}
-        self.texts = {i: token for token, i in self.ids.items()} | {i: t.encode() for t, i in self.added.items()}
+        texts = {i: token for token, i in self.ids.items()} | {i: t.encode() for t, i in self.added.items()}
+        self.texts = _Known(lambda _: b"", texts)
         pairs = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
-        self.ranks = {(plain(a), plain(b)): rank for rank, (a, b) in enumerate(pairs)}
-        self.words = regex.compile(PATTERN)
+        self.bytes = [self.ids[bytes([b])] for b in range(256)]
+        self.ranks, self.made = {}, []
+        for rank, (left, right) in enumerate((plain(a), plain(b)) for a, b in pairs):
+            self.ranks[self.ids[left] << 32 | self.ids[right]] = rank
+            self.made.append(self.ids[left + right])
+        self.words, self.ascii_words = regex.compile(PATTERN), re.compile(_ASCII_PATTERN)
         longest_first = sorted(self.added, key=len, reverse=True)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, longest_first)) + ")") if self.added else None
-        self.seen: dict[str, tuple[int, ...]] = {}
+        self.seen = _Known(self._word_ids)
 
     def merge_short(self, word: bytes) -> tuple[int, ...]:
         """Ids of a word: repeatedly delete the boundary inside the pair of least rank."""
-        bounds = list(range(len(word) + 1))
-        get, part = self.ranks.get, word.__getitem__
-        ranks = [get((word[i : i + 1], word[i + 1 : i + 2]), _NONE) for i in range(len(word) - 1)]
+        get, made = self.ranks.get, self.made
+        parts = [self.bytes[b] for b in word]
+        ranks = [get(a << 32 | b, _NONE) for a, b in zip(parts, parts[1:], strict=False)]
         while ranks:
             least = min(ranks)
             if least == _NONE:
                 break
             at = ranks.index(least)
-            del bounds[at + 1], ranks[at]
-            middle = part(slice(bounds[at], bounds[at + 1]))
+            parts[at] = made[least]
+            del parts[at + 1], ranks[at]
             if at:
-                ranks[at - 1] = get((part(slice(bounds[at - 1], bounds[at])), middle), _NONE)
+                ranks[at - 1] = get(parts[at - 1] << 32 | parts[at], _NONE)
             if at < len(ranks):
-                ranks[at] = get((middle, part(slice(bounds[at + 1], bounds[at + 2]))), _NONE)
-        return tuple(self.ids[word[a:b]] for a, b in zip(bounds, bounds[1:], strict=False))
+                ranks[at] = get(parts[at] << 32 | parts[at + 1], _NONE)
+        return tuple(parts)
 
     def merge_long(self, word: bytes) -> tuple[int, ...]:
         """The same merges in the same order (rank, then place), from a heap."""
         n = len(word)
-        end, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        parts = [self.bytes[b] for b in word]
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         get = self.ranks.get
-
-        def rank(at: int) -> int | None:
-            to = end[at]
-            return get((word[at:to], word[to : end[to]])) if to < n else None
-
-        heap = [(r, at, at + 1, at + 2) for at in range(n - 1) if (r := rank(at)) is not None]
+        pair = lambda at: parts[at] << 32 | parts[after[at]]
+        heap = [(r, at, pair(at)) for at in range(n - 1) if (r := get(pair(at))) is not None]
         heapq.heapify(heap)
-        gone = bytearray(n)
         while heap:
-            _, at, to, until = heapq.heappop(heap)
-            if gone[at] or end[at] != to or end[to] != until:
+            rank, at, key = heapq.heappop(heap)
+            # A part that was merged away is -1; one that has grown makes another pair.
+            if parts[at] < 0 or after[at] >= n or pair(at) != key:
                 continue
-            gone[to], end[at] = 1, until
-            if until < n:
-                before[until] = at
+            gone = after[at]
+            parts[at], parts[gone], after[at] = self.made[rank], -1, after[gone]
+            if after[at] < n:
+                before[after[at]] = at
             for start in (before[at], at):
-                if start >= 0 and (r := rank(start)) is not None:
-                    heapq.heappush(heap, (r, start, end[start], end[end[start]]))
-        out, at = [], 0
-        while at < n:
-            out.append(self.ids[word[at : end[at]]])
-            at = end[at]
-        return tuple(out)
-
-    def word_ids(self, word: str) -> tuple[int, ...]:
-        found = self.seen.get(word)
-        if found is None:
-            data = word.encode()
-            found = self.merge_short(data) if len(data) <= _LONG_WORD else self.merge_long(data)
-            if len(data) <= _CACHED_BYTES:
-                if len(self.seen) >= _CACHED_WORDS:
-                    self.seen.clear()
-                self.seen[word] = found
+                if start >= 0 and after[start] < n and (r := get(pair(start))) is not None:
+                    heapq.heappush(heap, (r, start, pair(start)))
+        return tuple(part for part in parts if part >= 0)
+
+    def _word_ids(self, word: str) -> tuple[int, ...]:
+        """Ids of a word not seen before; those of short words are kept."""
+        data = word.encode()
+        found = self.merge_short(data) if len(data) <= _LONG_WORD else self.merge_long(data)
+        if len(data) <= _CACHED_BYTES:
+            if len(self.seen) >= _CACHED_WORDS:
+                self.seen.clear()
+            self.seen[word] = found
         return found
 
     def encode(self, text: str | None) -> list[int]:
         if not text:
             return []
         pieces = self.specials.split(text) if self.specials else [text]
+        words = self.ascii_words if text.isascii() else self.words
+        ids_of = self.seen.__getitem__
         out: list[int] = []
         for i, piece in enumerate(pieces):
             if i % 2:
                 out.append(self.added[piece])
             else:
-                out.extend(chain.from_iterable(map(self.word_ids, self.words.findall(piece))))
+                out.extend(chain.from_iterable(map(ids_of, words.findall(piece))))
         return out
 
     def decode(self, ids: list[int] | None) -> str:
         """Bytes that are no UTF-8 come out as U+FFFD; ids that are not known as nothing."""
-        known = self.texts.get
-        return b"".join(known(i, b"") for i in ids or ()).decode("utf-8", "replace")
+        return b"".join(map(self.texts.__getitem__, ids or ())).decode("utf-8", "replace")
 
 
 def _by_parts(rows: pa.Array, convert: Callable[[list], list], kind: pa.DataType) -> pa.Array:
