@@ -35,7 +35,7 @@ def run(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
 
 
 def stream_reassemble(spark, sf_dir):
-    chunks = as_stream(spark, client.document_chunks(spark, sf_dir).repartition(8, "seq"), "chunks")
+    chunks = as_stream(spark, client.document_chunks(spark, sf_dir).repartition("seq"), "chunks")
     return run(spark, stream_lines(chunks), "lines")
 
 
@@ -55,7 +55,7 @@ def stream_saves(spark, sf_dir):
 
 
 def stream_messages(spark, sf_dir):
-    lines = as_stream(spark, inputs.client_lines(spark, sf_dir).repartition(8, "seq"), "client-lines")
+    lines = as_stream(spark, inputs.client_lines(spark, sf_dir).repartition("seq"), "client-lines")
     out = work_path(spark, "messages")
     save_updates(stream_fold(read_client_events(lines)), out, work_path(spark, "messages-checkpoint")).awaitTermination()
     messages = read_updates(spark, out)

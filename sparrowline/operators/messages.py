@@ -126,9 +126,12 @@ def message_upsert(
     last = updates.groupBy(*keys).agg(
         F.max_by(state, F.col(seq)).alias("_new"), F.min(F.when(F.col("ensure_create"), F.col(seq))).alias("_added")
     )
-    base = messages.select(*keys, "pos", state.alias("_old"))
+    # Of several stored messages with one key, only the first is updated.
+    first = F.min("pos").over(Window.partitionBy(*keys)).alias("_first")
+    base = messages.select(*keys, "pos", state.alias("_old"), first)
     merged = base.join(last, keys, "full_outer").filter(F.col("_old").isNotNull() | F.col("_added").isNotNull())
-    current = F.coalesce("_new", "_old")
+    later = F.col("_old").isNotNull() & (F.col("pos") > F.col("_first"))
+    current = F.when(later, F.col("_old")).otherwise(F.coalesce("_new", "_old"))
     return merged.select(
         *keys,
         "pos",

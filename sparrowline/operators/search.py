@@ -40,7 +40,7 @@ def knn_topk(
     k: int = TOP_K,
     metric: str = "l2",
     query_id: str = "query_id",
-    keys: Sequence[str] = ("chunk_id",),
+    keys: Sequence[str] = ("doc_id", "pos"),
     vector: str = "embedding",
     broadcast_bytes: int = BROADCAST_BYTES,
     block_rows: int = BLOCK_ROWS,
@@ -57,6 +57,9 @@ def knn_topk(
     if metric not in ("l2", "cosine"):
         raise ValueError(f"unknown metric {metric!r}")
     keys = list(keys)
+    kinds = dict(index.dtypes)
+    if other := [name for name in keys if kinds.get(name) not in ("tinyint", "smallint", "int", "bigint")]:
+        raise ValueError(f"keys must be integer columns of the index: {other}")
     queries = queries.select(F.col(query_id).alias("_q"), F.col(vector).alias("_v")).filter(F.col("_v").isNotNull())
     # Keys only: the vectors need not be read, or made, to be counted.
     keyed = index.select(*keys)

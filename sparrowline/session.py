@@ -52,6 +52,11 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(jvm_path))
 
 
+def table_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a finished table lies at ``path``: what a killed job has left is none."""
+    return path_exists(spark, f"{path}/_SUCCESS")
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 

@@ -262,3 +262,11 @@ def test_ndjson_files(spark, tmp_path):
     ndjson.write_ndjson(lines(spark, '{"a":1}\n', '{"a":2}', "oops {"), path)
     read = ndjson.read_ndjson(spark, path).select(F.to_json("payload").alias("p")).collect()
     assert sorted(r.p for r in read) == ['{"a":1}', '{"a":2}']
+
+
+def test_deep_and_spread_out_lines_are_pruned(spark):
+    deep = '{"a":' * 900 + '{"x":null,"y":1}' + "}" * 900
+    lines = [deep, '{\n  "event": "x",\n  "data": 1\n}', '{"a":{"b":[{},[[]],""]},"c":[0,false]}']
+    frame = spark.createDataFrame([(line,) for line in lines], "line string")
+    got = [r[0] for r in frame.select(jsonval.prune(F.col("line"))).collect()]
+    assert got == ['{"a":' * 900 + '{"y":1}' + "}" * 900, '{"event":"x","data":1}', '{"c":[0,false]}']

@@ -177,3 +177,15 @@ def test_lines_over_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(ops, "running_total_in_blocks", lambda *args: original(*args, block=8))
     rows = ops.reassemble_lines(chunked(spark, data, 5)).orderBy("line_no").collect()
     assert [(r.line_no, r.line) for r in rows] == expected
+
+
+def test_only_the_first_of_equal_messages_is_updated(spark):
+    messages_ = spark.createDataFrame(
+        [("s", "assistant", "t", 0, "old"), ("s", "assistant", "t", 3, "old")], "session_id string, role string, timestamp string, pos int, content string"
+    )
+    updates = spark.createDataFrame(
+        [("s", "assistant", "t", 1, False, "new")],
+        "session_id string, role string, timestamp string, seq int, ensure_create boolean, content string",
+    )
+    got = ops.message_upsert(messages_, updates, values=["content"])
+    assert {(r.pos, r.content) for r in got.collect()} == {(0, "new"), (3, "old")}

@@ -37,7 +37,7 @@ def brute(queries, rows, k, metric):
 
 
 def search(spark, queries, rows, k=3, **options):
-    result = knn_topk(frame(spark, queries, "query_id"), frame(spark, rows, "chunk_id"), k, **options)
+    result = knn_topk(frame(spark, queries, "query_id"), frame(spark, rows, "chunk_id"), k, keys=("chunk_id",), **options)
     return [(r.query_id, r["rank"], r.chunk_id) for r in result.orderBy("query_id", "rank").collect()]
 
 
@@ -126,3 +126,10 @@ def test_generator_hook(spark):
     index = index_of(spark, "one", "two")
     answer = answer_questions(ask(spark, "one"), index, hashed(64), generator, k=2).first().answer
     assert answer == "ONE:one+ONE:two"
+
+
+def test_keys_must_be_integers(spark):
+    index = spark.createDataFrame([("0:1", [1.0])], "chunk_id string, embedding array<double>")
+    queries = spark.createDataFrame([(1, [1.0])], "query_id long, embedding array<double>")
+    with pytest.raises(ValueError, match="chunk_id"):
+        knn_topk(queries, index, keys=("chunk_id",))
