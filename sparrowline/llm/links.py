@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
@@ -127,13 +127,16 @@ def class_links(
     width: int,
     percent: int,
     overlaps: DataFrame | None = None,
+    decides: Column | None = None,
 ) -> DataFrame:
     """Links (a, b) between classes, enough to connect all that similar pairs connect.
 
     ``stars`` ties items (key, doc, leader_doc); ``seen`` gives every item's ``class`` (the
     least item with the same set) and ``n_shingles``; ``texts_of`` fetches ``doc`` and ``packed``
     (compressed words) of the classes asked for; ``overlaps`` (doc, leader_doc, overlap)
-    says how much of an intersection is sure.
+    says how much of an intersection is sure. ``decides``, over the columns ``key``,
+    ``n_shingles`` and ``_n_shingles``, says whether sets of these sizes, if similar, share a
+    key like this one; a pair need not be looked at for its other keys.
     """
     if overlaps is None:
         overlaps = stars.select("doc", "leader_doc", F.lit(0).alias("overlap")).distinct()
@@ -159,7 +162,7 @@ def class_links(
     members = _members_apart(stars, seen, materialise(connected_components(links), "links-classes"))
     if members is None:
         return links
-    rest = _pairs_apart(members, texts, width, percent).join(pairs.select("a", "b"), ["a", "b"], "left_anti")
+    rest = _pairs_apart(members, texts, width, percent, decides).join(pairs.select("a", "b"), ["a", "b"], "left_anti")
     return links.union(_verified(rest, texts, width, percent).select("a", "b"))
 
 
@@ -192,7 +195,7 @@ def _members_apart(stars: DataFrame, seen: DataFrame, classes: DataFrame) -> Dat
     return held.withColumn("outside", F.col("component") != F.col("_largest")).drop("_largest")
 
 
-def _pairs_apart(members: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+def _pairs_apart(members: DataFrame, texts: DataFrame, width: int, percent: int, decides: Column | None) -> DataFrame:
     """Pairs (a, b) of members of one key, but of different components, that may be similar.
 
     A pair inside a key's largest component is connected already, so one of the
@@ -213,5 +216,7 @@ def _pairs_apart(members: DataFrame, texts: DataFrame, width: int, percent: int)
     )
     overlap = F.least("most", "_most", "n_shingles", "_n_shingles")
     met = held.join(materialise(outside, "links-outside"), "key").filter("component <> _component")
+    if decides is not None:
+        met = met.filter(decides)
     met = met.filter(100 * overlap >= percent * (F.col("n_shingles") + F.col("_n_shingles") - overlap))
     return met.select(F.least("class", "_class").alias("a"), F.greatest("class", "_class").alias("b")).distinct()

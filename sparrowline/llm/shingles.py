@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparrowline.llm.components import connected_components
@@ -67,6 +67,10 @@ class Fragments:
         own = bisect_right(self.starts, size) - 1
         return [own - 1, own] if own and self.percent * size <= 100 * (self.starts[own] - 1) else [own]
 
+    def level(self, size: Column) -> Column:
+        """The own level of documents of a size."""
+        return F.size(F.filter(F.array(*map(F.lit, self.starts)), lambda start: start <= size)) - 1
+
     def keys(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Keys of the fragments of a sorted set, and how many shingles each holds.
 
@@ -166,11 +170,14 @@ def join_shingles(docs: DataFrame, *, text: str = "text", key: str = "doc_id", w
     first = materialise(known.groupBy(*same).agg(F.min("doc_id").alias("_first")), "shingle-first")
     known = materialise(known.join(first, same).withColumnRenamed("_first", "class"), "shingle-known")
     stars = materialise(agreements(docs, width, percent), "shingle-stars")
-    level = F.col("key").bitwiseAND(F.lit((1 << int(_LEVEL_BITS)) - 1)).alias("level")
-    sums = stars.groupBy("doc", "leader_doc", level).agg(F.sum("size").alias("overlap"))
+    level = F.col("key").bitwiseAND(F.lit((1 << int(_LEVEL_BITS)) - 1))
+    sums = stars.groupBy("doc", "leader_doc", level.alias("level")).agg(F.sum("size").alias("overlap"))
     sums = sums.groupBy("doc", "leader_doc").agg(F.max("overlap").alias("overlap"))
     fetch = lambda asked: _texts_of(docs, asked)
-    links = class_links(stars, known, fetch, width=width, percent=percent, overlaps=sums)
+    # Similar documents are both cut as the level of the smaller one says.
+    of = Fragments(percent).level
+    shared = level == F.least(of(F.col("n_shingles")), of(F.col("_n_shingles")))
+    links = class_links(stars, known, fetch, width=width, percent=percent, overlaps=sums, decides=shared)
     copies = known.filter("doc_id <> class").select(F.col("doc_id").alias("a"), F.col("class").alias("b"))
     found = materialise(connected_components(links.union(copies)), "shingle-components")
     return seen.join(found, F.col("doc_id") == F.col("node"), "left").select(
