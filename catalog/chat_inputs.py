@@ -17,7 +17,11 @@ from sparrowline.functions.text import words
 STREAM_FORMS = (
     ('{"event":"on_chat_model_stream","data":{"chunk":', "}}"),
     ('{"event":"on_chat_model_stream","data":{"chunk":{"content":', ',"id":null}}}'),
-    ('{"event":"on_chat_token_stream","data":{"chunk":{"content":"","message":{"text":', "}}}}"),
+    (
+        '{"event":"on_chat_token_stream","data":{"chunk":{"content":"","message":'
+        '{"message":{"message":{"message":{"message":{"text":',
+        "}}}}}}}}",
+    ),
     ('{"event":"on_chat_token_stream","data":{"token":', "}}"),
     ('{"event":"on_chat_model_stream","data":{"chunk":"","token":{"text":"","value":', "}}}"),
     ('{"event":"on_chat_model_stream","data":{"chunk":{"content":[],"text":""},"note":', "}}"),

@@ -90,6 +90,17 @@ def index_build(spark, sf_dir):
     return index_source.read_index(spark, path).select("chunk_id", "doc_id", "pos", "chunk", "dim", "model")
 
 
+def index_update(spark, sf_dir):
+    """An index of other texts, cut to another size, then built again from the documents."""
+    path = work_path(spark, "index")
+    pages = docs(spark, sf_dir).withColumn("page", F.lit(0))
+    older = F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit(" as it was"))).otherwise(F.col("text"))
+    build_index(pages.withColumn("text", older), hashed(DIM), path, work_path(spark, "raw-text"), size=700)
+    for _ in range(2):
+        build_index(pages, hashed(DIM), path, work_path(spark, "raw-text"))
+    return sparse(index_source.read_index(spark, path), ["chunk_id", "doc_id", "pos", "chunk", "dim", "model"])
+
+
 def index_open(spark, sf_dir):
     """No index yet: it is built from the raw texts by the recursive splitter."""
     raw = work_path(spark, "raw-text")
@@ -115,6 +126,7 @@ QUERIES = {
     "split_tokens": split_tokens,
     "embed_texts": embed,
     "index_build": index_build,
+    "index_update": index_update,
     "index_open": index_open,
     "check_index_model": check_model,
 }
@@ -194,6 +206,9 @@ ORACLES = {
         FROM ({sql_sparse(SQL_CHUNKS, "doc_id, pos", "chunk")})""",
     "index_build": f"""SELECT doc_id || ':' || pos AS chunk_id, doc_id, pos, chunk, {DIM}::INTEGER AS dim,
         'hashed-{DIM}' AS model FROM ({sql_chunks(SQL_PAGE_DOCS)})""",
+    "index_update": f"""SELECT c.doc_id || ':' || c.pos AS chunk_id, c.doc_id, c.pos, chunk, {DIM}::INTEGER AS dim,
+        'hashed-{DIM}' AS model, bucket, round(weight, 6) AS weight
+        FROM ({SQL_CHUNKS}) c JOIN ({sql_sparse(SQL_CHUNKS, "doc_id, pos", "chunk")}) USING (doc_id, pos)""",
     "check_index_model": f"""SELECT 'hashed-{DIM}' AS model, {DIM}::INTEGER AS dim, count(*) AS chunks
         FROM ({SQL_CHUNKS})""",
 }

@@ -170,12 +170,16 @@ def serialized(spark, sf_dir) -> DataFrame:
 
 
 def event_fallback(spark, sf_dir):
-    """Requests whose model sent nothing but token streams, so that some include
-    lists leave nothing and the tokens take over."""
+    """Requests whose model sent token streams, some of which the include lists drop, and
+    each request once more, with a model that sent nothing: there the tokens take over."""
     streams = inputs.model_events(spark, sf_dir).filter(F.col("line").contains("_stream"))
     emitted = ops.serialize_events(with_include(spark, sf_dir, streams)).select("request_id", "seq", "line")
     emitted = materialise(emitted, "emitted")
-    answered = ops.event_fallback(emitted, inputs.requests(spark, sf_dir), inputs.tokens(spark, sf_dir))
+    asked, tokens = inputs.requests(spark, sf_dir), inputs.tokens(spark, sf_dir)
+    silent = F.concat("request_id", F.lit("-silent")).alias("request_id")
+    asked = asked.unionByName(asked.select(silent, "message", "include"))
+    tokens = tokens.unionByName(tokens.select(silent, "seq", "token"))
+    answered = ops.event_fallback(emitted, asked, tokens)
     return answered.select("request_id", "ord", F.regexp_replace("text", r"\s+\z", "").alias("text"))
 
 
@@ -264,8 +268,10 @@ def sql_json_text(value: str) -> str:
     return f"CASE json_type({value}) WHEN 'VARCHAR' THEN {value}->>'$' WHEN 'NULL' THEN NULL ELSE {value}::VARCHAR END"
 
 
-def sql_chunk_text(chunk: str, depth: int = 3) -> str:
-    """DuckDB: text of a model chunk; without ``coalesce`` to the empty string."""
+def sql_chunk_text(chunk: str, depth: int = 6) -> str:
+    """DuckDB: text of a model chunk; without ``coalesce`` to the empty string.
+
+    ``depth`` is more than the derived lines nest, which is five deep."""
     options = [f"CASE json_type({chunk}) WHEN 'VARCHAR' THEN nullif({chunk}->>'$', '') END"]
     for name in ("content", "text"):
         value = f"({chunk}->'$.{name}')"
@@ -330,11 +336,11 @@ _RAW = f"""SELECT request_id, CASE role WHEN 'user' THEN text WHEN 'assistant' T
 _CONCAT = f"SELECT request_id, string_agg(token, '' ORDER BY seq) AS text FROM ({SQL_TOKENS}) GROUP BY request_id"
 
 
-def sql_envelope(requests: str) -> str:
+def sql_envelope(requests: str, tokens: str = SQL_TOKENS) -> str:
     def line(name: str, field: str, value: str) -> str:
         return f"json_object('event', '{name}', 'data', json_object('{field}', {value}))::VARCHAR || chr(10)"
 
-    sent = f"SELECT t.* FROM ({SQL_TOKENS}) t JOIN ({requests}) USING (request_id) WHERE {SQL_TOKENS_ADMITTED}"
+    sent = f"SELECT t.* FROM ({tokens}) t JOIN ({requests}) USING (request_id) WHERE {SQL_TOKENS_ADMITTED}"
     joined = f"""SELECT request_id, string_agg(token, '' ORDER BY seq) AS output, max(seq) AS last
         FROM ({sent}) GROUP BY request_id"""
     return f"""SELECT request_id, 0::BIGINT AS ord, {line(chat.START_EVENT, "input", "message")} AS text
@@ -384,9 +390,13 @@ ORACLES = {
     "concat_tokens": _CONCAT,
     "event_envelope": sql_envelope(SQL_REQUESTS),
     "event_fallback": f"""WITH emitted AS ({_EMITTED_STREAMS}),
-        waiting AS (SELECT * FROM ({SQL_REQUESTS}) WHERE request_id NOT IN (SELECT request_id FROM emitted))
+        asked AS ({SQL_REQUESTS}),
+        silent AS (SELECT request_id || '-silent' AS request_id, message, include FROM asked),
+        waiting AS (SELECT * FROM (SELECT * FROM asked UNION ALL SELECT * FROM silent)
+            WHERE request_id NOT IN (SELECT request_id FROM emitted)),
+        sent AS ({SQL_TOKENS})
         SELECT request_id, seq::BIGINT AS ord, json_object('event', 'token', 'data', data)::VARCHAR AS text FROM emitted
-        UNION ALL SELECT request_id, ord, rtrim(text, chr(10)) FROM ({sql_envelope("SELECT * FROM waiting")})""",
+        UNION ALL SELECT request_id, ord, rtrim(text, chr(10)) FROM ({sql_envelope("SELECT * FROM waiting", "SELECT * FROM sent UNION ALL SELECT request_id || '-silent', seq, token FROM sent")})""",
     "token_stream": f"""SELECT request_id, seq, j->>'$.data' AS token
         FROM (SELECT session_id AS request_id, seq, CASE WHEN json_valid(line) THEN line::JSON END AS j FROM ({inputs.SQL_CLIENT_LINES}))
         WHERE j->>'$.event' = '{chat.TOKEN}' AND json_type(j->'$.data') = 'VARCHAR' AND j->>'$.data' <> ''""",

@@ -12,7 +12,8 @@ from sparrowline.functions.text import SENTENCE
 from sparrowline.operators import documents as doc_ops
 from sparrowline.operators import qa, search
 from sparrowline.plans.retrieval import answer_questions
-from sparrowline.sources.index import index_rows
+from sparrowline.session import work_path
+from sparrowline.sources.index import index_build, index_open, index_rows
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +24,13 @@ def chunk_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index_rows(doc_ops.chunk_fixed(docs(spark, sf_dir)), hashed(DIM))
 
 
+def stored_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same index, written and opened; there are no raw texts to build it from."""
+    path = work_path(spark, "index")
+    index_build(doc_ops.chunk_fixed(docs(spark, sf_dir)), hashed(DIM), path)
+    return index_open(spark, path, work_path(spark, "raw-text"), hashed(DIM))
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
 
@@ -73,7 +81,17 @@ def rag_answer(spark, sf_dir):
     return answer_questions(questions(spark, sf_dir), chunk_index(spark, sf_dir), hashed(DIM))
 
 
+def stored_retrieve(spark, sf_dir):
+    return search.rag_retrieve(questions(spark, sf_dir), stored_index(spark, sf_dir), hashed(DIM))
+
+
+def stored_answer(spark, sf_dir):
+    return answer_questions(questions(spark, sf_dir), stored_index(spark, sf_dir), hashed(DIM))
+
+
 QUERIES = {
+    "stored_retrieve": stored_retrieve,
+    "stored_answer": stored_answer,
     "knn_topk": knn_topk,
     "knn_topk_cosine": knn_topk_cosine,
     "knn_topk_blocks": knn_topk_blocks,
@@ -144,3 +162,6 @@ ORACLES = {
     "qa_answer": _ANSWERS,
     "rag_answer": _ANSWERS,
 }
+
+ORACLES["stored_retrieve"] = ORACLES["rag_retrieve"]
+ORACLES["stored_answer"] = ORACLES["rag_answer"]

@@ -19,9 +19,6 @@ UNNAMED_EVENT = "event"
 INVALID_REQUEST = "Invalid request data"
 CLIENT_ERROR = "Error contacting server."
 
-# A chunk may wrap a message that wraps another; deeper nesting is not followed.
-MESSAGE_DEPTH = 3
-
 
 def names(*values: str) -> Column:
     return F.array(*[F.lit(value) for value in values])
@@ -32,21 +29,45 @@ def filled(text: Column) -> Column:
     return F.nullif(text, F.lit(""))
 
 
-def chunk_text(chunk: Column, depth: int = MESSAGE_DEPTH) -> Column:
-    """Text carried by a model chunk: a string, or an object's ``content``,
-    ``text`` or nested ``message``, whichever is first to hold something."""
-
-    def text(chunk: Column) -> Column:
-        candidates = [filled(jsonval.string_or_null(chunk))]
-        for name in ("content", "text"):
-            candidates.append(let(jsonval.field(chunk, f"$.{name}"), truthy_text))
-        if depth > 0:
-            candidates.append(filled(chunk_text(jsonval.field(chunk, "$.message"), depth - 1)))
-        return F.when(chunk.isNotNull(), F.coalesce(*candidates))
+def _own_text(chunk: Column) -> Column:
+    """Text of a chunk itself, whatever its ``message`` holds; null if none."""
 
     def truthy_text(value: Column) -> Column:
         return F.when(jsonval.is_truthy(value), jsonval.as_text(value))
 
+    fields = [let(jsonval.field(chunk, f"$.{name}"), truthy_text) for name in ("content", "text")]
+    return F.when(chunk.isNotNull(), F.coalesce(filled(jsonval.string_or_null(chunk)), *fields))
+
+
+def _message_text(message: Column) -> Column:
+    """Text of a message, or of the first of the messages nested in it that has any.
+
+    A message is nested no deeper than its name occurs in the JSON text.
+    """
+    name = '"message"'
+    json = F.to_json(message)
+    names = (F.length(json) - F.length(F.replace(json, F.lit(name), F.lit("")))) / len(name)
+
+    def state(value: Column) -> Column:
+        return F.struct(value.alias("at"), _own_text(value).alias("text"))
+
+    def step(found: Column, _: Column) -> Column:
+        inner = let(jsonval.field(found["at"], "$.message"), state)
+        return F.when(found["text"].isNotNull() | found["at"].isNull(), found).otherwise(inner)
+
+    return F.aggregate(F.sequence(F.lit(0), names.cast("int")), state(message), step, lambda found: found["text"])
+
+
+def chunk_text(chunk: Column) -> Column:
+    """Text carried by a model chunk: a string, or an object's ``content``, ``text`` or
+    nested ``message``, whichever is first to hold something; messages may nest at will."""
+
+    def nested(message: Column) -> Column:
+        return F.when(message.isNotNull(), _message_text(message))
+
+    def text(chunk: Column) -> Column:
+        return F.coalesce(_own_text(chunk), let(jsonval.field(chunk, "$.message"), nested))
+
     return F.coalesce(let(chunk, text), F.lit(""))
 
 

@@ -141,5 +141,6 @@ def event_fallback(emitted: DataFrame, requests: DataFrame, tokens: DataFrame, k
     """
     answered = emitted.select(key).distinct()
     waiting = requests.join(answered, key, "left_anti")
-    envelope = event_envelope(waiting, tokens.join(answered, key, "left_anti"), key, seq)
+    # The envelope reads the tokens of the requests it is given only.
+    envelope = event_envelope(waiting, tokens, key, seq)
     return emitted.select(key, F.col(seq).cast("bigint").alias("ord"), F.col("line").alias("text")).unionByName(envelope)

@@ -50,7 +50,8 @@ def read_client_events(lines: DataFrame, line: str = "line") -> DataFrame:
     ``token`` is the text of a token event. Other lines are events: a name that
     is not a string reads ``event``, absent data reads null. Values that are no
     objects count as events without name and data. Token events without text
-    stay, with a null token. ``data`` is JSON text.
+    stay, with a null token. ``data`` is JSON text with its keys in the line's order;
+    where a key repeats, the last one counts, and keys are sorted.
     """
     named = with_computed(
         parse_event_lines(lines, line),
@@ -58,8 +59,14 @@ def read_client_events(lines: DataFrame, line: str = "line") -> DataFrame:
         _json=chat.data_json(F.col("payload")),
     )
     first = F.substring("_json", 1, 1)
-    # VARIANT sorts the keys of objects, so nested data is taken from the line.
-    nested = F.when(first.isin("{", "["), F.get_json_object(F.col(line), "$.data"))
+    # VARIANT sorts the keys of objects, so nested data is taken from the line, but only
+    # where no key repeats: the line's first ``data`` is then what the payload holds.
+    nested = let(
+        F.when(first.isin("{", "["), F.get_json_object(F.col(line), "$.data")),
+        lambda text: F.when(
+            (F.length(text) == F.length("_json")) & (F.to_json(F.try_parse_json(text)) == F.col("_json")), text
+        ),
+    )
     string = F.when(first == '"', F.try_variant_get(F.col("payload"), "$.data", "string"))
     read = with_computed(named, data=F.coalesce(nested, F.col("_json")), _text=string)
     return (
