@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparrowline.functions import chat, jsonval
 from sparrowline.functions.binding import let, with_computed
@@ -192,12 +193,30 @@ def history_load(histories: DataFrame, base: int, session: str = SESSION, histor
     )
 
 
+def _stored_events(messages: DataFrame) -> Column:
+    """``events`` with their data as values in place of JSON text."""
+    events = F.col("events")
+    if isinstance(messages.schema["events"].dataType.elementType, T.StructType):
+        events = F.transform(
+            events, lambda e: F.struct(e["name"].alias("name"), F.try_parse_json(e["data"]).alias("data"), e["at"].alias("at"))
+        )
+    return events.alias("events")
+
+
 def history_save(
-    messages: DataFrame, session: str = SESSION, seq: str = SEQ, fields: Sequence[str] = ("role", "content", "timestamp")
+    messages: DataFrame, session: str = SESSION, seq: str = SEQ, fields: Sequence[str] | None = None
 ) -> DataFrame:
     """One JSON list of messages per session, in order. Messages become JSON
-    where they lie; a session without messages has no row."""
-    as_json = messages.select(session, seq, F.to_json(F.struct(*fields)).alias("_json"))
+    where they lie; a session without messages has no row.
+
+    The fields are ``role``, ``content``, ``timestamp`` and, where there is such a
+    column, ``events``, as :func:`fold_messages` or :func:`history_load` gives them.
+    Absent values are left out.
+    """
+    if fields is None:
+        fields = [c for c in ("role", "content", "timestamp", "events") if c != "events" or c in messages.columns]
+    values = [_stored_events(messages) if field == "events" else F.col(field) for field in fields]
+    as_json = messages.select(session, seq, F.to_json(F.struct(*values)).alias("_json"))
     joined = concat_ordered(as_json, [session], seq, "_json", "_list", separator=",")
     return joined.select(session, F.concat(F.lit("["), "_list", F.lit("]")).alias("history"))
 

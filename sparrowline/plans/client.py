@@ -34,6 +34,7 @@ def receive_messages(chunks: DataFrame, sessions: DataFrame, session: str = SESS
 
 def store_histories(user_messages: DataFrame, replies: DataFrame, session: str = SESSION) -> DataFrame:
     """One JSON history per session from ``(session, seq, role, content,
-    timestamp)`` rows of both sides."""
+    timestamp)`` rows of both sides, and the replies' ``events``."""
     columns = [session, SEQ, "role", "content", "timestamp"]
-    return history_save(user_messages.select(*columns).unionByName(replies.select(*columns)), session)
+    sides = user_messages.select(*columns).unionByName(replies.select(*columns, "events"), allowMissingColumns=True)
+    return history_save(sides, session)

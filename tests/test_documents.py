@@ -128,6 +128,20 @@ def test_index_build_is_repeatable(spark, tmp_path):
     assert index_source.read_index(spark, index).count() == 3
 
 
+def test_changed_documents_are_replaced_in_the_index(spark, tmp_path):
+    index, raw = str(tmp_path / "index"), str(tmp_path / "raw")
+    pages = [(1, 0, "a" * 25), (2, 0, "old text here"), (3, 0, "goes"), (4, 0, "same")]
+    schema = "doc_id bigint, page bigint, text string"
+    build_index(spark.createDataFrame(pages, schema), hashed(8), index, raw, size=10)
+    pages = [(1, 0, "a" * 25), (2, 0, "NEW"), (3, 0, "")]
+    for _ in range(2):
+        build_index(spark.createDataFrame(pages, schema), hashed(8), index, raw, size=5)
+        rows = index_source.read_index(spark, index).orderBy("doc_id", "pos").collect()
+        assert [(r.doc_id, r.pos, r.chunk) for r in rows] == [(1, i, "aaaaa") for i in range(5)] + [(2, 0, "NEW"), (4, 0, "same")]
+    build_index(spark.createDataFrame(pages, schema), hashed(16), index, raw, size=10)
+    assert index_source.read_index(spark, index).groupBy("model").count().count() == 2
+
+
 def test_index_is_opened_or_built(spark, tmp_path):
     index, raw = str(tmp_path / "index"), str(tmp_path / "raw")
     sources.write_raw_text(docs(spark, "hello world"), raw)

@@ -107,6 +107,9 @@ def test_strict_parsing(spark, line, value):
         ('{"content":"","text":"b"}', "b"),
         ('{"content":0,"text":false,"message":"m"}', "m"),
         ('{"message":{"message":{"content":"deep"}}}', "deep"),
+        ('{"message":' * 40 + '{"text":"deeper"}' + "}" * 40, "deeper"),
+        ('{"message":' * 5 + '"end"' + "}" * 5, "end"),
+        ('{"message":{"content":"","message":{"note":"\\"message\\"","message":null}}}', ""),
         ('{"content":[{"x":1}]}', '[{"x":1}]'),
         ('{"content":7}', "7"),
         ('{"content":[],"text":{}}', ""),

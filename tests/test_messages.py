@@ -189,3 +189,30 @@ def test_only_the_first_of_equal_messages_is_updated(spark):
     )
     got = ops.message_upsert(messages_, updates, values=["content"])
     assert {(r.pos, r.content) for r in got.collect()} == {(0, "new"), (3, "old")}
+
+
+def test_the_last_of_repeated_keys_counts(spark):
+    lines = client_lines(
+        spark,
+        '{"event":"n","data":{"a":1},"data":{"b":2}}',
+        '{"event":"n","data":{"z":1,"a":1,"a":2}}',
+        '{"event":"n","data":{"z":1,"a":[2,{"y":1,"x":2}]}}',
+    )
+    rows = ops.read_client_events(lines).orderBy("seq").collect()
+    assert [r.data for r in rows] == ['{"b":2}', '{"a":2,"z":1}', '{"z":1,"a":[2,{"y":1,"x":2}]}']
+    assert [r.summary for r in rows] == [r.data for r in rows]
+
+
+def test_histories_keep_events(spark):
+    lines = client_lines(spark, {"event": "note", "data": {"b": [1], "a": "x"}}, {"event": "token", "data": "Hi"}, {"event": "end"})
+    replies = ops.fold_messages(ops.read_client_events(lines)).selectExpr(
+        "session_id", "1L seq", "'assistant' role", "content", "5L timestamp", "events"
+    )
+    user = spark.createDataFrame([("s", 0, "user", "p", 4)], "session_id string, seq bigint, role string, content string, timestamp bigint")
+    saved = plan.store_histories(user, replies)
+    first, second = json.loads(saved.first().history)
+    assert first == {"role": "user", "content": "p", "timestamp": 4}
+    assert [(e["name"], e.get("data"), e["at"]) for e in second["events"]] == [("note", {"b": [1], "a": "x"}, 100), ("end", None, 102)]
+    loaded = ops.history_load(saved, 0).withColumn("seq", F.col("pos"))
+    again = json.loads(ops.history_save(loaded).first().history)
+    assert again[0]["events"] == [] and again[1] == second
