@@ -128,6 +128,7 @@ def class_links(
     percent: int,
     overlaps: DataFrame | None = None,
     decides: Column | None = None,
+    allowed: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Links (a, b) between classes, enough to connect all that similar pairs connect.
 
@@ -136,7 +137,8 @@ def class_links(
     (compressed words) of the classes asked for; ``overlaps`` (doc, leader_doc, overlap)
     says how much of an intersection is sure. ``decides``, over the columns ``key``,
     ``n_shingles`` and ``_n_shingles``, says whether sets of these sizes, if similar, share a
-    key like this one; a pair need not be looked at for its other keys.
+    key like this one; a pair need not be looked at for its other keys. ``allowed`` leaves out
+    pairs (a, b) that are no link however similar; texts are then fetched for the others only.
     """
     if overlaps is None:
         overlaps = stars.select("doc", "leader_doc", F.lit(0).alias("overlap")).distinct()
@@ -151,8 +153,10 @@ def class_links(
         F.max(100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")).alias("possible"),
     )
     met = materialise(met, "links-met")
-    texts = texts_of(met.select(F.col("a").alias("doc")).union(met.select("b")).distinct())
     pairs = met.filter("possible")
+    if allowed is not None:
+        pairs = met = materialise(allowed(pairs), "links-allowed")
+    texts = texts_of(met.select(F.col("a").alias("doc")).union(met.select("b")).distinct())
 
     links = pairs.filter("sure").select("a", "b")
     open_pairs = pairs.filter("NOT sure").select("a", "b")
@@ -162,7 +166,12 @@ def class_links(
     members = _members_apart(stars, seen, materialise(connected_components(links), "links-classes"))
     if members is None:
         return links
+    if allowed is not None:
+        members = materialise(members, "links-split-members")
+        texts = texts_of(members.select(F.col("class").alias("doc")).distinct())
     rest = _pairs_apart(members, texts, width, percent, decides).join(pairs.select("a", "b"), ["a", "b"], "left_anti")
+    if allowed is not None:
+        rest = allowed(materialise(rest, "links-rest"))
     return links.union(_verified(rest, texts, width, percent).select("a", "b"))
 
 
