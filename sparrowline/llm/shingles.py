@@ -173,6 +173,12 @@ def join_shingles(docs: DataFrame, *, text: str = "text", key: str = "doc_id", w
     level = F.col("key").bitwiseAND(F.lit((1 << int(_LEVEL_BITS)) - 1))
     sums = stars.groupBy("doc", "leader_doc", level.alias("level")).agg(F.sum("size").alias("overlap"))
     sums = sums.groupBy("doc", "leader_doc").agg(F.max("overlap").alias("overlap"))
+    # Partial overlaps of several rows of an id would add up: its pairs are verified.
+    several = known.groupBy("doc_id").agg(F.count("*").alias("_n")).filter("_n > 1").select("doc_id")
+    several = materialise(several, "shingle-several")
+    for of in ("doc", "leader_doc"):
+        again = several.select(F.col("doc_id").alias(of), F.lit(0).alias("_none"))
+        sums = sums.join(again, of, "left").withColumn("overlap", F.coalesce("_none", "overlap")).drop("_none")
     fetch = lambda asked: _texts_of(docs, asked)
     # Similar documents are both cut as the level of the smaller one says.
     of = Fragments(percent).level
