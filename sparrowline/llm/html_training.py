@@ -181,18 +181,30 @@ def examples(sources: list[str], layouts: int, seed: int) -> tuple[np.ndarray, n
     return np.concatenate([features(page) for page, _ in rows]), np.concatenate([known for _, known in rows])
 
 
+def labelled(source: str) -> bool:
+    """Whether a page gives labels."""
+    page = Page(source)
+    return bool(page.tags) and labels(page) is not None
+
+
 def fit(
     pages: DataFrame, *, source: str = "html", key: str = "page_id", sample: int = 300, longest: int = 100_000, layouts: int = 2,
     seed: int = 11,
 ) -> Trees:
-    """Trees fitted on the ``sample`` pages that come first in the order of a hash of ``key``.
+    """Trees fitted on the ``sample`` labelled pages that come first in the order of a hash of ``key``.
 
-    Pages of more than ``longest`` characters are not sampled. The sample is the only part of the table that reaches the driver; pages of it without
-    ``article`` or ``main`` give no labels. If none has, everything is kept.
+    Pages of more than ``longest`` characters are not sampled, nor are those without an
+    ``article`` or ``main`` element, which give no labels. The sample is the only part of the
+    table that reaches the driver. If no page gives labels, everything is kept.
     """
-    first = pages.filter(F.char_length(source) <= longest)
-    first = first.select(F.xxhash64(key).alias("_order"), F.col(source).alias("_page"))
-    chosen = [row["_page"] for row in first.orderBy("_order", "_page").limit(sample).collect()]
+    marked = F.col(source).rlike(r"(?i)<(article|main)")
+    able = pages.filter((F.char_length(source) <= longest) & marked)
+    able = able.select(F.xxhash64(key).alias("_order"), F.col(source).alias("_page"))
+    first = lambda rows: [row["_page"] for row in rows.orderBy("_order", "_page").limit(sample).collect()]
+    chosen = first(able)
+    if not all(map(labelled, chosen)):
+        # A comment or a script may hold the tag as well: only then every such page is parsed.
+        chosen = first(able.filter(F.udf(labelled, "boolean")("_page")))
     x, y = examples(chosen, layouts, seed)
     trees = Trees()
     if not len(y):
