@@ -8,11 +8,29 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparrowline.llm import bpe, html, html_training, lines, mixing, passages, quality, shingles, suffixes, topk, urls
+from sparrowline.functions.binding import with_computed
+from sparrowline.llm import (
+    alignment,
+    bpe,
+    html,
+    html_training,
+    lines,
+    mixing,
+    passages,
+    prefixes,
+    quality,
+    runs,
+    shingles,
+    suffixes,
+    topk,
+    urls,
+)
 from sparrowline.llm.shared import sha256, table
 from sparrowline.session import materialise
 
 TOKENIZER = "byte_bpe_50k.json"
+RANKS = "byte_bpe_multi_50k.tiktoken"
+PIECES = "piece_bpe_32k.model"
 MIX_CYCLE = (5.0, 2.0, 1.0)
 MIX_EPOCHS = 3.0
 POLICY = quality.V2
@@ -104,6 +122,45 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "block_score")
 
 
+def op11_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = prefixes.load(public_tokenizers.path(RANKS))
+    both = prefixes.round_trip(F.col("text"), ranks, public_tokenizers.PATTERN)
+    return (
+        table(spark, sf_dir, "documents")
+        .select("doc_id", both.alias("both"))
+        .select(
+            "doc_id",
+            (F.octet_length("both.ids") / 4).cast("long").alias("n_tokens"),
+            sha256(F.col("both.ids")).alias("ids_sha256"),
+            sha256(F.col("both.decoded")).alias("decoded_sha256"),
+        )
+    )
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    definition = bpe.load(public_tokenizers.path(TOKENIZER))
+    pieces = prefixes.load(public_tokenizers.path(PIECES))
+    return alignment.align(table(spark, sf_dir, "documents"), definition, pieces)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a planted periodic tail (``runs.repeat_tails``) and all others."""
+    docs = runs.repeat_tails(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    # Bound before lambdas look at it: a Python result cannot be taken inside them.
+    found = with_computed(docs, found=runs.find_runs(F.col("text"))).select("doc_id", "found.*")
+    best = F.col("best")
+    return found.withColumn("best", runs.strongest(F.col("runs"))).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        best["start"].alias("start"),
+        best["length"].alias("length"),
+        best["period"].alias("period"),
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        sha256(runs.lines_of(F.col("runs"))).alias("runs_sha256"),
+        sha256(F.col("collapsed")).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_bpe": op2_bpe,
@@ -115,6 +172,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_passage_dedup": op8_passage_dedup,
     "op9_shingle_join": op9_shingle_join,
     "op10_url_filter": op10_url_filter,
+    "op11_prefix_bpe": op11_prefix_bpe,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 # Words, counted in SQL: the characters between them are space and \x09 to \x0D.
