@@ -43,19 +43,30 @@ def load(path: str) -> bytes:
         return file.read()
 
 
+def _pack(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class _Known(dict):
-    """Remembers what ``find`` gives, up to ``most`` keys of ``longest`` characters."""
+    """Remembers what ``find`` gives for keys of up to ``longest`` characters.
+
+    Holds ``most`` keys, and those looked up among the ``most`` before: what is rare goes first.
+    """
 
     def __init__(self, find, most: int, longest: int = 1 << 62):
         super().__init__()
-        self.find, self.most, self.longest = find, most, longest
+        self.find, self.most, self.longest, self.older = find, most, longest, {}
 
     def __missing__(self, key):
-        found = self.find(key)
-        if not isinstance(key, str) or len(key) <= self.longest:
-            if len(self) >= self.most:
-                self.clear()
-            self[key] = found
+        found = self.older.get(key)
+        if found is None:
+            found = self.find(key)
+            if not isinstance(key, int) and len(key) > self.longest:
+                return found
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        self[key] = found
         return found
 
 
@@ -75,6 +86,7 @@ class PrefixBpe:
         self.longest = max(map(len, self.ids))
         self.pattern = regex.compile(pattern)
         self.valid = _Known(self._valid, _CACHED_PAIRS)
+        self.words = _Known(self._word, _CACHED_PIECES, _CACHED_BYTES)
         self.first = _Known(self._packed, _CACHED_PIECES, _CACHED_BYTES)
         self.later = _Known(lambda piece: self._packed(" " + piece), _CACHED_PIECES, _CACHED_BYTES)
 
@@ -92,9 +104,9 @@ class PrefixBpe:
                 ranks[at] = rank(data[cuts[at] : cuts[at + 2]])
         return [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
-    def _valid(self, pair: tuple[int, int]) -> bool:
-        """Whether the second token may follow the first; -1 stands for a word's start."""
-        before, token = pair
+    def _valid(self, pair: int) -> bool:
+        """Whether the second of two packed tokens may follow the first; -1 stands for a word's start."""
+        before, token = pair >> 32, pair & 0xFFFFFFFF
         if before < 0:
             return self._merged(self.tokens[token]) == [self.tokens[token]]
         both = [self.tokens[before], self.tokens[token]]
@@ -106,11 +118,42 @@ class PrefixBpe:
         for end in range(had + 1, len(word) + 1):
             for start in range(max(0, end - longest), end):
                 token = ids.get(word[start:end])
-                if token is not None and valid[last[start - 1] if start else -1, token]:
+                if token is not None and valid[(last[start - 1] if start else -1) << 32 | token]:
                     last.append(token)
                     break
         return len(last) - had
 
+    def _last(self, word: bytes, end: int, last: list[int | None]) -> int:
+        """One entry of a short word's table, and those that it asks for."""
+        ids, valid = self.ids, self.valid
+        for start in range(end):
+            token = ids.get(word[start:end])
+            if token is not None:
+                before = -1
+                if start and (before := last[start]) is None:
+                    before = self._last(word, start, last)
+                if valid[before << 32 | token]:
+                    last[end] = token
+                    return token
+        raise AssertionError("every byte is a token")
+
+    def _word(self, word: str) -> bytes:
+        """Packed tokens of a word. Tables of short words are filled from the end, where it is needed."""
+        data = word.encode()
+        if data in self.ids:
+            return self.ids[data].to_bytes(4, "little")
+        if len(data) > _CACHED_BYTES:
+            last = array("i")
+            self.extend(last, data)
+            return _pack(self.word_ids(data, last))
+        last: list[int | None] = [None] * (len(data) + 1)
+        found, end = [], len(data)
+        while end:
+            token = last[end] if last[end] is not None else self._last(data, end, last)
+            found.append(token)
+            end -= len(self.tokens[token])
+        return _pack(found[::-1])
+
     def word_ids(self, word: bytes, last: array) -> list[int]:
         """Tokens of a word, read backwards from its table. A word that is a token is itself."""
         if word in self.ids:
@@ -122,12 +165,7 @@ class PrefixBpe:
         return found[::-1]
 
     def _packed(self, piece: str) -> bytes:
-        found = []
-        for word in map(str.encode, self.pattern.findall(piece)):
-            last = array("i")
-            self.extend(last, word)
-            found += self.word_ids(word, last)
-        return struct.pack(f"<{len(found)}I", *found)
+        return b"".join(map(self.words.__getitem__, self.pattern.findall(piece)))
 
     def encode(self, text: str | None) -> bytes:
         """Ids of a whole text as little-endian unsigned 32-bit integers."""
