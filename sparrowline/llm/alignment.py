@@ -41,10 +41,9 @@ FAN = 8
 # Distinct (document, pair) entries that a part numbers together.
 PART_LINKS = 2_000_000
 _DICTIONARY_ROWS = 1 << 16
-# A space between characters that are no white space: no token of either stream crosses its start.
+# A space between characters that are no white space: no token of either stream crosses its start, so
+# the parts of a text cut there have the tokens they have in the whole.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-_CACHED_PIECES = 1 << 18
-_CACHED_BYTES = 64
 _SPACE = "▁"
 
 _EMPTY = np.zeros(0, np.int32)
@@ -54,26 +53,30 @@ class BytePieces:
     """Stream A: a byte-level BPE tokenizer file's text; special tokens' strings are plain text."""
 
     def __init__(self, definition: str):
-        from tokenizers import Tokenizer
+        from tiktoken import Encoding
 
-        from sparrowline.llm.bpe import byte_letters
+        from sparrowline.llm.bpe import PATTERN, byte_letters
 
-        letters = byte_letters()
-        self.model = Tokenizer.from_str(definition)
-        self.model.encode_special_tokens = True
-        self.model.no_truncation()
-        self.model.no_padding()
-        special = {t["content"] for t in json.loads(definition)["added_tokens"]}
-        vocabulary = self.model.get_vocab(with_added_tokens=True)
-        # An added token is never given out for plain text.
-        self.bytes = {i: b"" if t in special else bytes(letters[c] for c in t) for t, i in vocabulary.items()}
+        parts, letters = json.loads(definition), byte_letters()
+        special = {t["content"] for t in parts["added_tokens"]}
+        vocabulary = {t: i for t, i in parts["model"]["vocab"].items() if t not in special}
+        pairs = (m.split(" ") if isinstance(m, str) else m for m in parts["model"]["merges"])
+        made = [vocabulary[left + right] for left, right in pairs]
+        if made != sorted(made) or (parts.get("pre_tokenizer") or {}).get("type") != "ByteLevel":
+            raise ValueError("not a byte-level BPE file whose ids rank its merges")
+        ranks = {bytes(letters[c] for c in t): i for t, i in vocabulary.items()}
+        self.bytes = {i: t for t, i in ranks.items()}
+        self.model = Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-    def encode(self, piece: str) -> list[int]:
-        return self.model.encode(" " + piece, add_special_tokens=False).ids
+    def encode(self, texts: list[str]) -> Iterator[list[int]]:
+        return (self.model.encode_ordinary(" " + text) for text in texts)
 
 
 class SpacePieces:
-    """Stream B: a sentence-piece BPE model's bytes; it puts a space before each text itself."""
+    """Stream B: a sentence-piece BPE model's bytes; it puts a space before each text itself.
+
+    Its pieces must not go on after a space, and it must not change or join characters itself.
+    """
 
     def __init__(self, model: bytes):
         from sentencepiece import SentencePieceProcessor
@@ -87,8 +90,8 @@ class SpacePieces:
             plain = b"" if self.model.is_control(i) or self.model.is_unknown(i) else piece.replace(_SPACE, " ").encode()
             self.bytes[i] = bytes([int(piece[1:-1], 16)]) if self.model.is_byte(i) else plain
 
-    def encode(self, piece: str) -> list[int]:
-        return self.model.encode(piece)
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return self.model.encode(texts, num_threads=1)
 
 
 class Sizes:
@@ -102,14 +105,11 @@ class Sizes:
 
 
 class Streams(Sizes):
-    """Both tokenizers, with the ids of pieces already met."""
+    """Both tokenizers."""
 
     def __init__(self, definition: str, model: bytes):
         self.both = BytePieces(definition), SpacePieces(model)
         super().__init__(tuple(self._lengths(tokens.bytes) for tokens in self.both))
-        self.known = tuple(
-            _Known(lambda piece, tokens=tokens: self._ids(tokens, piece), _CACHED_PIECES, _CACHED_BYTES) for tokens in self.both
-        )
 
     @staticmethod
     def _lengths(texts: dict[int, bytes]) -> np.ndarray:
@@ -117,21 +117,13 @@ class Streams(Sizes):
         lengths[list(texts)] = [len(t) for t in texts.values()]
         return lengths
 
-    @staticmethod
-    def _ids(tokens: BytePieces | SpacePieces, piece: str) -> bytes:
-        """Packed ids; none where the tokens do not give the piece's bytes, so that its text comes out short."""
-        ids = tokens.encode(piece)
-        whole = b"".join(map(tokens.bytes.__getitem__, ids)) == b" " + piece.encode()
-        return np.array(ids if whole else [], "<i4").tobytes()
-
-    def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
-        """Ids of both streams for a space and ``text``; ``None`` if one of them does not give its bytes."""
-        pieces = _CUT.split(text)
-        ids = [np.frombuffer(b"".join(map(known.__getitem__, pieces)), "<i4") for known in self.known]
-        size = 1 + len(text.encode())
-        if any(int(lengths[i].sum()) != size for lengths, i in zip(self.lengths, ids, strict=True)):
-            return None
-        return ids[0], ids[1]
+    def tokens(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray] | None]:
+        """Per text, ids of both streams for a space and the text; ``None`` if one of them does not give its bytes."""
+        encoded = (tokens.encode(texts) for tokens in self.both)
+        for text, *lists in zip(texts, *encoded, strict=True):
+            whole = b" " + text.encode()
+            given = (b"".join(map(tokens.bytes.__getitem__, ids)) for tokens, ids in zip(self.both, lists, strict=True))
+            yield tuple(np.array(ids, np.int32) for ids in lists) if all(g == whole for g in given) else None
 
 
 @dataclass
@@ -376,9 +368,11 @@ def _align_short(docs: DataFrame, load: Callable[[], Streams], id_type: pa.DataT
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         streams, parts = load(), _Parts(0, id_type, part_links)
         for batch in batches:
-            for some in slices(batch, 1, 4 << 20):
-                for doc_id, text in zip(*(c.to_pylist() for c in some.columns), strict=True):
-                    ids = streams.tokens(text) if text else None
+            for some in slices(batch, 1, 1 << 20):
+                doc_ids, texts = (c.to_pylist() for c in some.columns)
+                # Null and empty texts have no tokens, whatever an empty text would be given.
+                for doc_id, text, ids in zip(doc_ids, texts, streams.tokens([t or "" for t in texts]), strict=True):
+                    ids = ids if text else None
                     found, links = _NOTHING, Links()
                     if ids:
                         found, links = _finished(streams, align_tokens(streams, *ids), len(ids[0]), len(ids[1]))
@@ -412,7 +406,7 @@ def _align_long(
         streams = load()
         for batch in batches:
             for doc_id, row, k, n, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ids = streams.tokens(text)
+                ids = next(streams.tokens([text]))
                 f = align_tokens(streams, *ids) if ids else _BAD
                 many = (len(ids[0]), len(ids[1])) if ids else (0, 0)
                 values = [doc_id, *_fragment_row(row, k, n, many, ids is not None, f)]

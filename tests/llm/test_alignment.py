@@ -145,7 +145,7 @@ def same(left, right):
 
 @pytest.mark.parametrize("size", [1, 2, 3, 7, 40])
 def test_fragments_merge_in_any_bracketing(streams, size):
-    a, b = streams.tokens("tokenisation of unusual words: 日本語 naïveté 12345 xqzzvw antidisestablishmentarianism " * 6)
+    a, b = next(streams.tokens(["tokenisation of unusual words: 日本語 naïveté 12345 xqzzvw antidisestablishmentarianism " * 6]))
     a_end, b_end = (np.cumsum(n[i]) for n, i in zip(streams.lengths, (a, b), strict=True))
     edges = [0, *range(size, int(a_end[-1]), size), int(a_end[-1])]
     parts = []
