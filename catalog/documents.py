@@ -12,6 +12,7 @@ from sparrowline.operators.embedding import check_index_model, embed_texts, inde
 from sparrowline.plans.index_build import build_index
 from sparrowline.session import work_path
 from sparrowline.sources import documents as doc_sources
+from sparrowline.sources import files
 from sparrowline.sources import index as index_source
 
 DIM = 256
@@ -31,9 +32,12 @@ def turns_as_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scan_documents(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages")
-    files = pages.select("page_id", F.encode("html", "UTF-8").alias("content"))
-    return doc_sources.extract_pages(files, key="page_id")
+    """Pages written as files below the work folder, and read by byte ranges."""
+    path = work_path(spark, "page-files")
+    name = F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("name")
+    files.write_files(table(spark, sf_dir, "pages").select(name, F.encode("html", "UTF-8").alias("content")), path)
+    page_id = F.regexp_extract("path", r"(-?[0-9]+)\.html$", 1).cast("bigint").alias("page_id")
+    return files.read_pages(spark, path, "*.html").select(page_id, "page", "text")
 
 
 def assemble_pages(spark, sf_dir):

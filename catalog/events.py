@@ -203,13 +203,36 @@ def ndjson_roundtrip(spark, sf_dir):
     )
 
 
+# Arguments of the chat requests, by the length and by the last character of their ids.
+INCLUDE_ARGS = (None, "on_chat_model_end", " , ", "all", "custom,,on_chat_model_start ")
+STREAM_ARGS = (None, "tokens", "TOKENS", "events", "tokens ")
+# The model sends nothing for requests whose ids end so: their words are sent in its place.
+SILENT = ("0", "3", "7")
+
+
 def chat_response(spark, sf_dir):
-    """Bodies to responses: validation, include lists, model events or tokens."""
-    asked = plan.accept_requests(
-        bodies(spark, sf_dir).withColumn("include_arg", F.when(F.col("request_id").endswith("0"), F.lit("on_chat_model_end")))
+    """Bodies to response bodies: validation, include lists, modes, model events or tokens.
+
+    A plain body is one row, a body of event lines one row per line."""
+    lit = lambda values: [F.lit(value).cast("string") for value in values]
+    asked = bodies(spark, sf_dir).withColumns(
+        {
+            "include_arg": inputs.choose(F.length("request_id"), lit(INCLUDE_ARGS)),
+            "stream_arg": inputs.choose(F.ascii(F.right("request_id", F.lit(1))), lit(STREAM_ARGS)),
+        }
+    )
+    asked = materialise(plan.accept_requests(asked), "accepted")
+    silent = F.right("request_id", F.lit(1)).isin(*SILENT)
+    responses = plan.respond(asked, inputs.model_events(spark, sf_dir).filter(~silent), inputs.tokens(spark, sf_dir))
+    sent = materialise(plan.deliver(responses, asked), "sent-bodies")
+    lines = sent.filter(F.col("kind") == plan.NDJSON).select(
+        "request_id", F.posexplode(F.split("text", "\n")).alias("seq", "line")
+    )
+    plain = sent.filter(F.col("kind") == plan.PLAIN_TEXT)
+    rows = line_parts(lines.filter("line <> ''")).withColumn("kind", F.lit(plan.NDJSON))
+    return rows.unionByName(
+        plain.select("request_id", "kind", F.lit(0).alias("seq"), F.col("text").alias("data")), allowMissingColumns=True
     )
-    responses = plan.respond(asked, inputs.model_events(spark, sf_dir), inputs.tokens(spark, sf_dir))
-    return plan.respond_tokens(responses)
 
 
 QUERIES = {
@@ -307,7 +330,8 @@ def sql_allowed(name: str, include: str = "include") -> str:
 
 SQL_TOKENS_ADMITTED = f"(include IS NULL OR list_has_any(include, {[*_STREAMS, chat.TOKEN]}))"
 
-_FILTERED = f"""SELECT request_id, seq, j, name FROM ({SQL_EVENTS}) JOIN ({SQL_REQUESTS}) USING (request_id)
+def sql_filtered(events: str, requests: str) -> str:
+    return f"""SELECT request_id, seq, j, name FROM ({events}) JOIN ({requests}) USING (request_id)
     WHERE CASE WHEN name IN {chat.STREAM_EVENTS} THEN include IS NULL OR list_has_any(include, {[*_STREAMS, chat.TOKEN, *_ALL]})
                ELSE {sql_allowed("name")} END"""
 
@@ -324,11 +348,17 @@ _PRUNED_DATA = f"""CASE WHEN name = 'on_chat_model_start'
     ELSE json_object('note', j->'$.data.note')::VARCHAR END"""
 _EVENT_TEXT = "coalesce(name, '5')"
 
-_SERIALIZED = f"""SELECT request_id, seq, 'token' AS event, NULL::VARCHAR AS tags, token AS data
-    FROM (SELECT request_id, seq, {sql_token("(j->'$.data')")} AS token FROM ({_FILTERED}) WHERE name IN {chat.STREAM_EVENTS})
+
+def sql_serialized(filtered: str) -> str:
+    return f"""SELECT request_id, seq, 'token' AS event, NULL::VARCHAR AS tags, token AS data
+    FROM (SELECT request_id, seq, {sql_token("(j->'$.data')")} AS token FROM ({filtered}) WHERE name IN {chat.STREAM_EVENTS})
     WHERE token <> ''
     UNION ALL SELECT request_id, seq, {_EVENT_TEXT}, NULL, {_PRUNED_DATA}
-    FROM ({_FILTERED}) WHERE coalesce(name NOT IN {chat.STREAM_EVENTS}, true)"""
+    FROM ({filtered}) WHERE coalesce(name NOT IN {chat.STREAM_EVENTS}, true)"""
+
+
+_FILTERED = sql_filtered(SQL_EVENTS, SQL_REQUESTS)
+_SERIALIZED = sql_serialized(_FILTERED)
 
 _RAW = f"""SELECT request_id, CASE role WHEN 'user' THEN text WHEN 'assistant' THEN text || chr(10) || chr(10)
     ELSE chr(8195) || '{{' || text || '}}' || chr(160) || chr(10) END AS text FROM ({SQL_TURNS})"""
@@ -351,6 +381,34 @@ def sql_envelope(requests: str, tokens: str = SQL_TOKENS) -> str:
         FROM ({requests}) LEFT JOIN ({joined}) USING (request_id) WHERE {sql_allowed(f"'{chat.END_EVENT}'")}"""
 
 
+def _sql_argument(number: str, values: tuple) -> str:
+    return inputs.sql_choose(number, ["NULL" if value is None else _sql_string(value) for value in values])
+
+
+_NAMES = f"list_filter(list_transform(string_split(coalesce(arg, ''), ','), lambda s: {sql_strip('s')}), lambda s: s <> '')"
+_SENT = f"""WITH asked AS (
+        SELECT request_id, message, CASE WHEN len(names) > 0 THEN list_append(names, '{chat.TOKEN}') END AS include,
+               coalesce(lower(mode), '') = 'tokens' AS plain
+        FROM (SELECT request_id, message, mode, {_NAMES} AS names
+              FROM (SELECT request_id, message, {_sql_argument("length(request_id)", INCLUDE_ARGS)} AS arg,
+                           {_sql_argument("ascii(right(request_id, 1))", STREAM_ARGS)} AS mode
+                    FROM ({_MESSAGES}) WHERE ok))),
+    happened AS (SELECT * FROM ({SQL_EVENTS}) WHERE right(request_id, 1) NOT IN {SILENT}),
+    emitted AS ({sql_serialized(sql_filtered("SELECT * FROM happened", "SELECT * FROM asked"))}),
+    waiting AS (SELECT * FROM asked WHERE request_id NOT IN (SELECT request_id FROM emitted)),
+    instead AS (SELECT *, regexp_matches(text, '^\\{{"event":"[a-z_]*","data":\\{{') AS whole
+        FROM ({sql_envelope("SELECT * FROM waiting")})),
+    lines AS (
+        SELECT request_id, seq::BIGINT AS ord, event, data FROM emitted
+        UNION ALL SELECT request_id, ord, CASE WHEN whole THEN text::JSON->>'$.event' ELSE 'token' END,
+            CASE WHEN whole THEN (text::JSON->'$.data')::VARCHAR ELSE text END FROM instead),
+    texts AS (SELECT request_id, string_agg(data, '' ORDER BY ord) AS text FROM lines WHERE event = 'token' GROUP BY request_id)
+    SELECT request_id, 'application/x-ndjson' AS kind, (row_number() OVER (PARTITION BY request_id ORDER BY ord) - 1)::INTEGER AS seq,
+        event, NULL::VARCHAR AS tags, data
+    FROM lines JOIN asked USING (request_id) WHERE NOT plain
+    UNION ALL SELECT request_id, 'text/plain', 0, NULL, NULL, coalesce(text, '')
+    FROM asked LEFT JOIN texts USING (request_id) WHERE plain"""
+
 _EMITTED_STREAMS = f"SELECT * FROM ({_SERIALIZED}) WHERE event = 'token'"
 
 ORACLES = {
@@ -401,8 +459,5 @@ ORACLES = {
         FROM (SELECT session_id AS request_id, seq, CASE WHEN json_valid(line) THEN line::JSON END AS j FROM ({inputs.SQL_CLIENT_LINES}))
         WHERE j->>'$.event' = '{chat.TOKEN}' AND json_type(j->'$.data') = 'VARCHAR' AND j->>'$.data' <> ''""",
     "ndjson_roundtrip": "SELECT event_id, user_id, event_type, value, props FROM events",
-    "chat_response": f"""SELECT request_id, string_agg(token, '' ORDER BY seq) AS text
-        FROM (SELECT request_id, seq, {sql_token("(j->'$.data')")} AS token FROM ({SQL_EVENTS}) WHERE name IN {chat.STREAM_EVENTS})
-        JOIN (SELECT request_id FROM ({_MESSAGES}) WHERE ok) USING (request_id)
-        WHERE token <> '' GROUP BY request_id""",
+    "chat_response": _SENT,
 }

@@ -10,10 +10,10 @@ from catalog.tables import sql_strip, sql_words, table
 from sparrowline.functions.embedders import hashed
 from sparrowline.functions.text import SENTENCE
 from sparrowline.operators import documents as doc_ops
-from sparrowline.operators import qa, search
+from sparrowline.operators import cells, qa, search
 from sparrowline.plans.retrieval import answer_questions
-from sparrowline.session import work_path
-from sparrowline.sources.index import index_build, index_open, index_rows
+from sparrowline.session import materialise, work_path
+from sparrowline.sources.index import StoredIndex, index_build, index_rows, open_index
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,11 +24,11 @@ def chunk_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index_rows(doc_ops.chunk_fixed(docs(spark, sf_dir)), hashed(DIM))
 
 
-def stored_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stored_index(spark: SparkSession, sf_dir: str) -> StoredIndex:
     """The same index, written and opened; there are no raw texts to build it from."""
     path = work_path(spark, "index")
     index_build(doc_ops.chunk_fixed(docs(spark, sf_dir)), hashed(DIM), path)
-    return index_open(spark, path, work_path(spark, "raw-text"), hashed(DIM))
+    return open_index(spark, path, work_path(spark, "raw-text"), hashed(DIM))
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,6 +55,16 @@ def knn_topk_blocks(spark, sf_dir):
     return _knn(spark, sf_dir, broadcast_bytes=0, block_rows=200)
 
 
+def knn_topk_cells(spark, sf_dir):
+    """Vectors stored by cell; cells without one of the best rows are not read."""
+    index, path = vectors(spark, sf_dir), work_path(spark, "cells")
+    centroids = cells.fit_centroids(index, cells.cells_for(index.count()))
+    table = materialise(cells.write_cells(index, path, ["vec_id"], centroids), "cell-table")
+    return cells.search_cells(
+        index.withColumnRenamed("vec_id", "query_id"), spark.read.parquet(path), table, query_id="query_id", keys=("vec_id",)
+    )
+
+
 def rag_retrieve(spark, sf_dir):
     return search.rag_retrieve(questions(spark, sf_dir), chunk_index(spark, sf_dir), hashed(DIM))
 
@@ -95,6 +105,7 @@ QUERIES = {
     "knn_topk": knn_topk,
     "knn_topk_cosine": knn_topk_cosine,
     "knn_topk_blocks": knn_topk_blocks,
+    "knn_topk_cells": knn_topk_cells,
     "rag_retrieve": rag_retrieve,
     "retrieve_first": retrieve_first,
     "qa_map": qa_map,
@@ -154,6 +165,7 @@ ORACLES = {
     "knn_topk": _L2,
     "knn_topk_cosine": _COSINE,
     "knn_topk_blocks": _L2,
+    "knn_topk_cells": _L2,
     "rag_retrieve": f"{_RETRIEVED} SELECT * FROM retrieved",
     "retrieve_first": f"{_RETRIEVED} SELECT query_id, chunk AS content FROM retrieved WHERE rank = 1",
     "qa_map": f"{_PARTIALS} SELECT * FROM partials",

@@ -11,22 +11,35 @@ from catalog import chat_inputs as inputs
 from catalog import client, events
 from catalog.tables import table
 from sparrowline.operators.messages import read_client_events
-from sparrowline.session import work_path
+from sparrowline.session import materialise, work_path
 from sparrowline.sources.ndjson import read_ndjson, stream_ndjson, stream_to_ndjson, write_ndjson
 from sparrowline.streaming.debounce import stream_debounce
 from sparrowline.streaming.events import append_table, stream_events
 from sparrowline.streaming.lines import stream_lines
-from sparrowline.streaming.messages import read_updates, save_updates, stream_fold
+from sparrowline.streaming.messages import read_messages, save_messages
+from sparrowline.streaming.run import append_live, drain
+
+# How long a key waits for more. All input is there, so its two triggers follow at once, and a
+# trigger's rows are looked at before the timers that have run out.
+IDLE_MS = 1000
 
 
 def as_stream(spark: SparkSession, rows: DataFrame, name: str) -> DataFrame:
-    """Store rows as files and open them as a stream, one file per trigger, in
+    """Store rows as files and open them as a stream, four files per trigger, in
     the order they were written."""
     path = work_path(spark, name)
     rows.write.parquet(path)
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(path)
 
 
+def in_order(spark: SparkSession, name: str, *parts: DataFrame) -> DataFrame:
+    """A stream with one trigger for each part, the parts one after the other."""
+    path, files = work_path(spark, name), 4
+    for part in parts:
+        part.repartition(files).write.mode("append").parquet(path)
+    return spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", files).parquet(path)
+
+
 def run(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
     """Run a stream in append mode to its end; the rows it gave out."""
     out = work_path(spark, name)
@@ -34,31 +47,42 @@ def run(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
+def run_until_empty(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
+    """Run a stream until its input and its state are used up; the rows it gave out."""
+    out = work_path(spark, name)
+    drain(append_live(stream, out, work_path(spark, f"{name}-checkpoint")))
+    return spark.read.schema(stream.schema).parquet(out)
+
+
 def stream_reassemble(spark, sf_dir):
-    chunks = as_stream(spark, client.document_chunks(spark, sf_dir).repartition("seq"), "chunks")
-    return run(spark, stream_lines(chunks), "lines")
+    """Half of the chunks come first. Of every fifth document those come once more with the
+    others, and every seventh document's stream never says that it has ended."""
+    chunks = client.document_chunks(spark, sf_dir)
+    chunks = chunks.withColumn("is_last", F.col("is_last") & (F.col("session_id") % 7 != 0))
+    chunks = materialise(chunks.withColumn("_later", F.xxhash64("session_id", "seq") % 2 != 0), "chunks-of-halves")
+    first, later = chunks.filter("NOT _later").drop("_later"), chunks.filter("_later").drop("_later")
+    again = first.filter("session_id % 5 = 0")
+    stream = in_order(spark, "chunks", first, later.unionByName(again))
+    return run_until_empty(spark, stream_lines(stream, idle_ms=IDLE_MS), "lines")
 
 
 def stream_saves(spark, sf_dir):
-    """Debounced saves of the users' activity; one later row per user closes the
-    last burst by moving the watermark on."""
+    """Debounced saves of the users' activity, in order of time. Nothing comes after it: the
+    last burst of a user ends as no more updates arrive."""
     activity = client.activity(spark, sf_dir)
-    end = activity.agg((F.max("ts") + F.expr("interval 60 days")).alias("ts"))
-    closing = end.select(
-        F.lit(-1).cast("bigint").alias("session_id"), "ts", F.lit(-1).cast("bigint").alias("seq"), F.lit(-1).cast("bigint").alias("state")
-    )
-    path = work_path(spark, "activity")
-    activity.write.parquet(path)
-    closing.coalesce(1).write.mode("append").parquet(path)
-    stream = spark.readStream.schema(activity.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    return run(spark, stream_debounce(stream, client.GAP_MS, "40 days"), "saves").filter("session_id >= 0").withColumn("ts", F.unix_micros("ts"))
+    middle = activity.agg(F.percentile_approx("ts", 0.5).alias("_middle"))
+    halves = materialise(activity.join(F.broadcast(middle), F.lit(True)), "activity-of-halves")
+    parts = [halves.filter(when).drop("_middle") for when in ("ts <= _middle", "ts > _middle")]
+    stream = in_order(spark, "activity", *parts)
+    saved = stream_debounce(stream, client.GAP_MS, delay_ms=60_000, idle_ms=IDLE_MS)
+    return run_until_empty(spark, saved, "saves").withColumn("ts", F.unix_micros("ts"))
 
 
 def stream_messages(spark, sf_dir):
     lines = as_stream(spark, inputs.client_lines(spark, sf_dir).repartition("seq"), "client-lines")
     out = work_path(spark, "messages")
-    save_updates(stream_fold(read_client_events(lines)), out, work_path(spark, "messages-checkpoint")).awaitTermination()
-    messages = read_updates(spark, out)
+    save_messages(read_client_events(lines), out, work_path(spark, "messages-checkpoint")).awaitTermination()
+    messages = read_messages(spark, out)
     return client.message_text(messages).join(messages.select("session_id", "latest"), "session_id")
 
 

@@ -17,6 +17,7 @@ START_EVENT = "on_chat_model_start"
 END_EVENT = "on_chat_model_end"
 UNNAMED_EVENT = "event"
 INVALID_REQUEST = "Invalid request data"
+EVENT_MODE, TOKEN_MODE = "events", "tokens"
 CLIENT_ERROR = "Error contacting server."
 
 

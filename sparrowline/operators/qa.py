@@ -6,11 +6,12 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparrowline.functions.text import distinct_words, sentences
+from sparrowline.session import materialise
 
 
 def best_sentence(question: Column, chunk: Column) -> Column:
@@ -69,19 +70,53 @@ def qa_map(retrieved: DataFrame, generator: Generator = Generator(), text: str =
 
 
 def qa_reduce(
-    partials: DataFrame, generator: Generator = Generator(), query_id: str = "query_id", text: str = "question"
+    partials: DataFrame,
+    generator: Generator = Generator(),
+    query_id: str = "query_id",
+    text: str = "question",
+    budget: int | None = None,
 ) -> DataFrame:
     """One ``result`` per query from its partial answers, in rank order.
 
-    A group has at most ``k`` rows, the number retrieved per query.
+    Without a ``budget`` a query's partials, at most ``k``, are folded at once. With one,
+    neighbouring partials of about ``budget`` characters together are folded, then what they
+    gave, level by level until one answer is left: no step takes more, but for two partials
+    that are longer together. A generator's fold sees each partial once per level.
     """
+    if budget is None:
+        return _fold(partials, generator, [query_id], text).select(query_id, "result")
+    level = partials.select(query_id, text, F.col("rank").cast("bigint").alias("rank"), "partial")
+    level = materialise(level.withColumn("_folded", F.lit(False)), "partials")
+    # Each level leaves half of a query's partials at most. It is stored, so no answer is made twice.
+    while level.groupBy(query_id).count().filter("count > 1").limit(1).count():
+        level = materialise(_fold_level(level, generator, query_id, text, budget), "partials")
+    done, alone = level.filter("_folded"), level.filter("NOT _folded")
+    folded = _fold(alone, generator, [query_id], text).select(query_id, "result")
+    return done.select(query_id, F.col("partial").alias("result")).unionByName(folded)
+
+
+def _fold(partials: DataFrame, generator: Generator, keys: list[str], text: str) -> DataFrame:
+    """``result`` of each group's partials in rank order, with the group's ``text``."""
     ranked = F.array_sort(F.collect_list(F.struct("rank", "partial")))
-    gathered = partials.groupBy(query_id).agg(
-        F.first(text).alias("_question"), F.transform(ranked, lambda pair: pair["partial"]).alias("_partials")
-    )
-    return gathered.select(
-        query_id, generator.reduce_fn(generator.prompt_fn(F.col("_question")), F.col("_partials")).alias("result")
+    gathered = partials.groupBy(*keys).agg(
+        F.first(text).alias(text), F.transform(ranked, lambda pair: pair["partial"]).alias("_partials")
     )
+    result = generator.reduce_fn(generator.prompt_fn(F.col(text)), F.col("_partials"))
+    return gathered.select(*keys, text, result.alias("result"))
+
+
+def _fold_level(level: DataFrame, generator: Generator, query_id: str, text: str, budget: int) -> DataFrame:
+    """Packs of neighbours folded; a pack of one goes on as it is."""
+    ordered = Window.partitionBy(query_id).orderBy("rank")
+    before = F.coalesce(F.sum(F.length("partial")).over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # By size, but never fewer than two in a pack but for the last.
+    pack = F.least(F.floor(before / budget), F.floor((F.row_number().over(ordered) - 1) / 2))
+    packed = level.withColumn("_pack", pack.cast("bigint"))
+    packed = packed.withColumn("_many", F.count("*").over(Window.partitionBy(query_id, "_pack")) > 1)
+    folded = _fold(packed.filter("_many"), generator, [query_id, "_pack"], text)
+    folded = folded.select(query_id, text, F.col("_pack").alias("rank"), F.col("result").alias("partial"), F.lit(True).alias("_folded"))
+    alone = packed.filter("NOT _many").select(query_id, text, F.col("_pack").alias("rank"), "partial", "_folded")
+    return folded.unionByName(alone)
 
 
 def qa_answer(queries: DataFrame, results: DataFrame, query_id: str = "query_id") -> DataFrame:

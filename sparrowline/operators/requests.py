@@ -25,6 +25,11 @@ def parse_include(requests: DataFrame, argument: str = "include_arg", out: str =
     return requests.withColumn(out, chat.parse_include(F.col(argument)))
 
 
+def parse_mode(requests: DataFrame, argument: str = "stream_arg", out: str = "mode") -> DataFrame:
+    """Add how the response is wanted: the argument in lower case, ``events`` if there is none."""
+    return requests.withColumn(out, F.coalesce(F.lower(argument), F.lit(chat.EVENT_MODE)))
+
+
 def tag_route(requests: DataFrame, route: str = "/chat") -> DataFrame:
     """Add ``metadata`` naming the route the request came by."""
     return requests.withColumn("metadata", F.create_map(F.lit("route"), F.lit(route)))

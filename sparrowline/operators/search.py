@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,9 @@ from sparrowline.functions.embedders import Embedder
 from sparrowline.operators.embedding import check_index_model, embed_texts
 from sparrowline.session import materialise
 
+if TYPE_CHECKING:
+    from sparrowline.sources.index import StoredIndex
+
 TOP_K = 3
 PLACES = 9
 # Query vectors up to this size are sent to every executor.
@@ -75,10 +79,14 @@ def knn_topk(
     else:
         blocks = max(1, math.ceil(keyed.count() / block_rows))
         found = _blocks(queries, index, k, metric, keys, schema, blocks)
-    best = Window.partitionBy(query_id).orderBy("distance", *keys)
-    ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     restored = [F.col(key).cast(index.schema[key].dataType).alias(key) for key in keys]
-    return ranked.select(query_id, "rank", *restored, "distance")
+    return rank_best(found, k, query_id, keys).select(query_id, "rank", *restored, "distance")
+
+
+def rank_best(found: DataFrame, k: int, query_id: str, keys: Sequence[str]) -> DataFrame:
+    """The best ``k`` rows of each query with their ``rank``."""
+    best = Window.partitionBy(query_id).orderBy("distance", *keys)
+    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
 def _take_bounded(queries: DataFrame, limit: int) -> pa.Table | None:
@@ -200,14 +208,17 @@ class _Best:
         self.ids = np.zeros((queries, k, keys), dtype=np.int64)
 
 
-def _improve(best: _Best, wanted: np.ndarray, rows: np.ndarray, ids: np.ndarray, metric: str) -> None:
-    """Bring a block of rows (ordered by key) into ``best``."""
+def _improve(
+    best: _Best, wanted: np.ndarray, rows: np.ndarray, ids: np.ndarray, metric: str, among: np.ndarray | None = None
+) -> None:
+    """Bring a block of rows (ordered by key) into ``best``, for all queries or those ``among`` them."""
     if wanted.shape[1] != rows.shape[1]:
         raise ValueError(f"query vectors have {wanted.shape[1]} values, index vectors {rows.shape[1]}")
     rows, ids = _without_spare_copies(rows, ids, best.k)
     step = max(1, _CELLS // len(rows))
-    for start in range(0, len(wanted), step):
-        _improve_slice(best, slice(start, start + step), wanted, rows, ids, metric)
+    for start in range(0, len(wanted) if among is None else len(among), step):
+        part = slice(start, start + step)
+        _improve_slice(best, part if among is None else among[part], wanted, rows, ids, metric)
 
 
 def _without_spare_copies(rows: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -228,7 +239,7 @@ def _without_spare_copies(rows: np.ndarray, ids: np.ndarray, k: int) -> tuple[np
 
 
 def _improve_slice(
-    best: _Best, part: slice, wanted: np.ndarray, rows: np.ndarray, ids: np.ndarray, metric: str
+    best: _Best, part: slice | np.ndarray, wanted: np.ndarray, rows: np.ndarray, ids: np.ndarray, metric: str
 ) -> None:
     wanted, k = wanted[part], best.k
     product = wanted @ rows.T
@@ -273,7 +284,7 @@ def _rows(best: _Best, ids: pa.Array, names: list[str]) -> Iterator[pa.RecordBat
 
 def rag_retrieve(
     queries: DataFrame,
-    index: DataFrame,
+    index: DataFrame | StoredIndex,
     embedder: Embedder,
     k: int = TOP_K,
     query_id: str = "query_id",
@@ -285,21 +296,32 @@ def rag_retrieve(
 
     The search reads vectors only. Its result, ``k`` short rows per query, is
     written out first, so that fetching the chunk texts is planned with its real
-    size: a broadcast below Spark's own threshold, a shuffle join above it.
+    size. A stored index leaves out cells of vectors that hold none of the best, and
+    reads texts from the buckets of the found documents only; rows of a plain
+    DataFrame are joined, as a broadcast below Spark's own threshold and by shuffle above.
     """
-    check_index_model(index, embedder)
+    stored = not isinstance(index, DataFrame)
+    if stored:
+        index.check_model(embedder)
+    else:
+        check_index_model(index, embedder)
     # Embedded once, though the search looks at the queries several times.
     asked = materialise(embed_texts(queries.select(query_id, text), embedder, text), "questions")
-    best = materialise(knn_topk(asked, index, k, metric, query_id, ("doc_id", "pos")), "topk")
+    if stored:
+        best = index.search(asked, embedder, k, metric, query_id)
+    else:
+        best = knn_topk(asked, index, k, metric, query_id, ("doc_id", "pos"))
+    best = materialise(best, "topk")
+    texts = index.texts(best) if stored else index.select("doc_id", "pos", "chunk")
     return (
-        best.join(index.select("doc_id", "pos", "chunk"), ["doc_id", "pos"])
+        best.join(texts, ["doc_id", "pos"])
         .join(asked.select(query_id, text), query_id)
         .select(query_id, text, "rank", "doc_id", "pos", "distance", "chunk")
     )
 
 
 def retrieve_first(
-    queries: DataFrame, index: DataFrame, embedder: Embedder, query_id: str = "query_id", text: str = "question"
+    queries: DataFrame, index: DataFrame | StoredIndex, embedder: Embedder, query_id: str = "query_id", text: str = "question"
 ) -> DataFrame:
     """The best chunk of every query as ``content``; empty if there is none."""
     best = rag_retrieve(queries, index, embedder, 1, query_id, text).select(query_id, "chunk")

@@ -7,11 +7,12 @@ from pyspark.sql import DataFrame
 from sparrowline.functions.embedders import Embedder
 from sparrowline.operators.qa import Generator, qa_answer, qa_map, qa_reduce
 from sparrowline.operators.search import TOP_K, rag_retrieve
+from sparrowline.sources.index import StoredIndex
 
 
 def answer_questions(
     queries: DataFrame,
-    index: DataFrame,
+    index: DataFrame | StoredIndex,
     embedder: Embedder,
     generator: Generator = Generator(),
     k: int = TOP_K,

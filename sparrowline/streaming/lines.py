@@ -6,61 +6,111 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from sparrowline.functions.text import CLIENT_SPACE
+from sparrowline.streaming.run import use_keyed_state
 
-_STATE = (
-    "next_seq bigint, line_no bigint, remainder binary,"
-    " early_seq array<bigint>, early_data array<binary>, early_last array<boolean>"
-)
+# A session without a chunk for this long has ended, as a closed connection has.
+IDLE_MS = 300_000
 
+_PLACE = "next_seq bigint, line_no bigint, remainder binary, early bigint, ended boolean, timer bigint"
 
-def stream_lines(chunks: DataFrame, session: str = "session_id") -> DataFrame:
-    """``(session, line_no, line)`` as lines are completed.
 
-    ``chunks`` has ``(session, seq, data, is_last)`` with ``seq`` from 0. State
-    holds the unfinished line and the chunks that came before their turn; the
-    chunk marked ``is_last`` completes the last line and clears the state.
+class _Lines(StatefulProcessor):
+    """State of a session: the open line, chunks that came before their turn, and a timer.
+
+    A session ends with its chunk marked last, or when its timer runs out. It is then
+    remembered for as long again, so chunks sent twice are known, and forgotten.
     """
-    kind = chunks.schema[session].dataType.simpleString()
 
-    def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        next_seq, line_no, remainder, waiting = 0, 0, b"", {}
-        if state.exists:
-            next_seq, line_no, remainder, seqs, datas, lasts = state.get
-            waiting = dict(zip(seqs, zip(datas, lasts, strict=True), strict=True))
-        open_line = [bytes(remainder)]
-        done = False
-        for batch in batches:
-            waiting.update(zip(batch["seq"], zip(batch["data"], batch["is_last"], strict=True), strict=True))
-            rows = []
-            while next_seq in waiting:
-                data, done = waiting.pop(next_seq)
+    def __init__(self, session: str, idle_ms: int):
+        self.session, self.idle_ms = session, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.place = handle.getValueState("place", _PLACE)
+        self.early = handle.getMapState("early", "seq bigint", "data binary, is_last boolean")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        next_seq, line_no, remainder, early, ended, timer = 0, 0, b"", 0, False, None
+        if self.place.exists():
+            next_seq, line_no, remainder, early, ended, timer = self.place.get()
+        open_line, found, fresh = [bytes(remainder)], [], {}
+        for batch in rows:
+            for seq, data, last in zip(batch["seq"], batch["data"], batch["is_last"], strict=True):
+                # What was used before is a repetition.
+                if seq >= next_seq and not ended:
+                    fresh[seq] = (bytes(data), bool(last))
+            while not ended:
+                if next_seq in fresh:
+                    data, ended = fresh.pop(next_seq)
+                elif early and self.early.containsKey((next_seq,)):
+                    data, ended = self.early.getValue((next_seq,))
+                    self.early.removeKey((next_seq,))
+                    early -= 1
+                else:
+                    break
                 next_seq += 1
                 head, *tail = bytes(data).split(b"\n")
                 open_line.append(head)
                 for piece in tail:
-                    rows.append((line_no, b"".join(open_line)))
+                    found.append((line_no, b"".join(open_line)))
                     line_no += 1
                     open_line = [piece]
-                if done:
-                    rows.append((line_no, b"".join(open_line)))
-                    break
-            texts = ((number, data.decode("utf-8", "replace").strip(CLIENT_SPACE)) for number, data in rows)
-            lines = [(key[0], number, text) for number, text in texts if text]
-            if lines:
-                yield pd.DataFrame(lines, columns=[session, "line_no", "line"])
-            if done:
-                break
-        if done:
-            state.remove()
-        else:
-            seqs = [int(seq) for seq in waiting]
-            datas = [bytes(data) for data, _ in waiting.values()]
-            lasts = [bool(last) for _, last in waiting.values()]
-            state.update((next_seq, line_no, b"".join(open_line), seqs, datas, lasts))
-
-    return chunks.groupBy(session).applyInPandasWithState(
-        advance, f"`{session}` {kind}, line_no bigint, line string", _STATE, "append", GroupStateTimeout.NoTimeout
+            if found:
+                yield self._frame(key, found)
+                found = []
+        if ended:
+            if any(open_line):
+                yield self._frame(key, [(line_no, b"".join(open_line))])
+            open_line, early = [], 0
+            self.early.clear()
+        for seq, chunk in {} if ended else fresh.items():
+            early += not (early and self.early.containsKey((seq,)))
+            self.early.updateValue((seq,), chunk)
+        if timer is not None:
+            self.handle.deleteTimer(timer)
+        self._keep((next_seq, line_no, b"".join(open_line), early, ended), timerValues)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        next_seq, line_no, remainder, _, ended, _ = self.place.get()
+        if ended:
+            self.place.clear()
+            return
+        if remainder:
+            yield self._frame(key, [(line_no, bytes(remainder))])
+        # Chunks behind a gap have no line number: they go with their session.
+        self.early.clear()
+        self._keep((next_seq, line_no, b"", 0, True), timerValues)
+
+    def close(self) -> None:
+        pass
+
+    def _keep(self, state: tuple, timerValues) -> None:
+        timer = timerValues.getCurrentProcessingTimeInMs() + self.idle_ms
+        self.place.update((*state, timer))
+        self.handle.registerTimer(timer)
+
+    def _frame(self, key: tuple, lines: list[tuple[int, bytes]]) -> pd.DataFrame:
+        texts = ((number, data.decode("utf-8", "replace").strip(CLIENT_SPACE)) for number, data in lines)
+        kept = [(key[0], number, text) for number, text in texts if text]
+        return pd.DataFrame(kept, columns=[self.session, "line_no", "line"])
+
+
+def stream_lines(chunks: DataFrame, session: str = "session_id", idle_ms: int = IDLE_MS) -> DataFrame:
+    """``(session, line_no, line)`` as lines are completed.
+
+    ``chunks`` has ``(session, seq, data, is_last)`` with ``seq`` from 0. Chunks may come in
+    any order and more than once. The chunk marked ``is_last`` completes the last line; a
+    session that gets no chunk for ``idle_ms`` of processing time ends as well: its open line
+    is given out, chunks behind one that never came are not. State goes ``idle_ms`` after
+    the end; until then a repeated chunk gives nothing. Run it with a processing-time
+    trigger, whose triggers also let timers run out when nothing arrives.
+    """
+    use_keyed_state(chunks.sparkSession)
+    kind = chunks.schema[session].dataType.simpleString()
+    columns = chunks.select(session, "seq", "data", "is_last")
+    return columns.groupBy(session).transformWithStateInPandas(
+        _Lines(session, idle_ms), f"`{session}` {kind}, line_no bigint, line string", "append", "ProcessingTime"
     )

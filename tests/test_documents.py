@@ -10,6 +10,7 @@ from sparrowline.operators import documents as ops
 from sparrowline.operators.embedding import ModelMismatch, check_index_model
 from sparrowline.plans.index_build import build_index
 from sparrowline.sources import documents as sources
+from sparrowline.sources import files
 from sparrowline.sources import index as index_source
 
 
@@ -142,6 +143,85 @@ def test_changed_documents_are_replaced_in_the_index(spark, tmp_path):
     assert index_source.read_index(spark, index).groupBy("model").count().count() == 2
 
 
+def chunked(spark, *texts):
+    rows = [(i, pos, part) for i, text in enumerate(texts) for pos, part in enumerate(text.split("|")) if part]
+    return spark.createDataFrame(rows, "doc_id bigint, pos int, chunk string")
+
+
+def stored_chunks(spark, path):
+    rows = index_source.read_index(spark, path).select("doc_id", "pos", "chunk").collect()
+    return sorted((r.doc_id, r.pos, r.chunk) for r in rows)
+
+
+def test_updates_are_versions_that_read_no_stored_text(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "index")
+    index_source.index_build(chunked(spark, "a|b", "c", "d"), hashed(8), path)
+    plans = []
+    changed = index_source._changed
+
+    def watched(*args):
+        found = changed(*args)
+        plans.append(found._jdf.queryExecution().executedPlan().toString())
+        return found
+
+    monkeypatch.setattr(index_source, "_changed", watched)
+    update = chunked(spark, "a|b", "C|more", "", "new")
+    index_source.index_build(update, hashed(8), path, docs=spark.range(4).withColumnRenamed("id", "doc_id"))
+    assert stored_chunks(spark, path) == [(0, 0, "a"), (0, 1, "b"), (1, 0, "C"), (1, 1, "more"), (3, 0, "new")]
+    scans = [line for line in plans[0].split("\n") if "FileScan" in line or "ReadSchema" in line]
+    assert scans and not any("chunk" in line for line in scans)
+    # Only the documents that changed were written.
+    written = spark.read.parquet(f"{path}/rows/version=2")
+    assert sorted(r.doc_id for r in written.select("doc_id").distinct().collect()) == [1, 3]
+    # The same once more brings nothing.
+    index_source.index_build(update, hashed(8), path, docs=spark.range(4).withColumnRenamed("id", "doc_id"))
+    assert len(index_source.StoredIndex(spark, path).versions) == 2
+
+
+def test_a_kill_before_the_switch_leaves_the_old_index(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "index")
+    index_source.index_build(chunked(spark, "a", "b"), hashed(8), path)
+    before = stored_chunks(spark, path)
+
+    def killed(*args):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as patch:
+        patch.setattr(index_source, "_publish", killed)
+        for mode in ("append", "overwrite"):
+            with pytest.raises(KeyboardInterrupt):
+                index_source.index_build(chunked(spark, "x", "b", "y"), hashed(8), path, mode)
+            assert stored_chunks(spark, path) == before
+    index_source.index_build(chunked(spark, "x", "b"), hashed(8), path)
+    assert stored_chunks(spark, path) == [(0, 0, "x"), (1, 0, "b")]
+
+
+def test_the_second_of_two_updates_at_once_fails(spark, tmp_path):
+    path = str(tmp_path / "index")
+    index_source.index_build(chunked(spark, "a"), hashed(8), path)
+    versions = index_source.StoredIndex(spark, path).versions
+    index_source._publish(spark, path, versions, 2)
+    with pytest.raises(RuntimeError, match="another update"):
+        index_source._publish(spark, path, versions, 2)
+
+
+def test_compaction_keeps_rows_and_splits_buckets(spark, tmp_path):
+    path = str(tmp_path / "index")
+    texts = [f"text {i}|" + "x" * 50 for i in range(20)]
+    index_source.index_build(chunked(spark, *texts[:10]), hashed(8), path, bucket_bytes=10_000)
+    for i in (3, 12, 20):
+        index_source.index_build(chunked(spark, *texts[:i], *(t + "!" for t in texts[i:])), hashed(8), path, bucket_bytes=200)
+    before = stored_chunks(spark, path)
+    index = index_source.StoredIndex(spark, path)
+    assert [v.buckets for v in index.versions][0] == 1 and len(index.versions) == 4
+    index_source.compact_index(spark, path, bucket_bytes=200)
+    assert stored_chunks(spark, path) == before == stored_chunks(spark, path)
+    (version,) = index_source.StoredIndex(spark, path).versions
+    assert version.buckets >= 4 and version.buckets & (version.buckets - 1) == 0
+    index_source.index_build(chunked(spark, *texts), hashed(8), path)
+    assert len(index_source.StoredIndex(spark, path).versions) == 1
+
+
 def test_index_is_opened_or_built(spark, tmp_path):
     index, raw = str(tmp_path / "index"), str(tmp_path / "raw")
     sources.write_raw_text(docs(spark, "hello world"), raw)
@@ -164,3 +244,59 @@ def test_model_hook(spark):
 
     embedder = from_model("length", 2, load)
     assert docs(spark, "abc").select(embedder.vector(ops.F.col("text")).alias("v")).first().v == [3.0, 1.0]
+
+
+def write_all(folder, **contents):
+    folder.mkdir(exist_ok=True)
+    for name, content in contents.items():
+        (folder / f"{name}.txt").write_bytes(content)
+    return str(folder)
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 5, 64, 1 << 20])
+def test_pages_of_files_in_byte_ranges(spark, tmp_path, size):
+    contents = {"a": "é one\ftwo\f\fthree".encode(), "b": b"", "c": b"\f", "d": b"x" * 50, "e": b"tail\f", "f": b"bad \xff\xfe"}
+    path = write_all(tmp_path / "in", **contents)
+    write_all(tmp_path / "in" / "_hidden", z=b"not read")
+    found = files.read_pages(spark, path, range_bytes=size).collect()
+    got = sorted((r.path.rsplit("/", 1)[1][0], r.page, r.text) for r in found)
+    assert got == [(n, i, t) for n, c in contents.items() for i, t in enumerate(c.decode("utf-8", "replace").split("\f"))]
+
+
+def test_large_files_are_split_and_small_ones_read_together(tmp_path):
+    path = write_all(tmp_path / "in", big=b"x" * 1_000_000, **{f"s{i}": b"y" for i in range(40)})
+    listed = files.list_files(path)
+    ranges = [r for _, name, size in listed for r in files.ranges_of(name, size, 200_000)]
+    shares = files.shares_of(iter(ranges), 200_000)
+    assert sum(len(s.ranges) for s in shares) == len(ranges) == 45
+    assert 5 <= len(shares) <= 5 + 40 // 3
+    assert max(sum(r.high - r.low for r in s.ranges) for s in shares) <= 200_000
+
+
+def test_files_with_an_extractor_and_a_glob(spark, tmp_path):
+    path = write_all(tmp_path / "in", a=b"1,2", b=b"3")
+    (tmp_path / "in" / "c.bin").write_bytes(b"9,9")
+    pages = files.read_pages(spark, path, "*.txt", lambda content: content.decode().split(","))
+    assert sorted((r.page, r.text) for r in pages.collect()) == [(0, "1"), (0, "3"), (1, "2")]
+    assert files.read_pages(spark, write_all(tmp_path / "none")).collect() == []
+    with pytest.raises(Exception, match="FileNotFound"):
+        files.read_pages(spark, str(tmp_path / "missing")).collect()
+
+
+def test_files_written_and_read_as_a_stream(spark, tmp_path):
+    source, out, checkpoint = (str(tmp_path / name) for name in ("files", "out", "checkpoint"))
+
+    def add(*rows):
+        files.write_files(spark.createDataFrame([(n, bytearray(c) if c is not None else None) for n, c in rows], "name string, content binary"), source)
+
+    def run():
+        query = files.stream_pages(spark, source).writeStream.format("parquet").option("checkpointLocation", checkpoint)
+        query.trigger(availableNow=True).start(out).awaitTermination()
+        return sorted((r.path.rsplit("/", 1)[1], r.start, r.text) for r in spark.read.parquet(out).collect())
+
+    add(("a", b"one\ftwo"), ("none", None))
+    first = [("a", 0, "one"), ("a", 4, "two")]
+    assert run() == first
+    add(("b", b"three"))
+    assert run() == [*first, ("b", 0, "three")]
+    assert run() == [*first, ("b", 0, "three")]

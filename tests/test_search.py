@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 from sparrowline.functions.embedders import from_model, hashed
 from sparrowline.functions.vectors import cosine_distance, squared_l2
 from sparrowline.operators import qa
-from sparrowline.operators.search import knn_topk, retrieve_first
+from sparrowline.operators.embedding import ModelMismatch
+from sparrowline.operators.search import knn_topk, rag_retrieve, retrieve_first
 from sparrowline.plans.retrieval import answer_questions
-from sparrowline.sources.index import index_rows
+from sparrowline.sources.index import StoredIndex, index_build, index_rows, open_index
+from tests.test_plans import plan
 
 WAYS = [{}, {"broadcast_bytes": 0, "block_rows": 50}, {"broadcast_bytes": 0, "block_rows": 10_000}]
 
@@ -128,8 +130,84 @@ def test_generator_hook(spark):
     assert answer == "ONE:one+ONE:two"
 
 
+@pytest.mark.parametrize("budget", [1, 300, 10**6])
+def test_partials_folded_in_a_tree_give_what_they_give_at_once(spark, budget):
+    """500 partials of one query, few of others; the default fold is associative."""
+    draw = np.random.default_rng(1)
+    rows = [(1, "q", i, f"part {draw.integers(80)}" if i % 5 else "") for i in range(500)]
+    rows += [(2, "q", 7, "alone"), (3, "q", 0, ""), (4, "q", 1, "x"), (4, "q", 0, "y"), (5, "q", 0, "long " * 50), (5, "q", 2, "long")]
+    partials = spark.createDataFrame(rows, "query_id bigint, question string, rank int, partial string").repartition(4)
+    flat = {r.query_id: r.result for r in qa.qa_reduce(partials).collect()}
+    tree = {r.query_id: r.result for r in qa.qa_reduce(partials, budget=budget).collect()}
+    # Distinct lines: a fold of folds cuts the lines of its parts again.
+    assert {q: list(dict.fromkeys(r.split("\n"))) for q, r in tree.items()} == {q: r.split("\n") for q, r in flat.items()}
+
+
+def test_a_fold_in_a_tree_takes_no_more_than_its_budget(spark):
+    def load():
+        def fold(questions, partials):
+            return pd.Series([f"<{len(parts)}:{max(map(len, parts))}>" if sum(map(len, parts)) <= 24 else "too much" for parts in partials])
+
+        return (lambda questions, chunks: chunks), fold
+
+    rows = [(1, "q", i, "1234") for i in range(100)]
+    partials = spark.createDataFrame(rows, "query_id bigint, question string, rank int, partial string")
+    assert "too much" not in qa.qa_reduce(partials, qa.from_model(load), budget=20).first().result
+
+
 def test_keys_must_be_integers(spark):
     index = spark.createDataFrame([("0:1", [1.0])], "chunk_id string, embedding array<double>")
     queries = spark.createDataFrame([(1, [1.0])], "query_id long, embedding array<double>")
     with pytest.raises(ValueError, match="chunk_id"):
         knn_topk(queries, index, keys=("chunk_id",))
+
+
+@pytest.fixture(scope="module")
+def stored(spark, tmp_path_factory):
+    """Four updates of one index: every text once, some changed later."""
+    path = str(tmp_path_factory.mktemp("stored") / "index")
+    words = ["cat", "dog", "bird", "fish", "tree", "stone"]
+    texts = [" ".join(words[(i * j) % 6] for j in range(1, 8)) + f" n{i}" for i in range(60)]
+    for part in (texts[:30], texts[:40], [t + " again" if i % 9 == 0 else t for i, t in enumerate(texts)]):
+        rows = spark.createDataFrame([(i, 0, t) for i, t in enumerate(part)], "doc_id bigint, pos int, chunk string")
+        index_build(rows, hashed(32), path, bucket_bytes=400)
+    return StoredIndex(spark, path)
+
+
+ASKED = ["cat dog n3", "bird fish stone n41", "tree again", "nothing known", "n27"]
+
+
+def retrieved(frame):
+    return [tuple(r) for r in frame.orderBy("query_id", "rank").select("query_id", "rank", "doc_id", "pos", "distance", "chunk").collect()]
+
+
+def test_a_stored_index_answers_as_its_rows_do(spark, stored):
+    questions = ask(spark, *ASKED)
+    for metric in ("l2", "cosine"):
+        plain = rag_retrieve(questions, stored.rows(), hashed(32), metric=metric)
+        assert retrieved(rag_retrieve(questions, stored, hashed(32), metric=metric)) == retrieved(plain)
+    assert len(stored.versions) == 3
+    first = retrieve_first(questions, stored, hashed(32)).collect()
+    assert sorted(first) == sorted(retrieve_first(questions, stored.rows(), hashed(32)).collect())
+
+
+def test_texts_are_read_from_named_buckets_and_documents(spark, stored):
+    found = spark.createDataFrame([(3, 0), (41, 0), (3, 0), (9, 0), (99, 0)], "doc_id bigint, pos int")
+    text = plan(stored.texts(found))
+    scans = [line for line in text.split("\n") if "FileScan" in line or "Scan parquet" in line]
+    assert any("bucket" in line and "In(doc_id" in line for line in scans), scans
+    wanted = {r.doc_id: r.chunk for r in stored.rows().collect()}
+    for named in (1000, 1):
+        got = {(r.doc_id, r.chunk) for r in stored.texts(found, named_docs=named).collect()}
+        assert got == {(i, wanted[i]) for i in (3, 41, 9)}
+
+
+def test_a_stored_index_refuses_another_model(spark, stored):
+    with pytest.raises(ModelMismatch):
+        rag_retrieve(ask(spark, "x"), stored, hashed(16))
+
+
+def test_an_empty_stored_index(spark, tmp_path):
+    empty = open_index(spark, str(tmp_path / "index"), str(tmp_path / "none"), hashed(8))
+    assert rag_retrieve(ask(spark, "x"), empty, hashed(8)).collect() == []
+    assert retrieve_first(ask(spark, "x"), empty, hashed(8)).first().content == ""

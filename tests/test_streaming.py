@@ -8,7 +8,9 @@ from sparrowline.operators.messages import read_client_events
 from sparrowline.streaming.debounce import stream_debounce
 from sparrowline.streaming.events import append_table, stream_events
 from sparrowline.streaming.lines import stream_lines
-from sparrowline.streaming.messages import read_updates, save_updates, stream_fold
+from sparrowline.streaming import messages
+from sparrowline.streaming.messages import read_messages, save_messages, upsert_live
+from sparrowline.streaming.run import append_live, drain
 
 
 def feed(spark, tmp_path, schema, *batches):
@@ -28,42 +30,120 @@ def drain(spark, stream, tmp_path):
 CHUNK = "session_id string, seq bigint, data binary, is_last boolean"
 
 
-def test_lines_across_triggers_and_out_of_order(spark, tmp_path):
-    data = "one é\n\n two\nthree \U0001f600\nend".encode()
-    pieces = [data[i : i + 3] for i in range(0, len(data), 3)]
-    rows = [("a", i, bytearray(p), i == len(pieces) - 1) for i, p in enumerate(pieces)]
-    open_ended = [("b", 0, bytearray(b"x\ny"), False)]
-    stream = feed(spark, tmp_path, CHUNK, rows[5:7] + rows[1:2], rows[0:1] + open_ended, rows[7:], rows[2:5])
-    found = sorted((r.session_id, r.line_no, r.line) for r in drain(spark, stream_lines(stream), tmp_path).collect())
-    assert found == [("a", 0, "one é"), ("a", 2, "two"), ("a", 3, "three \U0001f600"), ("a", 4, "end"), ("b", 0, "x")]
+def drained(spark, stream, tmp_path):
+    out = str(tmp_path / "out")
+    drain(append_live(stream, out, str(tmp_path / "checkpoint")), 120)
+    return spark.read.schema(stream.schema).parquet(out)
+
+
+def state_rows(spark, tmp_path, name):
+    """What the state reader finds of a state after the stream was stopped."""
+    reader = spark.read.format("statestore").option("stateVarName", name)
+    return reader.load(str(tmp_path / "checkpoint")).count()
+
+
+def cut(text, size=3):
+    return [text[i : i + size] for i in range(0, len(text), size)]
 
 
-def test_debounce_equals_batch(spark, tmp_path):
+def test_lines_of_replayed_late_and_unended_sessions(spark, tmp_path):
+    pieces = cut("one é\n\n two\nthree \U0001f600\nend".encode())
+    rows = [("a", i, bytearray(p), i == len(pieces) - 1) for i, p in enumerate(pieces)]
+    unended = [("b", 0, bytearray(b"x\ny"), False)]
+    gap = [("c", 0, bytearray(b"u\nv"), False), ("c", 2, bytearray(b"\nlost"), True)]
+    replays = rows[:4] + unended + rows[-2:]
+    stream = feed(spark, tmp_path, CHUNK, rows[5:7] + rows[1:2], rows[0:1] + unended + gap, rows[7:] + rows[5:6], rows[2:5], replays)
+    found = drained(spark, stream_lines(stream, idle_ms=4000), tmp_path)
+    lines = sorted((r.session_id, r.line_no, r.line) for r in found.collect())
+    assert lines == [
+        ("a", 0, "one é"),
+        ("a", 2, "two"),
+        ("a", 3, "three \U0001f600"),
+        ("a", 4, "end"),
+        ("b", 0, "x"),
+        ("b", 1, "y"),
+        ("c", 0, "u"),
+        ("c", 1, "v"),
+    ]
+    assert state_rows(spark, tmp_path, "place") == 0
+    assert state_rows(spark, tmp_path, "early") == 0
+
+
+def test_debounce_equals_batch_without_a_closing_row(spark, tmp_path):
     t0 = datetime.datetime(2024, 1, 1)
     offsets = [0, 100, 400, 701, 1_500, 1_600, 9_000]
     rows = [("s", t0 + datetime.timedelta(milliseconds=ms), i, f"v{i}") for i, ms in enumerate(offsets)]
+    rows += [("t", t0, 0, "early"), ("t", t0, 1, "later place"), ("u", t0, 0, None)]
     schema = "session_id string, ts timestamp, seq bigint, state string"
-    stream = feed(spark, tmp_path, schema, rows[:3], rows[3:5], rows[5:])
-    saved = [r.state for r in drain(spark, stream_debounce(stream), tmp_path).orderBy("ts").collect()]
-    batch = [r.state for r in ops.debounce_latest(spark.createDataFrame(rows, schema)).orderBy("ts").collect()]
-    # The last burst stays open until something later arrives.
-    assert saved == batch[:-1] == ["v2", "v3", "v5"]
+    # The third row comes after the fourth, within the delay.
+    stream = feed(spark, tmp_path, schema, rows[:2] + rows[3:4], rows[2:3] + rows[7:], rows[4:5], rows[5:7])
+    saved = drained(spark, stream_debounce(stream, delay_ms=500, idle_ms=4000), tmp_path)
+    batch = ops.debounce_latest(spark.createDataFrame(rows, schema))
+    key = lambda r: (r.session_id, r.ts)
+    assert sorted(saved.collect(), key=key) == sorted(batch.select(*saved.columns).collect(), key=key)
+    assert state_rows(spark, tmp_path, "open") == 0
 
 
 LINE = "session_id string, seq bigint, line string, at bigint"
 
 
-def test_messages_grow(spark, tmp_path):
+def events_of(spark, rows):
+    return read_client_events(spark.createDataFrame(rows, LINE))
+
+
+def test_messages_grow_by_what_arrives(spark, tmp_path):
     values = [{"event": "start"}, {"event": "token", "data": "Hi"}, {"event": "token", "data": " you"}, {"event": "end", "data": {"n": 1}}]
-    rows = [("s", i, json.dumps(v), i) for i, v in enumerate(values)]
-    stream = feed(spark, tmp_path, LINE, rows[:2], rows[3:], rows[2:3])
+    rows = [("s", i, json.dumps(v), i) for i, v in enumerate(values)] + [("t", 0, json.dumps(values[1]), 0)]
+    # The third event comes last, and one line comes twice.
+    stream = feed(spark, tmp_path, LINE, rows[:2], rows[3:4] + rows[1:2], rows[4:], rows[2:3])
+    out = str(tmp_path / "messages")
+    save_messages(read_client_events(stream), out, str(tmp_path / "checkpoint")).awaitTermination()
+    assert spark.read.parquet(f"{out}/events").groupBy("batch").count().orderBy("batch").select("count").collect() == [(2,), (2,), (1,), (1,)]
+    now = {r.session_id: r for r in read_messages(spark, out).collect()}
+    batch = {r.session_id: r for r in ops.fold_messages(events_of(spark, rows)).collect()}
+    assert now.keys() == batch.keys()
+    for name in now:
+        assert (now[name].content, now[name].events) == (batch[name].content, batch[name].events)
+    assert (now["s"].latest, now["t"].latest) == ('end: {"n":1}', "")
+
+
+def test_a_trigger_run_again_changes_nothing(spark, tmp_path):
+    out = str(tmp_path / "messages")
+    rows = [("s", i, json.dumps({"event": "token", "data": f"t{i} "}), i) for i in range(8)]
+
+    def store(number, part):
+        path = f"{out}/events/batch={number}"
+        messages._store(messages.as_pieces(events_of(spark, part)), path, "session_id")
+
+    for number in range(4):
+        store(number, rows[2 * number : 2 * number + 2])
+    before = read_messages(spark, out).collect()
+    store(3, rows[6:])
+    assert read_messages(spark, out).collect() == before
+    messages.compact_messages(spark, out, 1)
+    messages.compact_messages(spark, out, 3)
+    # Folded triggers that are run again are not read any more.
+    store(2, rows[4:6])
+    assert read_messages(spark, out).collect() == before
+    assert before[0].content == "".join(f"t{i} " for i in range(8))
+    folded = spark.read.parquet(f"{out}/pieces/upto=3")
+    assert folded.select("first", "last").collect() == [(0, 7)]
+
+
+def test_live_messages_take_their_place_in_a_history(spark, tmp_path):
     out = str(tmp_path / "messages")
-    save_updates(stream_fold(read_client_events(stream)), out, str(tmp_path / "checkpoint")).awaitTermination()
-    assert [r.content for r in spark.read.parquet(out).orderBy("batch").collect()] == ["Hi", "Hi", "Hi you"]
-    now = read_updates(spark, out).first()
-    batch = ops.fold_messages(read_client_events(spark.createDataFrame(rows, LINE))).first()
-    assert (now.content, now.events) == (batch.content, batch.events)
-    assert now.latest == 'end: {"n":1}'
+    rows = [(s, i, json.dumps({"event": "token", "data": d}), i) for s in "ab" for i, d in enumerate(["so ", "far"])]
+    messages._store(messages.as_pieces(events_of(spark, rows)), f"{out}/events/batch=0", "session_id")
+    kind = "array<struct<name:string,data:string,at:bigint>>"
+    schema = f"session_id string, role string, timestamp bigint, pos bigint, content string, events {kind}"
+    history = spark.createDataFrame([("a", "user", 1, 0, "q", []), ("a", "assistant", 2, 1, "so", [])], schema)
+    replies = spark.createDataFrame([("a", 2), ("b", 9)], "session_id string, timestamp bigint")
+    merged = upsert_live(history, read_messages(spark, out), replies).collect()
+    assert sorted((r.session_id, r.role, r.timestamp, r.content) for r in merged) == [
+        ("a", "assistant", 2, "so far"),
+        ("a", "user", 1, "q"),
+        ("b", "assistant", 9, "so far"),
+    ]
 
 
 def test_a_restart_repeats_nothing(spark, tmp_path):
