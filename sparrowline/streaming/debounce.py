@@ -15,9 +15,8 @@ from sparrowline.streaming.run import use_keyed_state
 class _Saves(StatefulProcessor):
     """Last updates of bursts that may still go on, and a timer that runs while nothing comes."""
 
-    def __init__(self, names: tuple[str, str, str], kind: str, gap_us: int, delay_us: int, idle_ms: int):
-        self.names, self.kind = names, kind
-        self.gap_us, self.delay_us, self.idle_ms = gap_us, delay_us, idle_ms
+    def __init__(self, kind: str, gap_us: int, delay_us: int, idle_ms: int):
+        self.kind, self.gap_us, self.delay_us, self.idle_ms = kind, gap_us, delay_us, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -31,7 +30,7 @@ class _Saves(StatefulProcessor):
         # What is older than the delay allows belongs to a burst that has been given out.
         since = None if top is None else top - self.delay_us - self.gap_us
         for batch in rows:
-            for ts, seq, state in zip(batch["_us"], batch["_seq"], batch["_state"], strict=True):
+            for ts, seq, state in zip(batch["us"], batch["place"], batch["value"], strict=True):
                 if since is None or ts >= since:
                     held.append((int(ts), int(seq), state))
         held.sort(key=lambda update: update[:2])
@@ -59,7 +58,7 @@ class _Saves(StatefulProcessor):
         pass
 
     def _frame(self, key: tuple, updates: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame([(key[0], ts, state) for ts, _, state in updates], columns=["_key", "_us", "_state"])
+        return pd.DataFrame([(key[0], ts, state) for ts, _, state in updates], columns=["owner", "us", "value"])
 
 
 def stream_debounce(
@@ -83,13 +82,13 @@ def stream_debounce(
     use_keyed_state(updates.sparkSession)
     kinds = {name: updates.schema[name].dataType.simpleString() for name in (key, state)}
     rows = updates.select(
-        F.col(key).alias("_key"),
-        F.unix_micros(F.col(ts).cast("timestamp")).alias("_us"),
-        F.col(seq).cast("bigint").alias("_seq"),
-        F.col(state).alias("_state"),
+        F.col(key).alias("owner"),
+        F.unix_micros(F.col(ts).cast("timestamp")).alias("us"),
+        F.col(seq).cast("bigint").alias("place"),
+        F.col(state).alias("value"),
     )
-    saves = _Saves((key, ts, state), kinds[state], gap_ms * 1000, delay_ms * 1000, gap_ms if idle_ms is None else idle_ms)
-    given = rows.groupBy("_key").transformWithStateInPandas(
-        saves, f"_key {kinds[key]}, _us bigint, _state {kinds[state]}", "append", "ProcessingTime"
+    saves = _Saves(kinds[state], gap_ms * 1000, delay_ms * 1000, gap_ms if idle_ms is None else idle_ms)
+    given = rows.groupBy("owner").transformWithStateInPandas(
+        saves, f"owner {kinds[key]}, us bigint, value {kinds[state]}", "append", "ProcessingTime"
     )
-    return given.select(F.col("_key").alias(key), F.timestamp_micros("_us").alias(ts), F.col("_state").alias(state))
+    return given.select(F.col("owner").alias(key), F.timestamp_micros("us").alias(ts), F.col("value").alias(state))

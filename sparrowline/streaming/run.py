@@ -29,24 +29,26 @@ def append_live(rows: DataFrame, path: str, checkpoint: str, every: str = "0 sec
 
 
 def kept_rows(query: StreamingQuery) -> int | None:
-    """Rows of state after the last trigger; ``None`` before the first one."""
+    """Rows of state after the last trigger; ``None`` while there is input that was not yet seen."""
     progress = query.lastProgress
-    return sum(op["numRowsTotal"] for op in progress["stateOperators"]) if progress else None
+    if not progress or progress["numInputRows"] or query.status["isDataAvailable"]:
+        return None
+    return sum(op["numRowsTotal"] for op in progress["stateOperators"])
 
 
 def drain(query: StreamingQuery, seconds: float = 600.0) -> None:
     """Wait until the input that is there is used up and all state has run out, then stop.
 
-    For streams whose timers end every key. Raises if it takes longer than ``seconds``.
+    For streams whose timers end every key: triggers go on without input until the last timer
+    has run out. Raises what ended the stream, or ``TimeoutError`` after ``seconds``.
     """
+    until = time.monotonic() + seconds
     try:
-        query.processAllAvailable()
-        until = time.monotonic() + seconds
         while kept_rows(query) != 0:
-            if query.exception() is not None:
-                raise query.exception()
+            if not query.isActive:
+                raise query.exception() or RuntimeError("the stream was stopped")
             if time.monotonic() > until:
-                raise TimeoutError(f"{kept_rows(query)} rows of state after {seconds} seconds")
+                raise TimeoutError(f"state after {seconds} seconds: {kept_rows(query)} rows")
             time.sleep(0.05)
     finally:
         query.stop()

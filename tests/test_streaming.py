@@ -21,7 +21,7 @@ def feed(spark, tmp_path, schema, *batches):
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-def drain(spark, stream, tmp_path):
+def stored_rows(spark, stream, tmp_path):
     out = str(tmp_path / "out")
     append_table(stream, out, str(tmp_path / "checkpoint")).awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
@@ -150,6 +150,6 @@ def test_a_restart_repeats_nothing(spark, tmp_path):
     schema = "request_id string, line string, include array<string>"
     rows = [("r", json.dumps({"event": "on_chat_model_stream", "data": {"chunk": "a"}}), None)]
     stream = feed(spark, tmp_path, schema, rows)
-    assert drain(spark, stream_events(stream), tmp_path).count() == 1
-    again = drain(spark, stream_events(stream), tmp_path).collect()
+    assert stored_rows(spark, stream_events(stream), tmp_path).count() == 1
+    again = stored_rows(spark, stream_events(stream), tmp_path).collect()
     assert [json.loads(r.line) for r in again] == [{"event": "token", "data": "a"}]
