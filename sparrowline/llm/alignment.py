@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparrowline.llm.prefixes import _Known
+from sparrowline.llm.prefixes import Known
 from sparrowline.llm.shared import batch_of, slices
 from sparrowline.session import materialise
 
@@ -101,7 +101,7 @@ class Sizes:
         self.lengths = lengths
         self.width = max(map(len, lengths))
         #: Decimal ids followed by one of the three marks.
-        self.written = _Known(lambda i: f"{i % self.width}{',|;'[i // self.width]}".encode(), 3 * self.width)
+        self.written = Known(lambda i: f"{i % self.width}{',|;'[i // self.width]}".encode(), 3 * self.width)
 
 
 class Streams(Sizes):

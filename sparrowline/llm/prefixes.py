@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from sparrowline.llm.shared import slices
 
 # Words start here whatever surrounds them. Both meanings of \S in use leave out all white space.
-_CUT = re.compile(r" (?=\S)")
+CUT = re.compile(r" (?=\S)")
 _NONE = 1 << 60
 _CACHED_BYTES = 48
 _CACHED_PIECES = 1 << 18
@@ -47,7 +47,7 @@ def _pack(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
-class _Known(dict):
+class Known(dict):
     """Remembers what ``find`` gives for keys of up to ``longest`` characters.
 
     Holds ``most`` keys, and those looked up among the ``most`` before: what is rare goes first.
@@ -85,18 +85,19 @@ class PrefixBpe:
         self.tokens = {i: token for token, i in self.ids.items()}
         self.longest = max(map(len, self.ids))
         self.pattern = regex.compile(pattern)
-        self.valid = _Known(self._valid, _CACHED_PAIRS)
-        self.words = _Known(self._word, _CACHED_PIECES, _CACHED_BYTES)
-        self.first = _Known(self._packed, _CACHED_PIECES, _CACHED_BYTES)
-        self.later = _Known(lambda piece: self._packed(" " + piece), _CACHED_PIECES, _CACHED_BYTES)
-
-    def _merged(self, data: bytes) -> list[bytes]:
-        """Plain merges: the pair of least rank first, the leftmost of equal ones."""
+        self.halves = Known(self._halves, _CACHED_PAIRS)
+        self.valid = Known(self._valid, _CACHED_PAIRS)
+        self.words = Known(self._word, _CACHED_PIECES, _CACHED_BYTES)
+        self.first = Known(self._packed, _CACHED_PIECES, _CACHED_BYTES)
+        self.later = Known(lambda piece: self._packed(" " + piece), _CACHED_PIECES, _CACHED_BYTES)
+
+    def merged(self, data: bytes, least: int = 1) -> list[bytes]:
+        """Plain merges until ``least`` parts are left: the pair of least rank first, the leftmost of equal ones."""
         rank = lambda part: self.ids.get(part, _NONE)
         cuts = list(range(len(data) + 1))
         ranks = [rank(data[i : i + 2]) for i in range(len(data) - 1)]
-        while ranks and (least := min(ranks)) < _NONE:
-            at = ranks.index(least)
+        while len(ranks) >= least and (lowest := min(ranks)) < _NONE:
+            at = ranks.index(lowest)
             del cuts[at + 1], ranks[at]
             if at:
                 ranks[at - 1] = rank(data[cuts[at - 1] : cuts[at + 1]])
@@ -104,13 +105,39 @@ class PrefixBpe:
                 ranks[at] = rank(data[cuts[at] : cuts[at + 2]])
         return [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
+    def _halves(self, token: int) -> tuple[int, ...]:
+        """The two tokens that the token's last merge joins; none for a byte, one for a token no merge makes."""
+        data = self.tokens[token]
+        if len(data) == 1:
+            return ()
+        parts = self.merged(data, 2)
+        return tuple(self.ids[part] for part in parts) if len(parts) == 2 else (token,)
+
     def _valid(self, pair: int) -> bool:
-        """Whether the second of two packed tokens may follow the first; -1 stands for a word's start."""
-        before, token = pair >> 32, pair & 0xFFFFFFFF
-        if before < 0:
-            return self._merged(self.tokens[token]) == [self.tokens[token]]
-        both = [self.tokens[before], self.tokens[token]]
-        return self._merged(both[0] + both[1]) == both
+        """Whether the second of two packed tokens may follow the first; -1 stands for a word's start.
+
+        Merges are taken back, the later one of the two sides first. At each step the parts
+        that meet at the border stood there until the merge just taken back: had they a merge
+        of lower rank, it would have come before. Of equal ranks the one on the left comes first.
+        """
+        left, right = pair >> 32, pair & 0xFFFFFFFF
+        halves, tokens = self.halves, self.tokens
+        if len(halves[right]) == 1:
+            return False
+        if left < 0:
+            return True
+        until = _NONE
+        while True:
+            across = self.ids.get(tokens[left] + tokens[right])
+            if across is not None and across < until:
+                return False
+            of_left, of_right = halves[left], halves[right]
+            if of_left and (left > right or not of_right):
+                until, left = left, of_left[1]
+            elif of_right:
+                until, right = right + 1, of_right[0]
+            else:
+                return True
 
     def extend(self, last: array, word: bytes) -> int:
         """Continue ``last``, the table of a prefix of ``word``, to its end; the entries made."""
@@ -169,7 +196,7 @@ class PrefixBpe:
 
     def encode(self, text: str | None) -> bytes:
         """Ids of a whole text as little-endian unsigned 32-bit integers."""
-        first, *rest = _CUT.split(text or "")
+        first, *rest = CUT.split(text or "")
         return self.first[first] + b"".join(map(self.later.__getitem__, rest))
 
     def decode(self, ids: bytes | None) -> bytes:

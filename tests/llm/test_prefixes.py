@@ -143,3 +143,29 @@ def test_query_against_the_library(spark, library, tmp_path):
         packed = b"".join(i.to_bytes(4, "little") for i in wanted)
         digests = (hashlib.sha256(packed).hexdigest(), hashlib.sha256((some or "").encode()).hexdigest())
         assert got[doc_id] == (len(wanted), *digests)
+
+
+def test_valid_pairs_are_those_that_plain_merges_give(bpe):
+    """Every byte pair, and pairs of frequent and of any tokens."""
+    draw = random.Random(3)
+    every, often = list(bpe.tokens), sorted(bpe.tokens)[:4000]
+    pairs = [(draw.choice(some), draw.choice(some)) for some in (every, often) for _ in range(15_000)]
+    pairs += [(i, j) for i in range(256) for j in range(0, 256, 3)]
+    for left, right in pairs:
+        both = [bpe.tokens[left], bpe.tokens[right]]
+        assert bpe.valid[left << 32 | right] == (bpe.merged(both[0] + both[1]) == both)
+
+
+def test_a_token_no_merge_makes_is_a_word_but_no_part():
+    """``xyz`` has a rank, but neither ``xy`` nor ``yz`` has: it is found as a whole word only."""
+    tokens = [bytes([i]) for i in range(256)] + [b"ab", b"xyz"]
+    lines = b"\n".join(base64.b64encode(t) + b" %d" % i for i, t in enumerate(tokens))
+    bpe = prefixes.PrefixBpe(lines, PATTERN)
+    merges = {t: i for i, t in enumerate(tokens)}
+    library = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=merges, special_tokens={})
+    for word in ("xyz", "axyz", "xyza", "abxyzab", "xyz xyz"):
+        assert ids(bpe.encode(word)) == library.encode_ordinary(word)
+        assert prefixes.PrefixTable.of(bpe, word).ids() == library.encode_ordinary(word)
+    table = prefixes.PrefixTable.of(bpe, "xyz")
+    table.append("a")
+    assert table.ids() == library.encode_ordinary("xyza")
