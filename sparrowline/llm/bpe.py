@@ -13,6 +13,7 @@ from __future__ import annotations
 import heapq
 import json
 import re
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 from itertools import chain
 
@@ -21,6 +22,8 @@ import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sparrowline.llm.prefixes import CUT, Known
+
 # Fixed value: the word pattern of byte-level BPE vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -31,7 +34,7 @@ _ASCII_PATTERN = (
 )
 
 _LONG_WORD = 64
-_CACHED_WORDS = 1 << 19
+_CACHED_WORDS = 1 << 18
 _PART = 500
 _CACHED_BYTES = 48
 _NONE = 1 << 60
@@ -47,17 +50,6 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
-class _Known(dict):
-    """A dictionary that asks ``find`` for what it lacks."""
-
-    def __init__(self, find: Callable, values: dict | None = None):
-        super().__init__(values or {})
-        self.find = find
-
-    def __missing__(self, key):
-        return self.find(key)
-
-
 class Vocabulary:
     """Ids, merge ranks and added tokens of a tokenizer file's text."""
 
@@ -71,7 +63,7 @@ class Vocabulary:
         self.added = {t["content"]: t["id"] for t in parts["added_tokens"]}
         self.ids = {plain(token): i for token, i in model["vocab"].items() if token not in self.added}
         texts = {i: token for token, i in self.ids.items()} | {i: t.encode() for t, i in self.added.items()}
-        self.texts = _Known(lambda _: b"", texts)
+        self.texts = defaultdict(bytes, texts)
         pairs = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
         self.bytes = [self.ids[bytes([b])] for b in range(256)]
         self.ranks, self.made = {}, []
@@ -81,7 +73,10 @@ class Vocabulary:
         self.words, self.ascii_words = regex.compile(PATTERN), re.compile(_ASCII_PATTERN)
         longest_first = sorted(self.added, key=len, reverse=True)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, longest_first)) + ")") if self.added else None
-        self.seen = _Known(self._word_ids)
+        self.seen = Known(self._word_ids, _CACHED_WORDS, _CACHED_BYTES)
+        # Pieces of text that start with a space, without it: their ids as text, and their bytes.
+        self.written = Known(lambda piece: self._written(" " + piece), _CACHED_WORDS, _CACHED_BYTES)
+        self.given = Known(lambda piece: self._given(" " + piece), _CACHED_WORDS, _CACHED_BYTES)
 
     def merge_short(self, word: bytes) -> tuple[int, ...]:
         """Ids of a word: repeatedly delete the boundary inside the pair of least rank."""
@@ -125,29 +120,48 @@ class Vocabulary:
         return tuple(part for part in parts if part >= 0)
 
     def _word_ids(self, word: str) -> tuple[int, ...]:
-        """Ids of a word not seen before; those of short words are kept."""
+        """Ids of a word not seen lately."""
         data = word.encode()
-        found = self.merge_short(data) if len(data) <= _LONG_WORD else self.merge_long(data)
-        if len(data) <= _CACHED_BYTES:
-            if len(self.seen) >= _CACHED_WORDS:
-                self.seen.clear()
-            self.seen[word] = found
-        return found
+        return self.merge_short(data) if len(data) <= _LONG_WORD else self.merge_long(data)
+
+    def _ids(self, piece: str) -> Iterator[int]:
+        words = self.ascii_words if piece.isascii() else self.words
+        return chain.from_iterable(map(self.seen.__getitem__, words.findall(piece)))
+
+    def _written(self, piece: str) -> bytes:
+        return ",".join(map(str, self._ids(piece))).encode()
+
+    def _given(self, piece: str) -> bytes:
+        return b"".join(map(self.texts.__getitem__, self._ids(piece)))
 
     def encode(self, text: str | None) -> list[int]:
         if not text:
             return []
-        pieces = self.specials.split(text) if self.specials else [text]
-        words = self.ascii_words if text.isascii() else self.words
-        ids_of = self.seen.__getitem__
         out: list[int] = []
-        for i, piece in enumerate(pieces):
-            if i % 2:
-                out.append(self.added[piece])
-            else:
-                out.extend(chain.from_iterable(map(ids_of, words.findall(piece))))
+        for i, piece in enumerate(self._split(text)):
+            out.extend((self.added[piece],) if i % 2 else self._ids(piece))
         return out
 
+    def _split(self, text: str) -> list[str]:
+        """Every second part is an added token."""
+        return self.specials.split(text) if self.specials else [text]
+
+    def round_trip(self, text: str | None) -> tuple[str, str]:
+        """Ids as decimal numbers with commas between them, and the text that they decode to."""
+        ids, plain = [], []
+        for i, part in enumerate(self._split(text or "")):
+            if i % 2:
+                ids.append(str(self.added[part]).encode())
+                plain.append(part.encode())
+            elif part:
+                first, *rest = CUT.split(part)
+                if first:
+                    ids.append(self._written(first))
+                    plain.append(self._given(first))
+                ids += map(self.written.__getitem__, rest)
+                plain += map(self.given.__getitem__, rest)
+        return b",".join(ids).decode(), b"".join(plain).decode("utf-8", "replace")
+
     def decode(self, ids: list[int] | None) -> str:
         """Bytes that are no UTF-8 come out as U+FFFD; ids that are not known as nothing."""
         return b"".join(map(self.texts.__getitem__, ids or ())).decode("utf-8", "replace")
@@ -189,3 +203,26 @@ def decode(ids: Column, definition: str) -> Column:
             yield _by_parts(rows, lambda part: [words.decode(r) for r in part], pa.string())
 
     return F.arrow_udf(texts, "string")(ids)
+
+
+def round_trip(text: Column, definition: str) -> Column:
+    """``(n_tokens, ids, decoded)`` of a whole text in one pass: the number of its ids, they
+    themselves as decimal numbers with commas between them, and the text they decode to.
+
+    Rules as for ``encode`` and ``decode``: null and empty texts have no ids and decode to
+    ``''``. Repeated rows give the same each, an empty table an empty one; other columns are
+    not looked at. A text is worked on whole, however long it or a word of it is.
+    """
+    kind = pa.struct([("n_tokens", pa.int64()), ("ids", pa.string()), ("decoded", pa.string())])
+
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        words = Vocabulary(definition)
+
+        def row(text: str | None) -> dict:
+            ids, plain = words.round_trip(text)
+            return {"n_tokens": ids.count(",") + 1 if ids else 0, "ids": ids, "decoded": plain}
+
+        for texts in batches:
+            yield _by_parts(texts, lambda part: [row(t) for t in part], kind)
+
+    return F.arrow_udf(both, "struct<n_tokens:bigint,ids:string,decoded:string>")(text)

@@ -53,13 +53,12 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     definition = bpe.load(public_tokenizers.path(TOKENIZER))
-    ids = table(spark, sf_dir, "documents").select("doc_id", bpe.encode(F.col("text"), definition).alias("ids"))
-    decoded = ids.select("doc_id", "ids", bpe.decode(F.col("ids"), definition).alias("decoded"))
-    return decoded.select(
+    both = bpe.round_trip(F.col("text"), definition).alias("both")
+    return table(spark, sf_dir, "documents").select("doc_id", both).select(
         "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        sha256(F.concat_ws(",", F.col("ids").cast("array<string>"))).alias("ids_sha256"),
-        sha256(F.col("decoded")).alias("decoded_sha256"),
+        "both.n_tokens",
+        sha256(F.col("both.ids")).alias("ids_sha256"),
+        sha256(F.col("both.decoded")).alias("decoded_sha256"),
     )
 
 
@@ -260,4 +259,43 @@ ORACLES: dict[str, str] = {
             SELECT ways.y, root FROM reached JOIN ways ON ways.x = reached.doc_id)
         SELECT w.doc_id, coalesce(max(s.n), 0)::BIGINT AS n_shingles, coalesce(min(root), w.doc_id) AS component_id
         FROM worded w LEFT JOIN sizes s USING (doc_id) LEFT JOIN reached r USING (doc_id) GROUP BY w.doc_id""",
+    "op13_periodic_runs": r"""
+        WITH worded AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+                   xor(list_reduce(
+                       list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+                       lambda crc, byte: list_reduce(
+                           list_concat([xor(crc, byte)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+                           lambda r, step: xor(r >> 1, 3988292384::BIGINT * (r & 1)))), 4294967295::BIGINT) AS h
+            FROM documents),
+        places AS (
+            SELECT doc_id, w, h, len(w) AS n, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) END AS a, h // 10 AS g FROM worded),
+        edited AS (
+            SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i:
+                       w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END]) ELSE w END AS w
+            FROM places),
+        words AS (SELECT doc_id, n, unnest(range(n)) AS i, unnest(w) AS word FROM edited),
+        equal AS (
+            SELECT x.doc_id, x.i, y.i - x.i AS q FROM words x JOIN words y ON x.doc_id = y.doc_id AND x.word = y.word
+            WHERE y.i > x.i AND y.i - x.i <= x.n // 4),
+        islands AS (
+            SELECT doc_id, q, min(i) AS s, count(*) + q AS l
+            FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM equal)
+            GROUP BY doc_id, q, island HAVING count(*) + q >= greatest(6, 4 * q)),
+        runs AS (
+            SELECT * FROM islands r WHERE NOT EXISTS (
+                FROM islands o WHERE o.doc_id = r.doc_id AND o.q < r.q AND o.s <= r.s AND o.s + o.l >= r.s + r.l)),
+        best AS (
+            SELECT doc_id, s, l, q FROM runs
+            QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY l / q DESC, s, q) = 1),
+        told AS (
+            SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS lines
+            FROM runs GROUP BY doc_id),
+        dropped AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + l)) AS i FROM runs),
+        kept AS (
+            SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text FROM words ANTI JOIN dropped USING (doc_id, i) GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, s AS start, l AS length, q AS period,
+               (1000 * l) // q AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256,
+               sha256(coalesce(kept.text, '')) AS collapsed_sha256
+        FROM documents d LEFT JOIN told USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)""",
 }
