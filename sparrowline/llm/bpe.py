@@ -13,16 +13,16 @@ from __future__ import annotations
 import heapq
 import json
 import re
+from array import array
 from collections import defaultdict
 from collections.abc import Callable, Iterator
-from itertools import chain
 
 import pyarrow as pa
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sparrowline.llm.prefixes import CUT, Known
+from sparrowline.llm.prefixes import Known
 
 # Fixed value: the word pattern of byte-level BPE vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -74,9 +74,6 @@ class Vocabulary:
         longest_first = sorted(self.added, key=len, reverse=True)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, longest_first)) + ")") if self.added else None
         self.seen = Known(self._word_ids, _CACHED_WORDS, _CACHED_BYTES)
-        # Pieces of text that start with a space, without it: their ids as text, and their bytes.
-        self.written = Known(lambda piece: self._written(" " + piece), _CACHED_WORDS, _CACHED_BYTES)
-        self.given = Known(lambda piece: self._given(" " + piece), _CACHED_WORDS, _CACHED_BYTES)
 
     def merge_short(self, word: bytes) -> tuple[int, ...]:
         """Ids of a word: repeatedly delete the boundary inside the pair of least rank."""
@@ -119,48 +116,25 @@ class Vocabulary:
                     heapq.heappush(heap, (r, start, pair(start)))
         return tuple(part for part in parts if part >= 0)
 
-    def _word_ids(self, word: str) -> tuple[int, ...]:
-        """Ids of a word not seen lately."""
+    def _word_ids(self, word: str) -> bytes:
+        """Packed ids of a word not seen lately."""
         data = word.encode()
-        return self.merge_short(data) if len(data) <= _LONG_WORD else self.merge_long(data)
+        ids = self.merge_short(data) if len(data) <= _LONG_WORD else self.merge_long(data)
+        return array("i", ids).tobytes()
 
-    def _ids(self, piece: str) -> Iterator[int]:
-        words = self.ascii_words if piece.isascii() else self.words
-        return chain.from_iterable(map(self.seen.__getitem__, words.findall(piece)))
-
-    def _written(self, piece: str) -> bytes:
-        return ",".join(map(str, self._ids(piece))).encode()
-
-    def _given(self, piece: str) -> bytes:
-        return b"".join(map(self.texts.__getitem__, self._ids(piece)))
+    def pack(self, text: str | None) -> bytes:
+        """Ids of a whole text as 32-bit integers, one after the other."""
+        out = []
+        for i, piece in enumerate(self.specials.split(text or "") if self.specials else [text or ""]):
+            if i % 2:
+                out.append(array("i", [self.added[piece]]).tobytes())
+            else:
+                words = self.ascii_words if piece.isascii() else self.words
+                out += map(self.seen.__getitem__, words.findall(piece))
+        return b"".join(out)
 
     def encode(self, text: str | None) -> list[int]:
-        if not text:
-            return []
-        out: list[int] = []
-        for i, piece in enumerate(self._split(text)):
-            out.extend((self.added[piece],) if i % 2 else self._ids(piece))
-        return out
-
-    def _split(self, text: str) -> list[str]:
-        """Every second part is an added token."""
-        return self.specials.split(text) if self.specials else [text]
-
-    def round_trip(self, text: str | None) -> tuple[str, str]:
-        """Ids as decimal numbers with commas between them, and the text that they decode to."""
-        ids, plain = [], []
-        for i, part in enumerate(self._split(text or "")):
-            if i % 2:
-                ids.append(str(self.added[part]).encode())
-                plain.append(part.encode())
-            elif part:
-                first, *rest = CUT.split(part)
-                if first:
-                    ids.append(self._written(first))
-                    plain.append(self._given(first))
-                ids += map(self.written.__getitem__, rest)
-                plain += map(self.given.__getitem__, rest)
-        return b",".join(ids).decode(), b"".join(plain).decode("utf-8", "replace")
+        return memoryview(self.pack(text)).cast("i").tolist()
 
     def decode(self, ids: list[int] | None) -> str:
         """Bytes that are no UTF-8 come out as U+FFFD; ids that are not known as nothing."""
@@ -206,23 +180,25 @@ def decode(ids: Column, definition: str) -> Column:
 
 
 def round_trip(text: Column, definition: str) -> Column:
-    """``(n_tokens, ids, decoded)`` of a whole text in one pass: the number of its ids, they
-    themselves as decimal numbers with commas between them, and the text they decode to.
+    """``(ids, decoded)`` of a whole text in one pass: its ids, and the text they decode to.
 
     Rules as for ``encode`` and ``decode``: null and empty texts have no ids and decode to
     ``''``. Repeated rows give the same each, an empty table an empty one; other columns are
     not looked at. A text is worked on whole, however long it or a word of it is.
     """
-    kind = pa.struct([("n_tokens", pa.int64()), ("ids", pa.string()), ("decoded", pa.string())])
 
     def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         words = Vocabulary(definition)
-
-        def row(text: str | None) -> dict:
-            ids, plain = words.round_trip(text)
-            return {"n_tokens": ids.count(",") + 1 if ids else 0, "ids": ids, "decoded": plain}
-
         for texts in batches:
-            yield _by_parts(texts, lambda part: [row(t) for t in part], kind)
-
-    return F.arrow_udf(both, "struct<n_tokens:bigint,ids:string,decoded:string>")(text)
+            packed, plain, ends = [], [], [0]
+            for at in range(0, len(texts), _PART):
+                for text in texts.slice(at, _PART).to_pylist():
+                    ids = words.pack(text)
+                    packed.append(ids)
+                    ends.append(ends[-1] + len(ids) // 4)
+                    plain.append(words.decode(memoryview(ids).cast("i").tolist()))
+            values = pa.Array.from_buffers(pa.int32(), ends[-1], [None, pa.py_buffer(b"".join(packed))])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+            yield pa.StructArray.from_arrays([lists, pa.array(plain, pa.string())], ["ids", "decoded"])
+
+    return F.arrow_udf(both, "struct<ids:array<int>,decoded:string>")(text)

@@ -56,8 +56,8 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = bpe.round_trip(F.col("text"), definition).alias("both")
     return table(spark, sf_dir, "documents").select("doc_id", both).select(
         "doc_id",
-        "both.n_tokens",
-        sha256(F.col("both.ids")).alias("ids_sha256"),
+        F.size("both.ids").cast("long").alias("n_tokens"),
+        sha256(F.concat_ws(",", F.col("both.ids").cast("array<string>"))).alias("ids_sha256"),
         sha256(F.col("both.decoded")).alias("decoded_sha256"),
     )
 

@@ -170,3 +170,15 @@ def test_a_long_text_of_shared_lines_is_cut_once(spark):
 
 def test_digest_of_no_text_is_that_of_the_empty_string():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+def test_ids_and_decoded_text_in_one_pass(spark, definition):
+    own = Tokenizer.from_str(definition)
+    texts = [None, "", " two  words\n", "é <|endoftext|> x<|endoftext|>", "日本語" * 500, "word " * 40_000, "a" * 5000, "a b", "a b"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").withColumn("ids", F.lit("x"))
+    got = docs.select("doc_id", "ids", bpe.round_trip(F.col("text"), definition).alias("both")).collect()
+    for row in got:
+        ids = own.encode(texts[row.doc_id] or "", add_special_tokens=False).ids
+        assert row.both.ids == ids
+        assert row.both.decoded == own.decode(ids, skip_special_tokens=False)
+    assert docs.limit(0).select(bpe.round_trip(F.col("text"), definition)).count() == 0
