@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
 from sparrowline.llm.components import connected_components
-from sparrowline.llm.shared import batch_of
+from sparrowline.llm.shared import batch_of, slices
 from sparrowline.session import materialise
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -27,6 +28,8 @@ _HELD = pa.schema([("class", pa.int64()), ("value", pa.int64())])
 _MET = ("doc", "packed", "hub", "turn")
 _SHARE = 256
 _OUT = 1 << 17
+# Packed texts turned into Python values at once.
+_TEXT_BYTES = 2 << 20
 # The members of a key with more outside its largest component are first thinned out by what its members hold alone.
 _FEW = 8
 
@@ -75,7 +78,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub, of_hub = None, []
-        for batch in batches:
+        for batch in chain.from_iterable(slices(batch, _MET.index("packed"), _TEXT_BYTES) for batch in batches):
             out = []
             for doc, packed, this, turn in zip(*(batch.column(c).to_pylist() for c in _MET), strict=True):
                 values = np.unique(shingles(words(zlib.decompress(packed)), width))

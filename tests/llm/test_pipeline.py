@@ -35,7 +35,7 @@ def test_suffix_dedup_query_equals_brute_force(spark, con):
 
 
 def test_queries_are_named_by_operator():
-    assert sorted(int(name[2:].split("_")[0]) for name in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in queries.QUERIES) == list(range(1, 14))
 
 
 @pytest.fixture(scope="module")
