@@ -8,7 +8,7 @@ target weights; texts become token ids.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparrowline.llm import bpe, lines, mixing, quality, queries, shingles
@@ -27,11 +27,18 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group stays, once; rows without an id stay."""
+    """The document with the least id of each group stays; rows without an id stay.
+
+    Of rows with one id and one text, one stays, the least by its other columns; other
+    texts under that id stay too.
+    """
     groups = shingles.join_shingles(docs, width=5, percent=80)
     kept = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    first = docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
-    return first.unionByName(docs.filter("doc_id IS NULL"))
+    same = Window.partitionBy("doc_id", sha256(F.coalesce("text", F.lit("")))).orderBy(
+        *[name for name in docs.columns if name not in ("doc_id", "text")]
+    )
+    first = docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").withColumn("_nth", F.row_number().over(same))
+    return first.filter("_nth = 1").drop("_nth").unionByName(docs.filter("doc_id IS NULL"))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
