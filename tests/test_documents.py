@@ -1,13 +1,15 @@
+import uuid
 from collections import Counter
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+import numpy as np
 import pytest
 
-from sparrowline.functions.embedders import from_model, hashed
+from sparrowline.functions.embedders import from_batches, from_model, hashed
 from sparrowline.functions.splitter import split_text
 from sparrowline.operators import documents as ops
-from sparrowline.operators.embedding import ModelMismatch, check_index_model
+from sparrowline.operators.embedding import ModelMismatch, check_index_model, embed_once, embed_texts
 from sparrowline.plans.index_build import build_index
 from sparrowline.sources import documents as sources
 from sparrowline.sources import files
@@ -300,3 +302,48 @@ def test_files_written_and_read_as_a_stream(spark, tmp_path):
     add(("b", b"three"))
     assert run() == [*first, ("b", 0, "three")]
     assert run() == [*first, ("b", 0, "three")]
+
+
+def counted(folder, dim=4):
+    """An embedder that leaves a file for every call, with the texts' lengths."""
+
+    def make():
+        def predict(texts):
+            (folder / uuid.uuid4().hex).write_text("\n".join(f"{len(t)}:{t}" for t in texts))
+            return np.array([[len(t), t.count("a"), 1.0, 0.0] for t in texts], np.float32)
+
+        return predict
+
+    folder.mkdir()
+    return from_batches("counted", dim, make, batch_size=3)
+
+
+def calls(folder):
+    return [path.read_text().split("\n") for path in folder.iterdir()]
+
+
+def test_equal_chunks_are_embedded_once_and_updates_embed_new_ones(spark, tmp_path):
+    embedder = counted(tmp_path / "calls")
+    path, vectors = str(tmp_path / "index"), str(tmp_path / "vectors")
+    first = chunked(spark, "a|b|aa", "a|a", "a|ccc")
+    index_source.index_build(first, embedder, path, vectors=vectors)
+    asked = [line for call in calls(tmp_path / "calls") for line in call]
+    assert sorted(asked) == ["1:a", "1:b", "2:aa", "3:ccc"]
+    assert all(len(call) <= 3 for call in calls(tmp_path / "calls"))
+    index_source.index_build(chunked(spark, "a|b|aa", "a|a", "a|ccc|b", "new|a"), embedder, path, vectors=vectors)
+    asked = [line for call in calls(tmp_path / "calls") for line in call]
+    assert sorted(asked) == ["1:a", "1:b", "2:aa", "3:ccc", "3:new"]
+    rows = index_source.read_index(spark, path).collect()
+    assert {(r.chunk, tuple(r.embedding)) for r in rows} == {
+        (t, (float(len(t)), float(t.count("a")), 1.0, 0.0)) for t in ("a", "b", "aa", "ccc", "new")
+    }
+    assert len(rows) == 10
+
+
+def test_embedding_once_keeps_rows_columns_and_nulls(spark, tmp_path):
+    rows = [(1, "x", "k"), (1, "x", "k"), (2, None, None), (3, "", "z")]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, digest string")
+    for _ in range(2):
+        got = embed_once(frame, hashed(4), str(tmp_path / "store")).collect()
+        plain = embed_texts(frame, hashed(4)).collect()
+        assert Counter(map(str, got)) == Counter(map(str, plain))
