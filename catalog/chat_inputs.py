@@ -62,6 +62,12 @@ def wrap(form: tuple[str, str], text: Column) -> Column:
     return F.concat(F.lit(form[0]), json_text(text), F.lit(form[1]))
 
 
+def wrap_by(number: Column, forms: tuple, text: Column) -> Column:
+    """``text`` in the form whose place is ``number`` modulo their count."""
+    before, after = (choose(number, [F.lit(form[i]) for form in forms]) for i in (0, 1))
+    return F.concat(before, json_text(text), after)
+
+
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").withColumn("request_id", F.concat_ws("-", "conv_id", "turn"))
 
@@ -84,9 +90,7 @@ def model_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     line that is no regular event."""
     text = F.col("text")
     odd = F.create_map(*[F.lit(item) for pair in ODD_LINES.items() for item in pair])
-    streams = F.transform(
-        words(text), lambda w, i: choose(i, [wrap(form, w) for form in STREAM_FORMS])
-    )
+    streams = F.transform(words(text), lambda w, i: wrap_by(i, STREAM_FORMS, w))
     lines = F.concat(
         F.array(wrap(START_FORM, text)), streams, F.array(wrap(END_FORM, text), odd[F.col("role")])
     )
@@ -96,7 +100,7 @@ def model_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def client_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(session_id, seq, line, at)``: lines as the client receives them."""
     text = F.col("text")
-    lines = F.transform(words(text), lambda w, i: choose(i, [wrap(form, w) for form in CLIENT_FORMS]))
+    lines = F.transform(words(text), lambda w, i: wrap_by(i, CLIENT_FORMS, w))
     return (
         turns(spark, sf_dir)
         .select(F.col("request_id").alias("session_id"), F.posexplode(lines).alias("seq", "line"))

@@ -116,14 +116,14 @@ def session_status(spark, sf_dir) -> DataFrame:
 
 
 def stored_histories(spark, sf_dir) -> DataFrame:
-    """One stored text per conversation. Items lack a timestamp or hold other
-    things than lists as events; some texts are broken or hold a null."""
+    """One stored text per conversation. Items lack a timestamp, have fields of their own or hold
+    other things than lists as events; some texts are broken or hold a null."""
     def item(text):
         return F.concat(F.lit('{"role":"'), F.col("role"), F.lit('","content":'), inputs.json_text(F.col("text")), F.lit(text))
 
     stamp = F.concat(F.lit(',"timestamp":'), (F.col("turn") + 5).cast("string"))
     form = (
-        F.when(F.col("role") == "user", item("}"))
+        F.when(F.col("role") == "user", F.concat(item(',"pinned":[1,{"x":null}],"id":"m'), F.col("turn").cast("string"), F.lit('"}')))
         .when(F.col("role") == "assistant", F.concat(item(""), stamp, F.lit(',"events":[{"name":"x"},2]}')))
         .otherwise(F.concat(item(""), stamp, F.lit(',"events":"none"}')))
     )
@@ -260,7 +260,8 @@ ORACLES = {
     "append_error": f"""SELECT session_id, 'assistant' AS role, content, 0::BIGINT AS timestamp FROM ({SQL_MESSAGES})
         UNION ALL SELECT request_id, 'assistant', '{chat.CLIENT_ERROR}', turn * 1000 FROM ({SQL_TURNS}) WHERE role = 'user'""",
     "history_load": f"""SELECT session_id, turn::INTEGER AS pos, role, content,
-            coalesce(stamp, {HISTORY_BASE} + turn * 1000) AS timestamp, events::INTEGER AS events
+            coalesce(stamp, {HISTORY_BASE} + turn * 1000) AS timestamp, events::INTEGER AS events,
+            CASE role WHEN 'user' THEN '{{"id":"m' || turn || '","pinned":[1,{{"x":null}}]}}' END AS extra
         FROM ({_HISTORY_ITEMS}) WHERE n NOT IN (5, 7)""",
     "history_defaults": f"""SELECT conv_id AS session_id, turn::INTEGER AS pos, {HISTORY_BASE} + turn * 1000 AS timestamp,
             0::INTEGER AS events FROM conversations""",

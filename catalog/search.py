@@ -52,7 +52,7 @@ def knn_topk_cosine(spark, sf_dir):
 
 def knn_topk_blocks(spark, sf_dir):
     """The way taken when the queries are too many to broadcast."""
-    return _knn(spark, sf_dir, broadcast_bytes=0, block_rows=200)
+    return _knn(spark, sf_dir, broadcast_bytes=0, block_bytes=100_000)
 
 
 def knn_topk_cells(spark, sf_dir):

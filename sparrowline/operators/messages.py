@@ -16,6 +16,8 @@ from sparrowline.operators.ordered import concat_in_blocks, concat_ordered, fold
 
 SESSION = "session_id"
 SEQ = "seq"
+# Fields of a stored message that have a column.
+_FIELDS = ("role", "content", "timestamp", "events")
 
 
 def reassemble_lines(chunks: DataFrame, session: str = SESSION, seq: str = SEQ, data: str = "data") -> DataFrame:
@@ -170,7 +172,8 @@ def history_load(histories: DataFrame, base: int, session: str = SESSION, histor
 
     A history that is absent, not JSON, not a list, or holds a null gives no
     rows. A message without timestamp gets ``base`` plus one second per place;
-    events that are no list become an empty one.
+    events that are no list become an empty one. Fields a message has besides these four
+    are kept as JSON text in ``extra``, null if there are none.
     """
     items = F.try_variant_get(jsonval.parse_strict(F.col(history)), "$", "array<variant>")
     sound = let(
@@ -190,9 +193,15 @@ def history_load(histories: DataFrame, base: int, session: str = SESSION, histor
         F.coalesce(F.try_variant_get(item, "$.events", "array<variant>"), F.expr("cast(array() as array<variant>)")).alias(
             "events"
         ),
+        let(_other_fields(item), lambda extra: F.when(F.size(extra) > 0, F.to_json(extra))).alias("extra"),
     )
 
 
+def _other_fields(item: Column) -> Column:
+    """The fields of a stored message that have no column of their own."""
+    return F.map_filter(F.try_variant_get(item, "$", "map<string,variant>"), lambda name, _: ~name.isin(*_FIELDS))
+
+
 def _stored_events(messages: DataFrame) -> Column:
     """``events`` with their data as values in place of JSON text."""
     events = F.col("events")
@@ -210,13 +219,19 @@ def history_save(
     where they lie; a session without messages has no row.
 
     The fields are ``role``, ``content``, ``timestamp`` and, where there is such a
-    column, ``events``, as :func:`fold_messages` or :func:`history_load` gives them.
-    Absent values are left out.
+    column, ``events``, as :func:`fold_messages` or :func:`history_load` gives them; those
+    in a column ``extra`` follow. Absent values are left out.
     """
     if fields is None:
-        fields = [c for c in ("role", "content", "timestamp", "events") if c != "events" or c in messages.columns]
+        fields = [c for c in _FIELDS if c != "events" or c in messages.columns]
     values = [_stored_events(messages) if field == "events" else F.col(field) for field in fields]
-    as_json = messages.select(session, seq, F.to_json(F.struct(*values)).alias("_json"))
+    json = F.to_json(F.struct(*values))
+    if "extra" in messages.columns:
+        # Both are objects: the second one's fields go on where the first one ends.
+        comma = F.when(F.length(json) > 2, F.lit(",")).otherwise(F.lit(""))
+        both = F.concat(F.substring(json, F.lit(1), F.length(json) - 1), comma, F.substring("extra", 2, 1 << 30))
+        json = F.when(F.col("extra").isNull() | (F.col("extra") == "{}"), json).otherwise(both)
+    as_json = messages.select(session, seq, json.alias("_json"))
     joined = concat_ordered(as_json, [session], seq, "_json", "_list", separator=",")
     return joined.select(session, F.concat(F.lit("["), "_list", F.lit("]")).alias("history"))
 

@@ -32,8 +32,8 @@ TOP_K = 3
 PLACES = 9
 # Query vectors up to this size are sent to every executor.
 BROADCAST_BYTES = 64 * 1024 * 1024
-# Rows of the searched side that one task holds when both sides are shuffled.
-BLOCK_ROWS = 100_000
+# Vectors of the searched side, as doubles, that one task holds when both sides are shuffled.
+BLOCK_BYTES = 256 * 1024 * 1024
 # Cells of one distance matrix: bounds a task's memory for any block shape.
 _CELLS = 4_000_000
 
@@ -47,7 +47,7 @@ def knn_topk(
     keys: Sequence[str] = ("doc_id", "pos"),
     vector: str = "embedding",
     broadcast_bytes: int = BROADCAST_BYTES,
-    block_rows: int = BLOCK_ROWS,
+    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """The ``k`` nearest rows of ``index`` for every row of ``queries``.
 
@@ -77,7 +77,8 @@ def knn_topk(
     if small is not None:
         found = _scan(small, index, k, metric, keys, schema)
     else:
-        blocks = max(1, math.ceil(keyed.count() / block_rows))
+        size = queries.select(F.size("_v").alias("n")).first().n
+        blocks = max(1, math.ceil(keyed.count() * 8 * max(size, 1) / block_bytes))
         found = _blocks(queries, index, k, metric, keys, schema, blocks)
     restored = [F.col(key).cast(index.schema[key].dataType).alias(key) for key in keys]
     return rank_best(found, k, query_id, keys).select(query_id, "rank", *restored, "distance")
@@ -90,15 +91,16 @@ def rank_best(found: DataFrame, k: int, query_id: str, keys: Sequence[str]) -> D
 
 
 def _take_bounded(queries: DataFrame, limit: int) -> pa.Table | None:
-    """The queries if they take at most ``limit`` bytes as doubles, else None.
+    """The queries if they, their ids included, take at most ``limit`` bytes as doubles, else None.
 
-    Never fetches more than the limit allows: one row tells the vector length,
-    and at most one row above the allowed count is asked for.
+    Never fetches more than the limit allows: the vectors' length and the longest id tell
+    how many rows fit, and at most one row above that is asked for.
     """
-    sample = queries.select(F.size("_v").alias("n")).first()
-    if sample is None:
+    id_size = F.coalesce(F.octet_length(F.col("_q").cast("string")), F.lit(0))
+    sizes = queries.agg(F.max(F.size("_v")).alias("n"), F.max(id_size).alias("id")).first()
+    if sizes.n is None:
         return queries.limit(0).toArrow()
-    allowed = limit // (8 * max(sample.n, 1))
+    allowed = limit // (8 * max(sizes.n, 1) + max(sizes.id, 8))
     taken = queries.limit(allowed + 1).toArrow()
     return taken if taken.num_rows <= allowed else None
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sparrowline.operators.messages import history_load, history_save
-from sparrowline.session import path_exists
+from sparrowline.session import table_exists
 
 HISTORY_SCHEMA = "session_id string, history string"
 
@@ -17,7 +17,7 @@ def write_histories(messages: DataFrame, path: str) -> None:
 
 def read_histories(spark: SparkSession, path: str, base: int) -> DataFrame:
     """Messages of the stored histories; none when nothing is stored."""
-    if path_exists(spark, path):
+    if table_exists(spark, path):
         stored = spark.read.parquet(path)
     else:
         stored = spark.createDataFrame([], HISTORY_SCHEMA)

@@ -216,3 +216,21 @@ def test_histories_keep_events(spark):
     loaded = ops.history_load(saved, 0).withColumn("seq", F.col("pos"))
     again = json.loads(ops.history_save(loaded).first().history)
     assert again[0]["events"] == [] and again[1] == second
+
+
+def test_unknown_fields_of_stored_messages_are_kept(spark):
+    stored = [
+        {"role": "user", "content": "q", "timestamp": 5, "events": [], "pinned": True, "note": {"a": [1, None]}},
+        {"role": "assistant", "content": "r", "timestamp": 6, "events": []},
+        {"pinned": None},
+    ]
+    histories = spark.createDataFrame([("s", json.dumps(stored))], "session_id string, history string")
+    loaded = ops.history_load(histories, 100)
+    assert [json.loads(r.extra) if r.extra else None for r in loaded.orderBy("pos").collect()] == [
+        {"pinned": True, "note": {"a": [1, None]}},
+        None,
+        {"pinned": None},
+    ]
+    saved = json.loads(ops.history_save(loaded.withColumn("seq", F.col("pos"))).first().history)
+    assert saved[:2] == stored[:2]
+    assert saved[2] == {"timestamp": 2100, "events": [], "pinned": None}

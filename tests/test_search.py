@@ -7,12 +7,12 @@ from sparrowline.functions.embedders import from_model, hashed
 from sparrowline.functions.vectors import cosine_distance, squared_l2
 from sparrowline.operators import qa
 from sparrowline.operators.embedding import ModelMismatch
-from sparrowline.operators.search import knn_topk, rag_retrieve, retrieve_first
+from sparrowline.operators.search import _take_bounded, knn_topk, rag_retrieve, retrieve_first
 from sparrowline.plans.retrieval import answer_questions
 from sparrowline.sources.index import StoredIndex, index_build, index_rows, open_index
 from tests.test_plans import plan
 
-WAYS = [{}, {"broadcast_bytes": 0, "block_rows": 50}, {"broadcast_bytes": 0, "block_rows": 10_000}]
+WAYS = [{}, {"broadcast_bytes": 0, "block_bytes": 2400}, {"broadcast_bytes": 0}]
 
 
 def frame(spark, matrix, key):
@@ -83,6 +83,13 @@ def test_string_query_ids_and_two_keys(spark):
         assert [(r.query_id, r.doc_id, r.pos) for r in result] == [("q", 1, 4), ("q", 1, 5)]
 
 
+def test_long_ids_count_in_what_is_broadcast(spark):
+    rows = [("q" * 10_000 + str(i), [float(i)]) for i in range(20)]
+    queries = spark.createDataFrame(rows, "_q string, _v array<double>")
+    assert _take_bounded(queries, 100_000) is None
+    assert _take_bounded(queries, 300_000).num_rows == 20
+
+
 def test_distance_expressions(spark):
     row = spark.sql("select array(1f, 0f) a, array(0f, 2f) b, array(0f, 0f) z").select(
         squared_l2(F.col("a"), F.col("b")).alias("l2"),
