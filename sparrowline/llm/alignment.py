@@ -65,6 +65,8 @@ class BytePieces:
         if made != sorted(made) or (parts.get("pre_tokenizer") or {}).get("type") != "ByteLevel":
             raise ValueError("not a byte-level BPE file whose ids rank its merges")
         ranks = {bytes(letters[c] for c in t): i for t, i in vocabulary.items()}
+        if any(bytes([b]) not in ranks for b in range(256)):
+            raise ValueError("a byte-level vocabulary holds every single byte")
         self.bytes = {i: t for t, i in ranks.items()}
         self.model = Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
@@ -121,9 +123,10 @@ class Streams(Sizes):
         """Per text, ids of both streams for a space and the text; ``None`` if one of them does not give its bytes."""
         encoded = (tokens.encode(texts) for tokens in self.both)
         for text, *lists in zip(texts, *encoded, strict=True):
-            whole = b" " + text.encode()
-            given = (b"".join(map(tokens.bytes.__getitem__, ids)) for tokens, ids in zip(self.both, lists, strict=True))
-            yield tuple(np.array(ids, np.int32) for ids in lists) if all(g == whole for g in given) else None
+            # Stream A has a token for every byte and changes none, so only B can lose some.
+            given = b"".join(map(self.both[1].bytes.__getitem__, lists[1]))
+            whole = given == b" " + text.encode()
+            yield tuple(np.array(ids, np.int32) for ids in lists) if whole else None
 
 
 @dataclass
