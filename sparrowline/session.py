@@ -13,6 +13,8 @@ _SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Batches for Python are bounded by bytes, as one of long texts would be by rows alone.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8388608",
     # Ids named in a filter are looked up in a row group's bounds and dictionary, up to this many.
     "spark.sql.parquet.pushdown.inFilterThreshold": "1000",
 }
