@@ -23,6 +23,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sparrowline.llm.prefixes import Known
+from sparrowline.llm.shared import release_memory
 
 # Fixed value: the word pattern of byte-level BPE vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -34,7 +35,7 @@ _ASCII_PATTERN = (
 )
 
 _LONG_WORD = 64
-_CACHED_WORDS = 1 << 18
+_CACHED_WORDS = 1 << 16
 _PART = 500
 _CACHED_BYTES = 48
 _NONE = 1 << 60
@@ -141,9 +142,9 @@ class Vocabulary:
         return b"".join(map(self.texts.__getitem__, ids or ())).decode("utf-8", "replace")
 
 
-def _by_parts(rows: pa.Array, convert: Callable[[list], list], kind: pa.DataType) -> pa.Array:
+def _by_parts(rows: pa.Array, convert: Callable, kind: pa.DataType) -> pa.Array:
     """Convert a batch a few hundred rows at a time: Python objects take many times their Arrow size."""
-    parts = [pa.array(convert(rows.slice(at, _PART).to_pylist()), kind) for at in range(0, len(rows), _PART)]
+    parts = [pa.array([convert(r) for r in rows.slice(at, _PART).to_pylist()], kind) for at in range(0, len(rows), _PART)]
     return pa.concat_arrays(parts) if parts else pa.array([], kind)
 
 
@@ -163,7 +164,9 @@ def encode(text: Column, definition: str) -> Column:
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         words = Vocabulary(definition)
         for texts in batches:
-            yield _by_parts(texts, lambda part: [words.encode(t) for t in part], pa.list_(pa.int32()))
+            yield _by_parts(texts, words.encode, pa.list_(pa.int32()))
+        del words
+        release_memory()
 
     return F.arrow_udf(ids, "array<int>")(text)
 
@@ -174,7 +177,9 @@ def decode(ids: Column, definition: str) -> Column:
     def texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         words = Vocabulary(definition)
         for rows in batches:
-            yield _by_parts(rows, lambda part: [words.decode(r) for r in part], pa.string())
+            yield _by_parts(rows, words.decode, pa.string())
+        del words
+        release_memory()
 
     return F.arrow_udf(texts, "string")(ids)
 
@@ -200,5 +205,7 @@ def round_trip(text: Column, definition: str) -> Column:
             values = pa.Array.from_buffers(pa.int32(), ends[-1], [None, pa.py_buffer(b"".join(packed))])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
             yield pa.StructArray.from_arrays([lists, pa.array(plain, pa.string())], ["ids", "decoded"])
+        del words
+        release_memory()
 
     return F.arrow_udf(both, "struct<ids:array<int>,decoded:string>")(text)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -45,3 +46,10 @@ def slices(batch: pa.RecordBatch, column: int, most: int = 16 << 20) -> Iterator
         held += size or 0
     if begin < batch.num_rows:
         yield batch.slice(begin)
+
+
+def release_memory() -> None:
+    """Give back what a task no longer holds: Python workers are kept for later tasks."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from sparrowline.llm.components import connected_components
 from sparrowline.llm.links import class_links, mix, shingles, words
-from sparrowline.llm.shared import batch_of
+from sparrowline.llm.shared import batch_of, release_memory
 from sparrowline.llm.stars import SCHEMA, LocalStars, meet
 from sparrowline.session import materialise
 
@@ -129,6 +129,7 @@ def agreements(docs: DataFrame, width: int, percent: int) -> DataFrame:
                     if stars.full():
                         yield from stars.flush()
         yield from stars.flush()
+        release_memory()
 
     texts = docs.filter("doc_id IS NOT NULL").select("doc_id", F.col("text").cast("binary").alias("text"))
     return meet(texts.mapInArrow(run, SCHEMA))

@@ -20,7 +20,7 @@ from sparrowline.llm.shared import batch_of
 # A key, one item that holds it, what the key stands for, and the item's leader.
 SCHEMA = "key long, doc long, part long, size long, leader_doc long, leader_part long, leader_size long"
 _ARROW = pa.schema([(column.split()[0], pa.int64()) for column in SCHEMA.split(", ")])
-_HELD = 1 << 20
+_HELD = 1 << 19
 _OUT = 1 << 17
 
 
