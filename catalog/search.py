@@ -58,7 +58,7 @@ def knn_topk_blocks(spark, sf_dir):
 def knn_topk_cells(spark, sf_dir):
     """Vectors stored by cell; cells without one of the best rows are not read."""
     index, path = vectors(spark, sf_dir), work_path(spark, "cells")
-    centroids = cells.fit_centroids(index, cells.cells_for(index.count()))
+    centroids = cells.fit_centroids(index, 16)
     table = materialise(cells.write_cells(index, path, ["vec_id"], centroids), "cell-table")
     return cells.search_cells(
         index.withColumnRenamed("vec_id", "query_id"), spark.read.parquet(path), table, query_id="query_id", keys=("vec_id",)

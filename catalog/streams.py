@@ -70,10 +70,9 @@ def stream_saves(spark, sf_dir):
     """Debounced saves of the users' activity, in order of time. Nothing comes after it: the
     last burst of a user ends as no more updates arrive."""
     activity = client.activity(spark, sf_dir)
-    middle = activity.agg(F.percentile_approx("ts", 0.5).alias("_middle"))
-    halves = materialise(activity.join(F.broadcast(middle), F.lit(True)), "activity-of-halves")
-    parts = [halves.filter(when).drop("_middle") for when in ("ts <= _middle", "ts > _middle")]
-    stream = in_order(spark, "activity", *parts)
+    middle = activity.agg(F.percentile_approx(F.unix_micros("ts"), 0.5)).first()[0]
+    early = F.unix_micros("ts") <= middle
+    stream = in_order(spark, "activity", activity.filter(early), activity.filter(~early))
     saved = stream_debounce(stream, client.GAP_MS, delay_ms=60_000, idle_ms=IDLE_MS)
     return run_until_empty(spark, saved, "saves").withColumn("ts", F.unix_micros("ts"))
 

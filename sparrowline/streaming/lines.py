@@ -14,12 +14,16 @@ from sparrowline.streaming.run import use_keyed_state
 # A session without a chunk for this long has ended, as a closed connection has.
 IDLE_MS = 300_000
 
-_PLACE = "next_seq bigint, line_no bigint, remainder binary, early bigint, ended boolean, timer bigint"
+_PLACE = "next_seq bigint, line_no bigint, remainder binary, early array<bigint>, ended boolean, timer bigint"
+_EARLY = "seqs array<bigint>, datas array<binary>, lasts array<boolean>"
 
 
 class _Lines(StatefulProcessor):
     """State of a session: the open line, chunks that came before their turn, and a timer.
 
+    Early chunks are kept as they came, those of a trigger under the first of them, and are
+    not touched until that one's turn.
+
     A session ends with its chunk marked last, or when its timer runs out. It is then
     remembered for as long again, so chunks sent twice are known, and forgotten.
     """
@@ -30,29 +34,25 @@ class _Lines(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.place = handle.getValueState("place", _PLACE)
-        self.early = handle.getMapState("early", "seq bigint", "data binary, is_last boolean")
+        self.early = handle.getMapState("early", "first bigint", _EARLY)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        next_seq, line_no, remainder, early, ended, timer = 0, 0, b"", 0, False, None
+        next_seq, line_no, remainder, early, ended, timer = 0, 0, b"", [], False, None
         if self.place.exists():
             next_seq, line_no, remainder, early, ended, timer = self.place.get()
-        open_line, found, fresh = [bytes(remainder)], [], {}
+        early, open_line, found, fresh = sorted(early), [bytes(remainder)], [], {}
         for batch in rows:
-            for seq, data, last in zip(batch["seq"], batch["data"], batch["is_last"], strict=True):
-                # What was used before is a repetition.
-                if seq >= next_seq and not ended:
-                    fresh[seq] = (bytes(data), bool(last))
+            if not ended:
+                self._add(fresh, next_seq, batch["seq"], batch["data"], batch["is_last"])
             while not ended:
-                if next_seq in fresh:
-                    data, ended = fresh.pop(next_seq)
-                elif early and self.early.containsKey((next_seq,)):
-                    data, ended = self.early.getValue((next_seq,))
-                    self.early.removeKey((next_seq,))
-                    early -= 1
-                else:
-                    break
+                if next_seq not in fresh:
+                    if not early or early[0] > next_seq:
+                        break
+                    self._take(fresh, next_seq, early.pop(0))
+                    continue
+                data, ended = fresh.pop(next_seq)
                 next_seq += 1
-                head, *tail = bytes(data).split(b"\n")
+                head, *tail = data.split(b"\n")
                 open_line.append(head)
                 for piece in tail:
                     found.append((line_no, b"".join(open_line)))
@@ -64,15 +64,30 @@ class _Lines(StatefulProcessor):
         if ended:
             if any(open_line):
                 yield self._frame(key, [(line_no, b"".join(open_line))])
-            open_line, early = [], 0
+            open_line, early, fresh = [], [], {}
             self.early.clear()
-        for seq, chunk in {} if ended else fresh.items():
-            early += not (early and self.early.containsKey((seq,)))
-            self.early.updateValue((seq,), chunk)
+        if fresh:
+            first = min(fresh)
+            if first in early:
+                early.remove(first)
+                self._take(fresh, next_seq, first)
+            self.early.updateValue((first,), ([*fresh], [d for d, _ in fresh.values()], [e for _, e in fresh.values()]))
+            early.append(first)
         if timer is not None:
             self.handle.deleteTimer(timer)
         self._keep((next_seq, line_no, b"".join(open_line), early, ended), timerValues)
 
+    @staticmethod
+    def _add(fresh: dict, next_seq: int, seqs, datas, lasts) -> None:
+        """Chunks to be used; what was used before is a repetition."""
+        for seq, data, last in zip(seqs, datas, lasts, strict=True):
+            if seq >= next_seq:
+                fresh[int(seq)] = (bytes(data), bool(last))
+
+    def _take(self, fresh: dict, next_seq: int, first: int) -> None:
+        self._add(fresh, next_seq, *self.early.getValue((first,)))
+        self.early.removeKey((first,))
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         next_seq, line_no, remainder, _, ended, _ = self.place.get()
         if ended:
@@ -82,7 +97,7 @@ class _Lines(StatefulProcessor):
             yield self._frame(key, [(line_no, bytes(remainder))])
         # Chunks behind a gap have no line number: they go with their session.
         self.early.clear()
-        self._keep((next_seq, line_no, b"", 0, True), timerValues)
+        self._keep((next_seq, line_no, b"", [], True), timerValues)
 
     def close(self) -> None:
         pass
