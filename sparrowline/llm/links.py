@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
 from sparrowline.llm.components import connected_components
-from sparrowline.llm.shared import batch_of, slices
+from sparrowline.llm.shared import batch_of, release_memory, slices
 from sparrowline.session import materialise
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -92,6 +92,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
                         out.append((doc, this, overlap))
             if out:
                 yield batch_of(_FOUND, list(zip(*out, strict=True)))
+        release_memory()
 
     met = texts.join(asked, "doc").repartition("hub", "share").sortWithinPartitions("hub", "share", "turn")
     return met.select(*_MET).mapInArrow(run, "a long, b long, overlap long").distinct()
@@ -107,6 +108,7 @@ def _alone(members: DataFrame, texts: DataFrame, width: int) -> DataFrame:
             values = np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)
             for at in range(0, len(values), _OUT):
                 yield batch_of(_HELD, [pa.array(docs[at : at + _OUT]), pa.array(values[at : at + _OUT])])
+        release_memory()
 
     held = texts.join(members, F.col("doc") == F.col("class"), "left_semi").mapInArrow(run, "class long, value long")
     ends = held.groupBy("value").agg(F.min("class").alias("class"), F.max("class").alias("_last"))

@@ -111,6 +111,7 @@ def profiles(docs: DataFrame, width: int) -> DataFrame:
                 values = np.unique(shingles(words(text.as_py()), width))
                 rows.append((len(values), *digest(values)))
             yield batch_of(_PROFILE_ARROW, [batch.column("doc_id"), *(zip(*rows, strict=True) if rows else [[]] * 3)])
+        release_memory()
 
     return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, _PROFILE)
 
@@ -142,6 +143,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         packed = [zlib.compress(text.as_py() or b"", 1) for text in batch.column("text")]
         yield batch_of(_PACKED, [batch.column("doc_id"), packed])
+    release_memory()
 
 
 def _texts_of(docs: DataFrame, asked: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparrowline.llm.shared import batch_of
+from sparrowline.llm.shared import batch_of, release_memory
 
 # A key, one item that holds it, what the key stands for, and the item's leader.
 SCHEMA = "key long, doc long, part long, size long, leader_doc long, leader_part long, leader_size long"
@@ -85,6 +85,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out.append(batch_of(_ARROW, [*rows.columns[:4], *(pa.array(column[of]) for column in columns[1:])]))
             last = [column[lead[-1:]] for column in columns]
         yield from (rows for rows in out if rows.num_rows)
+    release_memory()
 
 
 def meet(entries: DataFrame) -> DataFrame:
