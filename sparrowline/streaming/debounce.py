@@ -24,8 +24,8 @@ class _Saves(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         held, top, timer = [], None, None
-        if self.open.exists():
-            *lists, top, timer = self.open.get()
+        if known := self.open.get():
+            *lists, top, timer = known
             held = list(zip(*lists, strict=True))
         # What is older than the delay allows belongs to a burst that has been given out.
         since = None if top is None else top - self.delay_us - self.gap_us

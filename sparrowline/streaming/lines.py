@@ -38,8 +38,8 @@ class _Lines(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         next_seq, line_no, remainder, early, ended, timer = 0, 0, b"", [], False, None
-        if self.place.exists():
-            next_seq, line_no, remainder, early, ended, timer = self.place.get()
+        if held := self.place.get():
+            next_seq, line_no, remainder, early, ended, timer = held
         early, open_line, found, fresh = sorted(early), [bytes(remainder)], [], {}
         for batch in rows:
             if not ended:
