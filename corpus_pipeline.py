@@ -50,10 +50,10 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every text, and whether decoding them gives the text again."""
     definition = bpe.load(public_tokenizers.path(queries.TOKENIZER))
     text = F.coalesce(F.col("text"), F.lit(""))
-    ids = docs.select("doc_id", "source", sha256(text).alias("text_sha256"), bpe.encode(F.col("text"), definition).alias("ids"))
-    decoded = ids.withColumn("decoded", bpe.decode(F.col("ids"), definition))
-    whole = (sha256(F.col("decoded")) == F.col("text_sha256")).alias("round_trip")
-    return decoded.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", whole)
+    both = bpe.round_trip(F.col("text"), definition).alias("both")
+    ids = docs.select("doc_id", "source", sha256(text).alias("text_sha256"), both)
+    whole = (sha256(F.col("both.decoded")) == F.col("text_sha256")).alias("round_trip")
+    return ids.select("doc_id", "source", F.size("both.ids").cast("long").alias("n_tokens"), "both.ids", whole)
 
 
 STAGES = [
