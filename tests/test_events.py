@@ -212,12 +212,12 @@ def test_fallback_envelope(spark):
     def end(text):
         return {"event": "on_chat_model_end", "data": {"output": text}}
 
-    assert envelope(spark, "hi there", ["hi", "there"]) == [start("hi there"), "hi", "there", end("hithere")]
-    assert envelope(spark, "hi", ["hi", "", "there"], ["token"]) == ["hi", "there"]
-    assert envelope(spark, "hi", ["a", "b"], ["on_chat_model_end"]) == [end("hi")]
-    assert envelope(spark, "hi", ["a", "b"], ["all"]) == [start("hi"), end("hi")]
-    assert envelope(spark, "hi", []) == [start("hi"), end("hi")]
-    assert envelope(spark, "hi", ["a"], ["other"]) == []
+    assert envelope(spark, "red kite", ["red", "kite"]) == [start("red kite"), "red", "kite", end("redkite")]
+    assert envelope(spark, "owl", ["red", "", "kite"], ["token"]) == ["red", "kite"]
+    assert envelope(spark, "owl", ["a", "b"], ["on_chat_model_end"]) == [end("owl")]
+    assert envelope(spark, "owl", ["a", "b"], ["all"]) == [start("owl"), end("owl")]
+    assert envelope(spark, "owl", []) == [start("owl"), end("owl")]
+    assert envelope(spark, "owl", ["a"], ["other"]) == []
 
 
 def test_fallback_only_where_nothing_was_sent(spark):
@@ -231,11 +231,11 @@ def test_fallback_only_where_nothing_was_sent(spark):
 
 def test_responses_over_the_route(spark):
     bodies = spark.createDataFrame(
-        [("a", '{"message":"hello world"}', ""), ("b", '{"message":""}', ""), ("c", '{"message":"hi"}', "on_chat_model_end")],
+        [("a", '{"message":"three geese"}', ""), ("b", '{"message":""}', ""), ("c", '{"message":"swan"}', "on_chat_model_end")],
         "request_id string, body string, include_arg string",
     )
     words = spark.createDataFrame(
-        [("a", 0, "hello"), ("a", 1, "world"), ("b", 0, "no"), ("c", 0, "unused")], "request_id string, seq bigint, token string"
+        [("a", 0, "three"), ("a", 1, "geese"), ("b", 0, "no"), ("c", 0, "unused")], "request_id string, seq bigint, token string"
     )
     events = lines(spark, START, STREAM, END, request="c").select("request_id", "seq", "line")
     requests = plan.accept_requests(bodies)
@@ -245,14 +245,14 @@ def test_responses_over_the_route(spark):
         got.setdefault(row.request_id, []).append(json.loads(row.line))
     assert got == {
         "a": [
-            {"event": "on_chat_model_start", "data": {"input": "hello world"}},
-            {"event": "token", "data": "hello"},
-            {"event": "token", "data": "world"},
-            {"event": "on_chat_model_end", "data": {"output": "helloworld"}},
+            {"event": "on_chat_model_start", "data": {"input": "three geese"}},
+            {"event": "token", "data": "three"},
+            {"event": "token", "data": "geese"},
+            {"event": "on_chat_model_end", "data": {"output": "threegeese"}},
         ],
         "c": [TOKEN, END],
     }
-    assert {r.request_id: r.text for r in plan.respond_tokens(responses).collect()} == {"a": "helloworld", "c": "hello"}
+    assert {r.request_id: r.text for r in plan.respond_tokens(responses).collect()} == {"a": "threegeese", "c": "hello"}
 
 
 def test_token_mode_skips_the_rest(spark):

@@ -39,19 +39,19 @@ def test_fold(spark):
     lines = client_lines(
         spark,
         {"event": "on_chat_model_start", "data": {"b": 1, "a": "é"}},
-        {"event": "token", "data": "Hi"},
+        {"event": "token", "data": "Blue"},
         {"event": "token", "data": 5},
         "5",
         "null",
         "{",
         '{"event":"token","data":"x"} y',
-        {"event": "token", "data": " there"},
+        {"event": "token", "data": " heron"},
         {"event": 7},
         {"event": "on_chat_model_end", "data": "done"},
     )
     events = ops.read_client_events(lines)
     row = ops.fold_messages(events).first()
-    assert row.content == "Hi there"
+    assert row.content == "Blue heron"
     assert [(e.name, e.data, e.at) for e in row.events] == [
         ("on_chat_model_start", '{"b":1,"a":"é"}', 100),
         ("event", "null", 103),
