@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from sparrowline.functions.text import CLIENT_SPACE
@@ -29,21 +28,21 @@ class _Lines(StatefulProcessor):
     """
 
     def __init__(self, session: str, idle_ms: int):
-        self.session, self.idle_ms = session, idle_ms
+        self.row, self.idle_ms = Row(session, "line_no", "line"), idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.place = handle.getValueState("place", _PLACE)
         self.early = handle.getMapState("early", "first bigint", _EARLY)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         next_seq, line_no, remainder, early, ended, timer = 0, 0, b"", [], False, None
         if held := self.place.get():
             next_seq, line_no, remainder, early, ended, timer = held
-        early, open_line, found, fresh = sorted(early), [bytes(remainder)], [], {}
-        for batch in rows:
+        early, open_line, fresh = sorted(early), [bytes(remainder)], {}
+        for chunk in rows:
             if not ended:
-                self._add(fresh, next_seq, batch["seq"], batch["data"], batch["is_last"])
+                self._add(fresh, next_seq, [chunk["seq"]], [chunk["data"]], [chunk["is_last"]])
             while not ended:
                 if next_seq not in fresh:
                     if not early or early[0] > next_seq:
@@ -55,17 +54,14 @@ class _Lines(StatefulProcessor):
                 head, *tail = data.split(b"\n")
                 open_line.append(head)
                 for piece in tail:
-                    found.append((line_no, b"".join(open_line)))
+                    yield from self._line(key, line_no, b"".join(open_line))
                     line_no += 1
                     open_line = [piece]
-            if found:
-                yield self._frame(key, found)
-                found = []
         if ended:
-            if any(open_line):
-                yield self._frame(key, [(line_no, b"".join(open_line))])
+            yield from self._line(key, line_no, b"".join(open_line))
+            if early:
+                self.early.clear()
             open_line, early, fresh = [], [], {}
-            self.early.clear()
         if fresh:
             first = min(fresh)
             if first in early:
@@ -88,13 +84,12 @@ class _Lines(StatefulProcessor):
         self._add(fresh, next_seq, *self.early.getValue((first,)))
         self.early.removeKey((first,))
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         next_seq, line_no, remainder, _, ended, _ = self.place.get()
         if ended:
             self.place.clear()
             return
-        if remainder:
-            yield self._frame(key, [(line_no, bytes(remainder))])
+        yield from self._line(key, line_no, bytes(remainder))
         # Chunks behind a gap have no line number: they go with their session.
         self.early.clear()
         self._keep((next_seq, line_no, b"", [], True), timerValues)
@@ -107,10 +102,9 @@ class _Lines(StatefulProcessor):
         self.place.update((*state, timer))
         self.handle.registerTimer(timer)
 
-    def _frame(self, key: tuple, lines: list[tuple[int, bytes]]) -> pd.DataFrame:
-        texts = ((number, data.decode("utf-8", "replace").strip(CLIENT_SPACE)) for number, data in lines)
-        kept = [(key[0], number, text) for number, text in texts if text]
-        return pd.DataFrame(kept, columns=[self.session, "line_no", "line"])
+    def _line(self, key: tuple, number: int, data: bytes) -> Iterator[Row]:
+        if text := data.decode("utf-8", "replace").strip(CLIENT_SPACE):
+            yield self.row(key[0], number, text)
 
 
 def stream_lines(chunks: DataFrame, session: str = "session_id", idle_ms: int = IDLE_MS) -> DataFrame:
@@ -126,6 +120,6 @@ def stream_lines(chunks: DataFrame, session: str = "session_id", idle_ms: int =
     use_keyed_state(chunks.sparkSession)
     kind = chunks.schema[session].dataType.simpleString()
     columns = chunks.select(session, "seq", "data", "is_last")
-    return columns.groupBy(session).transformWithStateInPandas(
+    return columns.groupBy(session).transformWithState(
         _Lines(session, idle_ms), f"`{session}` {kind}, line_no bigint, line string", "append", "ProcessingTime"
     )

@@ -40,15 +40,22 @@ def drain(query: StreamingQuery, seconds: float = 600.0) -> None:
     """Wait until the input that is there is used up and all state has run out, then stop.
 
     For streams whose timers end every key: triggers go on without input until the last timer
-    has run out. Raises what ended the stream, or ``TimeoutError`` after ``seconds``.
+    has run out. Raises what ended the stream, or ``TimeoutError`` once triggers have ended
+    without input and with the same number of rows for ``seconds``; a trigger may take as long
+    as its rows need.
     """
-    until = time.monotonic() + seconds
+    seen, before, since = None, None, time.monotonic()
     try:
-        while kept_rows(query) != 0:
+        while (rows := kept_rows(query)) != 0:
             if not query.isActive:
                 raise query.exception() or RuntimeError("the stream was stopped")
-            if time.monotonic() > until:
-                raise TimeoutError(f"state after {seconds} seconds: {kept_rows(query)} rows")
+            progress = query.lastProgress
+            trigger = progress and progress["timestamp"]
+            if rows is None or rows != before:
+                before, since = rows, time.monotonic()
+            elif trigger != seen and time.monotonic() - since > seconds:
+                raise TimeoutError(f"state after {seconds} seconds without a change: {rows} rows")
+            seen = trigger
             time.sleep(0.05)
     finally:
         query.stop()

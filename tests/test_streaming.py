@@ -2,6 +2,9 @@
 
 import datetime
 import json
+import time
+
+import pytest
 
 from sparrowline.operators import messages as ops
 from sparrowline.operators.messages import read_client_events
@@ -153,3 +156,35 @@ def test_a_restart_repeats_nothing(spark, tmp_path):
     assert stored_rows(spark, stream_events(stream), tmp_path).count() == 1
     again = stored_rows(spark, stream_events(stream), tmp_path).collect()
     assert [json.loads(r.line) for r in again] == [{"event": "token", "data": "a"}]
+
+
+class Ending:
+    """A stream whose state has ``rows[i]`` rows after its trigger ``i``; triggers take ``every`` seconds."""
+
+    isActive = True
+    status = {"isDataAvailable": False}
+
+    def __init__(self, rows, every):
+        self.rows, self.every, self.start, self.stopped = rows, every, time.monotonic(), False
+
+    @property
+    def lastProgress(self):
+        number = int((time.monotonic() - self.start) / self.every)
+        rows = self.rows[min(number, len(self.rows) - 1)]
+        return {"timestamp": str(number), "numInputRows": 0, "stateOperators": [{"numRowsTotal": rows}]}
+
+    def stop(self):
+        self.stopped = True
+
+
+def test_a_stream_may_take_longer_than_the_wait_while_its_state_goes():
+    query = Ending([6, 5, 4, 3, 2, 1, 0], 0.25)
+    drain(query, 0.8)
+    assert query.stopped
+
+
+def test_a_stream_whose_state_stays_is_given_up():
+    query = Ending([6, 5], 0.1)
+    with pytest.raises(TimeoutError):
+        drain(query, 0.5)
+    assert query.stopped
