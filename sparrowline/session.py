@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+# Rows of a table that a task takes at most: a row may stand for thousands of events or chunks.
+TASK_ROWS = 20_000
 # JSON objects with a repeated key keep the last value.
 _SETTINGS = {
     "spark.sql.variant.allowDuplicateKeys": "true",
@@ -73,11 +77,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """Rebalance a table scan that has fewer tasks than there are cores.
+def spread(scan: DataFrame, rows: int = TASK_ROWS) -> DataFrame:
+    """Rebalance a table scan whose tasks are fewer than there are cores, or uneven, or large.
 
-    A few small files of text make a few long tasks. Large tables come in at
-    least as many splits as there are cores, and are left as they are.
+    A file is split between its row groups only, so a few groups of text make a few long
+    tasks, however many splits are planned. The footers tell the rows of each split: the scan is
+    left as it is where no split has over ``rows`` and enough of them have any.
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+    splits = scan.groupBy(F.spark_partition_id().alias("split")).count()
+    found = splits.agg(F.count("*").alias("used"), F.max("count").alias("most"), F.sum("count").alias("all")).first()
+    if found.used >= cores and found.most <= rows:
+        return scan
+    return scan.repartition(max(cores, math.ceil((found["all"] or 0) / rows)))
