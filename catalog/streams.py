@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,14 +23,22 @@ from sparrowline.streaming.run import append_live, drain
 # How long a key waits for more. All input is there, so its two triggers follow at once, and a
 # trigger's rows are looked at before the timers that have run out.
 IDLE_MS = 1000
+# A stored stream's files hold at most so many rows and come in about so many triggers.
+FILE_ROWS = 200_000
+TRIGGERS = 8
 
 
 def as_stream(spark: SparkSession, rows: DataFrame, name: str) -> DataFrame:
-    """Store rows as files and open them as a stream, four files per trigger, in
-    the order they were written."""
+    """Store rows as files and open them as a stream, in the order they were written.
+
+    Four files make a trigger, more where there are many: triggers cost time each, and a trigger
+    is no wider than its files, so it takes one for each core where that leaves two triggers."""
     path = work_path(spark, name)
-    rows.write.parquet(path)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(path)
+    rows.write.option("maxRecordsPerFile", FILE_ROWS).parquet(path)
+    files = len(spark.read.schema(rows.schema).parquet(path).inputFiles())
+    cores = spark.sparkContext.defaultParallelism
+    per_trigger = max(4, min(cores, math.ceil(files / 2)), math.ceil(files / TRIGGERS))
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
 
 
 def in_order(spark: SparkSession, name: str, *parts: DataFrame) -> DataFrame:
