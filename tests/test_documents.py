@@ -1,5 +1,6 @@
 import uuid
 from collections import Counter
+from hashlib import md5
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -8,12 +9,14 @@ import pytest
 
 from sparrowline.functions.embedders import from_batches, from_model, hashed
 from sparrowline.functions.splitter import split_text
+from sparrowline.functions.text import WORD_SPACE, words
 from sparrowline.operators import documents as ops
 from sparrowline.operators.embedding import ModelMismatch, check_index_model, embed_once, embed_texts
 from sparrowline.plans.index_build import build_index
 from sparrowline.sources import documents as sources
 from sparrowline.sources import files
 from sparrowline.sources import index as index_source
+from tests.test_plans import plan
 
 
 def docs(spark, *texts):
@@ -90,6 +93,19 @@ def test_recursive_chunks_prefer_paragraphs_and_overlap():
     assert split_text("", 10, 2) == []
 
 
+def test_hashed_words_are_cut_outside_the_jvm_at_the_same_white_space(spark):
+    texts = "".join(f"{word}{mark}" for word in ("one", "", "two") for mark in f"{WORD_SPACE}\u200b\ufeff\x00")
+    rows = docs(spark, texts, WORD_SPACE, f" {WORD_SPACE}Three", "x" * 5000, *["pad"] * 2000)
+    bags = rows.select(hashed(64).vector(ops.F.col("text")).alias("v"), words(ops.F.lower("text")).alias("words"))
+    assert "split(" not in plan(bags.select("v"))
+    for row in bags.collect():
+        counts = np.zeros(64)
+        for word in row.words:
+            counts[int(md5(word.encode()).hexdigest()[:8], 16) % 64] += 1
+        wanted = counts / (np.sqrt((counts * counts).sum()) or 1.0)
+        assert row.v == wanted.astype(np.float32).tolist()
+
+
 def test_hashed_vectors_have_length_one(spark):
     rows = docs(spark, "a b a", "", None).select("doc_id", hashed(16).vector(ops.F.col("text")).alias("v")).collect()
     by_id = {r.doc_id: r.v for r in rows}
