@@ -38,6 +38,8 @@ BLOCK_BYTES = 256 * 1024 * 1024
 QUERY_BYTES = 256 * 1024 * 1024
 # Cells of one distance matrix: bounds a task's memory for any block shape.
 _CELLS = 4_000_000
+# Rows of a scanned batch taken at once: bounds their copies as doubles.
+_ROWS = 2048
 
 
 def knn_topk(
@@ -119,8 +121,8 @@ def _scan(
         ids, wanted = shared.value
         best = _Best(len(wanted), len(keys), k)
         for batch in batches:
-            if batch.num_rows and len(wanted):
-                _improve(best, wanted, *_block(batch, keys, metric), metric)
+            for start in range(0, batch.num_rows if len(wanted) else 0, _ROWS):
+                _improve(best, wanted, *_block(batch.slice(start, _ROWS), keys, metric), metric)
         yield from _rows(best, ids, names)
 
     return index.mapInArrow(search, schema)
@@ -275,6 +277,8 @@ def _improve_slice(
         bound = np.minimum(bound, np.partition(near, k - 1, axis=1)[:, k - 1])
         hits = near <= bound[:, None] + slack
     q, r = np.nonzero(hits)
+    if not len(q):
+        return
     distance = np.empty(len(q))
     step = max(1, _CELLS // wanted.shape[1])
     for start in range(0, len(q), step):

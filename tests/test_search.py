@@ -7,7 +7,7 @@ from sparrowline.functions.embedders import from_model, hashed
 from sparrowline.functions.vectors import cosine_distance, squared_l2
 from sparrowline.operators import qa
 from sparrowline.operators.embedding import ModelMismatch
-from sparrowline.operators.search import _take_bounded, knn_topk, rag_retrieve, retrieve_first
+from sparrowline.operators.search import _Best, _improve, _take_bounded, knn_topk, rag_retrieve, retrieve_first
 from sparrowline.plans.retrieval import answer_questions
 from sparrowline.sources.index import StoredIndex, index_build, index_rows, open_index
 from tests.test_plans import plan
@@ -238,3 +238,19 @@ def test_what_is_shuffled_does_not_grow_with_the_number_of_blocks(spark):
         return sent["rows"]
 
     assert shuffled(320) == shuffled(32_000) <= 2000 * (1 + spark.sparkContext.defaultParallelism)
+
+
+def test_rows_of_which_none_comes_nearer_change_nothing():
+    best, wanted = _Best(1, 1, 1), np.array([[0.0, 1.0]])
+    for vector, key in (([0.0, 1.0], 1), ([9.0, 9.0], 2)):
+        _improve(best, wanted, np.array([vector]), np.array([[key]]), "l2")
+    assert (best.ids.item(), best.distance.item()) == (1, 0.0)
+
+
+def test_a_scan_takes_a_bounded_number_of_rows_at_once(spark, monkeypatch):
+    monkeypatch.setattr("sparrowline.operators.search._ROWS", 7)
+    draw = np.random.default_rng(9)
+    rows = [list(map(float, row)) for row in draw.normal(size=(100, 4))]
+    asked = [list(map(float, row)) for row in draw.normal(size=(3, 4))]
+    found = knn_topk(frame(spark, asked, "query_id"), frame(spark, rows, "chunk_id").coalesce(1), keys=("chunk_id",))
+    assert [(r.query_id, r["rank"], r.chunk_id) for r in found.orderBy("query_id", "rank").collect()] == brute(asked, rows, 3, "l2")
