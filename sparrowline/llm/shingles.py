@@ -41,6 +41,8 @@ _LEVEL_BITS = np.uint64(6)
 _DIFFER = np.array([(x > 15) + (x & 15 > 0) for x in range(256)], np.uint8)
 # Members of a key, outside its largest component, that a task holds at once.
 _HUBS = 2048
+# Keys of so many members are paired off, as one pair shares many keys.
+_FEW = 12
 
 
 def digest(values: np.ndarray) -> tuple[int, int]:
@@ -206,6 +208,14 @@ def _tied(members: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """
     fragments = Fragments(percent)
     level = F.col("key").bitwiseAND(F.lit((1 << int(_LEVEL_BITS)) - 1)).cast("int")
+    # Of a key's two members the star's pair is known already.
+    few = members.filter(F.col("n_members").between(3, _FEW)).select("key", "class", "n_shingles", "component")
+    pairs = few.join(few.select("key", *[F.col(c).alias(f"_{c}") for c in few.columns[1:]]), "key")
+    less, more = F.least("n_shingles", "_n_shingles"), F.greatest("n_shingles", "_n_shingles")
+    may = (F.col("class") < F.col("_class")) & (F.col("component") != F.col("_component")) & (100 * less >= percent * more)
+    pairs = pairs.filter(may & (level == fragments.level(less))).select(F.col("class").alias("a"), F.col("_class").alias("b"))
+    pairs = _thinned(materialise(pairs.distinct(), "shingle-few"), sketches, percent)
+    members = members.filter(F.col("n_members") > _FEW)
     own = fragments.level(F.col("n"))
     count = lambda level: F.element_at(F.array(*map(F.lit, fragments.counts)), level + 1)
     below = (own == level + 1) & (F.length("sketch") > count(own))
@@ -244,7 +254,7 @@ def _tied(members: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
         release_memory()
 
     met = dealt(met, F.ceil(F.col("n_outside") / _HUBS)).select(*_MEMBER)
-    return met.mapInArrow(run, "a long, b long").distinct()
+    return pairs.union(met.mapInArrow(run, "a long, b long")).distinct()
 
 
 _PACKED = pa.schema([("doc", pa.int64()), ("packed", pa.binary())])
