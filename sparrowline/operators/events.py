@@ -22,17 +22,18 @@ SEQ = "seq"
 def parse_event_lines(lines: DataFrame, line: str = "line") -> DataFrame:
     """Add ``payload``; lines that are not exactly one JSON value, or are null,
     are skipped."""
-    kept = F.filter(
-        F.array(jsonval.parse_strict(F.col(line))), lambda value: value.isNotNull() & ~F.is_variant_null(value)
-    )
-    return lines.select("*", F.explode(kept).alias("payload"))
+    # As jsonval.parse_strict does, in two steps without lambdas, which Spark compiles.
+    listed = with_computed(lines, _listed=jsonval.listed(F.col(line)))
+    parsed = with_computed(listed, payload=jsonval.only_value(F.col("_listed"), F.col(line))).drop("_listed")
+    return parsed.filter(F.col("payload").isNotNull() & ~F.is_variant_null("payload"))
 
 
 def normalise_events(lines: DataFrame, line: str = "line") -> DataFrame:
     """Add ``payload`` and ``name``; only JSON objects are events."""
     # A line that does not start as an object is dropped before it is parsed.
     objects = parse_event_lines(lines.filter(F.col(line).rlike(r"\A\s*\{")), line)
-    return with_computed(objects, name=chat.event_name(F.col("payload")))
+    named = with_computed(objects, _name=jsonval.field(F.col("payload"), "$.event"))
+    return with_computed(named, name=jsonval.typed_string(F.col("_name"))).drop("_name")
 
 
 def add_include(events: DataFrame, requests: DataFrame, key: str = REQUEST, how: str = "left") -> DataFrame:
@@ -53,7 +54,7 @@ def filter_events(events: DataFrame) -> DataFrame:
 
 def extract_tokens(events: DataFrame) -> DataFrame:
     """Add ``token``: the text carried by the event's data."""
-    return with_computed(events, token=chat.token_text(F.col("payload")))
+    return chat.with_token(events, F.col("payload"))
 
 
 def drop_empty_tokens(tokens: DataFrame, token: str = "token") -> DataFrame:
@@ -74,8 +75,8 @@ def serialize_events(events: DataFrame, line: str = "line") -> DataFrame:
     """
     streams = F.coalesce(F.col("name").isin(*chat.STREAM_EVENTS), F.lit(False))
     kept = filter_events(normalise_events(events, line)).withColumn("_stream", streams)
-    token = chat.token_text(F.when(F.col("_stream"), F.col("payload")))
-    kept = with_computed(kept, token=token).filter(~F.col("_stream") | (F.length("token") > 0))
+    kept = chat.with_token(kept, F.when(F.col("_stream"), F.col("payload")))
+    kept = kept.filter(~F.col("_stream") | (F.length("token") > 0))
     pruned = jsonval.prune(F.when(~F.col("_stream"), F.col(line)))
     return kept.withColumn(
         line,

@@ -13,7 +13,9 @@ from sparrowline.functions.text import REQUEST_SPACE, strip
 def validate_requests(requests: DataFrame, body: str = "body") -> DataFrame:
     """Add ``ok``, ``message`` and ``error``. A body is accepted when it is a JSON
     object whose ``message`` is a string with more than white space in it."""
-    text = jsonval.string_or_null(jsonval.field(jsonval.parse_strict(F.col(body)), "$.message"))
+    # Bodies that cannot name the field, in letters or escaped, are not parsed.
+    named = F.when(F.col(body).contains('"message"') | F.col(body).contains("\\"), F.col(body))
+    text = jsonval.string_or_null(jsonval.field(jsonval.parse_strict(named), "$.message"))
     checked = with_computed(requests, message=chat.filled(strip(text, REQUEST_SPACE)))
     return checked.withColumn("ok", F.col("message").isNotNull()).withColumn(
         "error", F.when(~F.col("ok"), F.lit(chat.INVALID_REQUEST))

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 # Rows of a table that a task takes at most: a row may stand for thousands of events or chunks.
 TASK_ROWS = 20_000
+# A scan with tasks of so many rows may take so many times as long as one that keeps all cores busy.
+_WORTH, _IDLE = 5_000, 1.5
 # JSON objects with a repeated key keep the last value.
 _SETTINGS = {
     "spark.sql.variant.allowDuplicateKeys": "true",
@@ -82,11 +84,14 @@ def spread(scan: DataFrame, rows: int = TASK_ROWS) -> DataFrame:
 
     A file is split between its row groups only, so a few groups of text make a few long
     tasks, however many splits are planned. The footers tell the rows of each split: the scan is
-    left as it is where no split has over ``rows`` and enough of them have any.
+    left as it is where no split has over ``rows``, and all cores are in use most of the time: a
+    few splits more than there are cores would keep one core busy while the others wait.
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
     splits = scan.groupBy(F.spark_partition_id().alias("split")).count()
     found = splits.agg(F.count("*").alias("used"), F.max("count").alias("most"), F.sum("count").alias("all")).first()
-    if found.used >= cores and found.most <= rows:
+    total, rounds = found["all"] or 0, math.ceil(found.used / cores)
+    even = total and (found.most <= _WORTH or rounds * found.most * cores <= _IDLE * total)
+    if found.used >= cores and found.most <= rows and even:
         return scan
-    return scan.repartition(max(cores, math.ceil((found["all"] or 0) / rows)))
+    return scan.repartition(cores * max(1, math.ceil(total / (rows * cores))))

@@ -136,6 +136,25 @@ def test_token_text(spark, data, token):
     assert one(spark, chat.token_text(F.parse_json(F.concat(F.lit('{"data":'), "d", F.lit("}")))), d=data) == token
 
 
+def test_tokens_of_whole_tables_are_those_of_single_events(spark):
+    values = ["null", '""', '"0"', '"[]"', "0", "-0.0", "0e0", "1.5", "false", "true", "[]", "[1]", "{}"]
+    values += ['{"text":"t"}', '{"content":"false"}', '{"content":0.0,"text":"-0"}', '{"value":"v"}', '{"message":{"message":"m"}}']
+    texts = [f'{{"data":{{"chunk":{a},"token":{b}}}}}' for a in values for b in values]
+    rows = spark.createDataFrame([(i, text) for i, text in enumerate(texts)], "seq int, line string")
+    both = ops.extract_tokens(ops.normalise_events(rows)).withColumn("single", chat.token_text(F.col("payload"))).collect()
+    assert len(both) == len(texts) and all(row.token == row.single for row in both)
+    assert {row.line: row.token for row in both}['{"data":{"chunk":{"content":0.0,"text":"-0"},"token":0}}'] == "-0"
+
+
+def test_events_are_read_without_lambdas(spark):
+    """Spark interprets lambdas, and all that shares their step; nested messages need one."""
+    plan_of = lambda df: df._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    events = ops.normalise_events(lines(spark, START, STREAM).select("request_id", "seq", "line"))
+    assert not [step for step in plan_of(events) if "lambda" in step]
+    steps = [step for step in plan_of(ops.extract_tokens(events)) if "lambda" in step]
+    assert len(steps) == 1 and "_nested" in steps[0]
+
+
 @pytest.mark.parametrize(
     "value, empty",
     [("null", True), ('""', True), ("[]", True), ("{}", True), ("0", False), ("false", False), ('" "', False), ("[null]", False)],
