@@ -9,6 +9,7 @@ from catalog import chat_inputs as inputs
 from catalog.chat_inputs import SQL_MODEL_EVENTS, SQL_REQUESTS, SQL_TOKENS, SQL_TURNS
 from catalog.tables import sql_strip, table
 from sparrowline.functions import chat, jsonval
+from sparrowline.functions.binding import with_computed
 from sparrowline.functions.text import REQUEST_SPACE, WORD_SPACE, char_class
 from sparrowline.operators import events as ops
 from sparrowline.operators import requests as request_ops
@@ -116,18 +117,10 @@ def is_empty(spark, sf_dir):
 
 def line_parts(lines: DataFrame) -> DataFrame:
     """Parts of event lines that hold a map, as text."""
-    payload = jsonval.parse_strict(F.col("line"))
-    data = jsonval.field(F.col("payload"), "$.data")
-    return (
-        lines.withColumn("payload", payload)
-        .select(
-            "request_id",
-            "seq",
-            jsonval.as_text(jsonval.field(F.col("payload"), "$.event")).alias("event"),
-            jsonval.as_text(jsonval.field(F.col("payload"), "$.tags")).alias("tags"),
-            jsonval.as_text(data).alias("data"),
-        )
-    )
+    listed = with_computed(lines.select("request_id", "seq", "line"), _listed=jsonval.listed(F.col("line")))
+    parsed = with_computed(listed, payload=jsonval.only_value(F.col("_listed"), F.col("line")))
+    parts = with_computed(parsed, **{name: jsonval.field(F.col("payload"), f"$.{name}") for name in ("event", "tags", "data")})
+    return parts.select("request_id", "seq", *[jsonval.plain_text(F.col(name)).alias(name) for name in ("event", "tags", "data")])
 
 
 def prune_payload(spark, sf_dir):

@@ -178,7 +178,7 @@ def fallback_token_allowed(include: Column) -> Column:
 def parse_include(argument: Column) -> Column:
     """Sorted distinct names of a comma list, ``token`` added; null for none."""
     listed = F.filter(F.transform(F.split(F.coalesce(argument, F.lit("")), ","), lambda name: strip(name)), lambda name: name != "")
-    return F.when(F.size(listed) > 0, F.array_sort(F.array_distinct(F.array_append(listed, F.lit(TOKEN)))))
+    return F.when(F.size(listed) > 0, F.sort_array(F.array_distinct(F.array_append(listed, F.lit(TOKEN)))))
 
 
 def event_line(event: Column | str, data: Column) -> Column:

@@ -15,8 +15,12 @@ def validate_requests(requests: DataFrame, body: str = "body") -> DataFrame:
     object whose ``message`` is a string with more than white space in it."""
     # Bodies that cannot name the field, in letters or escaped, are not parsed.
     named = F.when(F.col(body).contains('"message"') | F.col(body).contains("\\"), F.col(body))
-    text = jsonval.string_or_null(jsonval.field(jsonval.parse_strict(named), "$.message"))
-    checked = with_computed(requests, message=chat.filled(strip(text, REQUEST_SPACE)))
+    # In steps without lambdas, which Spark compiles.
+    listed = with_computed(requests.withColumn("_named", named), _listed=jsonval.listed(F.col("_named")))
+    value = jsonval.field(jsonval.only_value(F.col("_listed"), F.col("_named")), "$.message")
+    found = with_computed(listed, _message=value)
+    text = with_computed(found, _text=strip(jsonval.typed_string(F.col("_message")), REQUEST_SPACE))
+    checked = text.withColumn("message", chat.filled(F.col("_text"))).drop("_named", "_listed", "_message", "_text")
     return checked.withColumn("ok", F.col("message").isNotNull()).withColumn(
         "error", F.when(~F.col("ok"), F.lit(chat.INVALID_REQUEST))
     )

@@ -153,6 +153,8 @@ def test_events_are_read_without_lambdas(spark):
     assert not [step for step in plan_of(events) if "lambda" in step]
     steps = [step for step in plan_of(ops.extract_tokens(events)) if "lambda" in step]
     assert len(steps) == 1 and "_nested" in steps[0]
+    bodies = spark.createDataFrame([('{"message":"x"}',)], "body string")
+    assert not [step for step in plan_of(request_ops.validate_requests(bodies)) if "lambda" in step]
 
 
 @pytest.mark.parametrize(
