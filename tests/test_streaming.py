@@ -2,7 +2,9 @@
 
 import datetime
 import json
+import random
 import time
+from types import SimpleNamespace
 
 import pytest
 
@@ -11,9 +13,9 @@ from sparrowline.operators.messages import read_client_events
 from sparrowline.streaming.debounce import stream_debounce
 from sparrowline.streaming.events import append_table, stream_events
 from sparrowline.streaming.lines import stream_lines
-from sparrowline.streaming import messages
+from sparrowline.streaming import lines, messages
 from sparrowline.streaming.messages import read_messages, save_messages, upsert_live
-from sparrowline.streaming.run import append_live, drain
+from sparrowline.streaming.run import append_live, drain, kept_rows
 
 
 def feed(spark, tmp_path, schema, *batches):
@@ -188,3 +190,72 @@ def test_a_stream_whose_state_stays_is_given_up():
     with pytest.raises(TimeoutError):
         drain(query, 0.5)
     assert query.stopped
+
+
+def test_sessions_share_their_state(spark, tmp_path):
+    rows = [(f"s{i}", 0, bytearray(b"a\nb"), False) for i in range(3000)] + [(None, 0, bytearray(b"c\n"), False)]
+    stream = feed(spark, tmp_path, CHUNK, rows)
+    query = append_live(stream_lines(stream, idle_ms=600_000), str(tmp_path / "out"), str(tmp_path / "checkpoint"))
+    until = time.monotonic() + 120
+    while kept_rows(query) is None and time.monotonic() < until:
+        time.sleep(0.1)
+    query.stop()
+    found = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert len(found) == 3001 and {(r.line_no, r.line) for r in found if r.session_id} == {(0, "a")}
+    assert [(r.line_no, r.line) for r in found if r.session_id is None] == [(0, "c")]
+    assert 0 < state_rows(spark, tmp_path, "place") <= lines.GROUPS
+
+
+class Held:
+    """State of one group of sessions, and its timers, in memory."""
+
+    def __init__(self):
+        self.value, self.map, self.timers, self.now = None, {}, set(), 0
+
+    def getValueState(self, name, schema):
+        return SimpleNamespace(get=lambda: self.value, update=lambda v: self.set(v), clear=lambda: self.set(None))
+
+    def getMapState(self, name, key, schema):
+        return SimpleNamespace(getValue=self.map.__getitem__, updateValue=self.map.__setitem__, removeKey=self.map.__delitem__)
+
+    def set(self, value):
+        self.value = value
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.remove(at)
+
+    def getCurrentProcessingTimeInMs(self):
+        return self.now
+
+
+def test_lines_of_sessions_in_any_order_of_chunks():
+    draw = random.Random(30)
+    for _ in range(150):
+        held, got, wanted, rows = Held(), [], [], []
+        processor = lines._Lines("string", 100)
+        processor.init(held)
+        for name in ["a", "b", None, "d"][: draw.randint(1, 4)]:
+            text = "".join(draw.choice("xy\né") for _ in range(draw.randint(1, 40)))
+            pieces, gap, ended = cut(text.encode(), 4), draw.random() < 0.3, draw.random() < 0.7
+            lost = draw.randrange(len(pieces)) if gap else len(pieces)
+            rows += [(name, i, p, ended and i == len(pieces) - 1) for i, p in enumerate(pieces) if i != lost]
+            rows += [draw.choice(rows) for _ in range(3) if rows]
+            heard = b"".join(pieces[:lost]).decode("utf-8", "replace")
+            wanted += [(name, i, x) for i, x in enumerate(heard.split("\n")) if x]
+        draw.shuffle(rows)
+        while rows:
+            n = draw.randint(1, 8)
+            packed = dict(zip(lines._COLUMNS, map(list, zip(*rows[:n], strict=True)), strict=True))
+            got += processor.handleInputRows((0,), iter([packed]), held)
+            rows, held.now = rows[n:], held.now + 1
+            assert len(held.timers) == 1
+        while held.timers:
+            held.now = min(held.timers)
+            held.timers.clear()
+            got += processor.handleExpiredTimer((0,), held, None)
+        key = lambda x: (str(x[0]), x[1])
+        assert sorted((line for found in got for line in zip(*found, strict=True)), key=key) == sorted(wanted, key=key)
+        assert held.value is None and not held.map
