@@ -1,5 +1,6 @@
 """What the plans must look like to hold at scale."""
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,6 +10,7 @@ from catalog import search as search_catalog
 from sparrowline.functions.embedders import hashed
 from sparrowline.operators import documents, events, messages, search
 from sparrowline.operators.embedding import embed_texts
+from sparrowline.plans.index_build import build_index
 
 SF_DIR = "/root/testdata/sf0.001"
 QUERIES = entry.queries()
@@ -63,3 +65,12 @@ def test_a_hot_session_is_spread_by_block(spark):
     chunks = spark.createDataFrame([("s", 0, bytearray(b"a\n"))], "session_id string, seq bigint, data binary")
     assert "hashpartitioning(session_id" in plan(messages.reassemble_lines(chunks))
     assert "_block" in plan(messages.reassemble_lines(chunks))
+
+
+def test_an_index_is_stored_in_zstd(spark, tmp_path):
+    rows = [(i, p, f"page {p} of text {i}") for i in range(50) for p in range(3)]
+    pages = spark.createDataFrame(rows, "doc_id long, page long, text string")
+    build_index(pages, hashed(16), str(tmp_path / "index"), str(tmp_path / "raw"))
+    for stored in ("raw", "index/rows", "index/vectors"):
+        files = [*(tmp_path / stored).rglob("*.parquet")]
+        assert files and {pq.ParquetFile(f).metadata.row_group(0).column(0).compression for f in files} == {"ZSTD"}
